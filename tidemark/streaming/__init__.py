@@ -1,0 +1 @@
+"""Deliberately empty: every analysis in scope works on finished tables, so there is no stream to process."""
