@@ -1 +1,9 @@
 """Customer-growth analytics as plain Spark ``DataFrame -> DataFrame`` functions."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few functions that run in Python workers travel with the job, so executors need no
+# copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

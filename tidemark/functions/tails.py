@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TINY = 1e-300
 
@@ -123,16 +124,16 @@ def _vector(function, *columns: pd.Series) -> pd.Series:
     return pd.Series([None if v is None or math.isnan(v) else v for v in out], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return _vector(t_tail, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _vector(f_tail, f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def group_size(effect: pd.Series, power: pd.Series, alpha: pd.Series, ratio: pd.Series) -> pd.Series:
     return _vector(solve_n1, effect, power, alpha, ratio)

@@ -141,7 +141,7 @@ def anova_twoway(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields]
         + ["factor string", "sum_sq double", "df double", "F double", "p_value double"]
     )
-    result = cells.groupBy(*(by or [F.lit(1)])).applyInPandas(table, schema)
+    result = cells.groupBy(*by).applyInPandas(table, schema)
     return result.select(
         *by, "factor", *[round_half_even(F.nanvl(c, F.lit(None).cast("double")), decimals).alias(c) for c in out[1:]]
     )
