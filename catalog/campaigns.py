@@ -9,6 +9,7 @@ from tidemark.functions.hashing import hash_unit
 from tidemark.operators import campaign, evaluation, experiment, features, models, sampling, segments
 from tidemark.operators.campaign import BOGO, CLASS_PROBABILITIES
 from tidemark.operators.churn import rate_by_categories
+from tidemark.session import materialize
 from tidemark.sources.star import responses
 
 ID = "customer_id"
@@ -33,6 +34,15 @@ def scored(spark, sf_dir):
     return responses(spark, sf_dir).withColumn("proba", hash_unit(ID, "proba"))
 
 
+def stored(spark, sf_dir):
+    """Responses written once, for queries that read them several times."""
+    return materialize(responses(spark, sf_dir), "responses")
+
+
+def stored_uplift(spark, sf_dir):
+    return materialize(uplifted(spark, sf_dir).select(ID, "offer", "conversion", "uplift_score"), "uplift-scores")
+
+
 def uplifted(spark, sf_dir):
     four = {p: hash_unit(ID, p) / F.lit(4.0) for p in CLASS_PROBABILITIES}
     return campaign.uplift_score(responses(spark, sf_dir).withColumns(four))
@@ -120,7 +130,7 @@ def u05(spark, sf_dir):
 
 def history_clusters(spark, sf_dir):
     return segments.ordered_kmeans(
-        responses(spark, sf_dir), "history", 5, "history_cluster", centers=HISTORY_CENTERS[::-1]
+        stored(spark, sf_dir), "history", 5, "history_cluster", centers=HISTORY_CENTERS[::-1]
     )
 
 
@@ -137,7 +147,7 @@ def u06(spark, sf_dir):
 
 @check("u06_history_clusters_fitted")
 def u06_fitted(spark, sf_dir):
-    clustered = segments.ordered_kmeans(responses(spark, sf_dir), "history", 5, "history_cluster", seed=7)
+    clustered = segments.ordered_kmeans(stored(spark, sf_dir), "history", 5, "history_cluster", seed=7)
     return clustered.select(ID, "history", "history_cluster")
 
 
@@ -153,8 +163,8 @@ def u06_profile(spark, sf_dir):
 
 
 def response_scores(spark, sf_dir, rounds=10):
-    df = responses(spark, sf_dir)
-    split = sampling.train_test_split(df, ID, 0.2, 56)
+    df = stored(spark, sf_dir)
+    split = materialize(sampling.train_test_split(df, ID, 0.2, 56), "response-split")
     encoded = features.one_hot(split, features.fit_categories(df))
     used = [c for c in encoded.columns if c not in (ID, "conversion", "is_train")]
     model = models.train_binary(
@@ -186,7 +196,11 @@ tc AS (SELECT *, CASE WHEN campaign_group = 'control' THEN CASE WHEN conversion
 
 
 def labelled(spark, sf_dir):
-    return campaign.target_class(campaign.campaign_group(responses(spark, sf_dir)))
+    return with_classes(responses(spark, sf_dir))
+
+
+def with_classes(df):
+    return campaign.target_class(campaign.campaign_group(df))
 
 
 @check("u09_campaign_group", f"WITH {LABELLED} SELECT customer_id, offer, campaign_group FROM cg")
@@ -208,12 +222,12 @@ def u11(spark, sf_dir):
     return rounded(evaluation.class_distribution(labelled(spark, sf_dir), "target_class"), 6, "share")
 
 
-def uplift_scores(spark, sf_dir):
+def uplift_scores(df):
     """Every customer with class probabilities and uplift score; the model saw 80 % of them."""
-    clustered = segments.ordered_kmeans(labelled(spark, sf_dir), "history", 5, "history_cluster", centers=HISTORY_CENTERS)
+    clustered = segments.ordered_kmeans(with_classes(df), "history", 5, "history_cluster", centers=HISTORY_CENTERS)
     modelled = clustered.drop("offer", "campaign_group", "conversion")
-    split = sampling.train_test_split(modelled, ID, 0.2, 56)
-    encoded = features.one_hot(split, features.fit_categories(modelled))
+    split = materialize(sampling.train_test_split(modelled, ID, 0.2, 56), "uplift-split")
+    encoded = features.one_hot(split, features.fit_categories(split))
     used = [c for c in encoded.columns if c not in (ID, "target_class", "is_train")]
     model = models.train_multiclass(encoded.where("is_train"), "target_class", used, seed=56)
     return campaign.uplift_score(models.score_classes(encoded, model, CLASS_PROBABILITIES))
@@ -221,7 +235,7 @@ def uplift_scores(spark, sf_dir):
 
 @check("u12_train_uplift")
 def u12(spark, sf_dir):
-    return uplift_scores(spark, sf_dir).select(ID, "is_train", "target_class", *CLASS_PROBABILITIES)
+    return uplift_scores(stored(spark, sf_dir)).select(ID, "is_train", "target_class", *CLASS_PROBABILITIES)
 
 
 @check("u13_uplift_score", f"WITH {SCORED} SELECT customer_id, round(uplift_score, 9) AS uplift_score FROM uplifted")
@@ -232,7 +246,8 @@ def u13(spark, sf_dir):
 @check("u13_uplift_score_fitted")
 def u13_fitted(spark, sf_dir):
     """Model scores joined back to the responses by customer."""
-    attached = campaign.attach_scores(responses(spark, sf_dir), uplift_scores(spark, sf_dir), ID)
+    df = stored(spark, sf_dir)
+    attached = campaign.attach_scores(df, uplift_scores(df), ID)
     return attached.select(ID, "offer", "conversion", "uplift_score")
 
 
@@ -255,16 +270,16 @@ HELD_OUT = """SELECT * FROM uplifted WHERE customer_id IN (
 
 @check("u15_high_uplift_targeting", _target_sql(EVERYBODY, 0.75, ">"))
 def u15_high(spark, sf_dir):
-    return rounded(campaign.quantile_targeting(uplifted(spark, sf_dir), 0.75, "high"), UPLIFT_DIGITS)
+    return rounded(campaign.quantile_targeting(stored_uplift(spark, sf_dir), 0.75, "high"), UPLIFT_DIGITS)
 
 
 @check("u15_low_uplift_targeting", _target_sql(EVERYBODY, 0.5, "<"))
 def u15_low(spark, sf_dir):
-    return rounded(campaign.quantile_targeting(uplifted(spark, sf_dir), 0.5, "low"), UPLIFT_DIGITS)
+    return rounded(campaign.quantile_targeting(stored_uplift(spark, sf_dir), 0.5, "low"), UPLIFT_DIGITS)
 
 
 def _heldout(spark, sf_dir, q, side):
-    rows = uplifted(spark, sf_dir)
+    rows = stored_uplift(spark, sf_dir)
     test_ids = sampling.train_test_split(rows.select(ID), ID, 0.2, 56).where(~F.col("is_train"))
     return rounded(campaign.heldout_targeting(rows, test_ids, ID, q, side), UPLIFT_DIGITS)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.ltv import report_sql, stand_in_prediction
 from catalog.registry import S, bucket_sql, check, nearest_sql, rounded
 from tidemark.operators import churn, evaluation, features, models, quantiles, sampling
-from tidemark.session import scratch_path
+from tidemark.session import materialize, scratch_path
 from tidemark.sources import csv, star
 
 ID = "customerID"
@@ -62,12 +62,18 @@ def cleaned(spark, sf_dir):
     return features.fill_from(features.parse_numeric(subscribers(spark, sf_dir), "TotalCharges"), "TotalCharges", "MonthlyCharges")
 
 
+def stored(spark, sf_dir):
+    """Cleaned subscribers written once, for queries that read them several times."""
+    return materialize(cleaned(spark, sf_dir), "subscribers")
+
+
 def grouped(spark, sf_dir):
-    return churn.numeric_groups(cleaned(spark, sf_dir), centers=CENTERS)
+    return churn.numeric_groups(stored(spark, sf_dir), centers=CENTERS)
 
 
 def encoded(spark, sf_dir, drop_first=False):
-    return features.sanitize_columns(features.encode_categoricals(grouped(spark, sf_dir), ID, drop_first=drop_first))
+    ready = materialize(grouped(spark, sf_dir), "grouped")
+    return features.sanitize_columns(features.encode_categoricals(ready, ID, drop_first=drop_first))
 
 
 def model_columns(df):
@@ -140,7 +146,7 @@ def c04_total(spark, sf_dir):
       round(max(MonthlyCharges), 2) AS max FROM s""",
 )
 def c04_describe(spark, sf_dir):
-    described = quantiles.describe(subscribers(spark, sf_dir), "MonthlyCharges")
+    described = quantiles.describe(stored(spark, sf_dir), "MonthlyCharges")
     return rounded(described, 2, "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -187,7 +193,7 @@ def c08(spark, sf_dir):
 
 @check("c08_numeric_groups_fitted")
 def c08_fitted(spark, sf_dir):
-    fitted = churn.numeric_groups(cleaned(spark, sf_dir), seed=7)
+    fitted = churn.numeric_groups(stored(spark, sf_dir), seed=7)
     return fitted.select(ID, *churn.GROUPED_COLUMNS, *churn.GROUPED_COLUMNS.values())
 
 
@@ -199,7 +205,8 @@ def c08_fitted(spark, sf_dir):
     FROM grouped GROUP BY TenureCluster""",
 )
 def c08_profile(spark, sf_dir):
-    return rounded(quantiles.describe(grouped(spark, sf_dir), "tenure", ["TenureCluster"]), 4, "mean", "std")
+    profiled = materialize(grouped(spark, sf_dir).select("tenure", "TenureCluster"), "tenure-groups")
+    return rounded(quantiles.describe(profiled, "tenure", ["TenureCluster"]), 4, "mean", "std")
 
 
 def _code_sql() -> str:
@@ -210,7 +217,7 @@ def _code_sql() -> str:
 
 @check("c09_encode_categoricals", f"WITH {CLEAN} SELECT {_code_sql()} FROM clean")
 def c09(spark, sf_dir):
-    return features.encode_categoricals(cleaned(spark, sf_dir), ID)
+    return features.encode_categoricals(stored(spark, sf_dir), ID)
 
 
 def _clean_code_sql() -> str:
@@ -226,7 +233,7 @@ def _clean_code_sql() -> str:
 
 @check("c10_sanitize_columns", f"WITH {CLEAN} SELECT {_clean_code_sql()} FROM clean")
 def c10(spark, sf_dir):
-    return features.sanitize_columns(features.encode_categoricals(cleaned(spark, sf_dir), ID))
+    return features.sanitize_columns(features.encode_categoricals(stored(spark, sf_dir), ID))
 
 
 @check("c11_logistic_summary")
@@ -242,7 +249,7 @@ def c12(spark, sf_dir):
 
 
 def churn_model(spark, sf_dir, rounds=10):
-    split = sampling.train_test_split(encoded(spark, sf_dir), ID, 0.05, 56)
+    split = materialize(sampling.train_test_split(encoded(spark, sf_dir), ID, 0.05, 56), "churn-split")
     return split, models.train_binary(split.where("is_train"), "Churn", model_columns(split), seed=56, rounds=rounds)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import D, SUPERVISED, check, rounded
 from tidemark.operators import features, forecast
+from tidemark.session import materialize
 from tidemark.sources.star import daily_sales
 
 LAGS = forecast.lag_names()
@@ -27,7 +28,7 @@ def split(spark, sf_dir, series=()):
 
 
 def scaled(spark, sf_dir):
-    both = split(spark, sf_dir)
+    both = materialize(split(spark, sf_dir), "split-months")
     bounds = features.minmax_bounds(both.where("is_train"), SCALED)
     return features.minmax_scale(both, bounds, SCALED), bounds
 
@@ -70,7 +71,7 @@ def f04_single(spark, sf_dir):
 @check("f04_adjusted_r2")
 def f04(spark, sf_dir):
     """One, five and twelve lags."""
-    rows = supervised(spark, sf_dir)
+    rows = materialize(supervised(spark, sf_dir), "lagged-months")
     fits = [forecast.adjusted_r2(rows, "diff", LAGS[:n]) for n in (1, 5, 12)]
     return fits[0].unionByName(fits[1]).unionByName(fits[2])
 
@@ -110,7 +111,8 @@ def f07(spark, sf_dir):
 
 @check("f07_forecast_next_by_store")
 def f07_store(spark, sf_dir):
-    predicted = forecast.forecast_next(split(spark, sf_dir, SERIES), series=SERIES)
+    rows = materialize(split(spark, sf_dir, SERIES), "split-store-months")
+    predicted = forecast.forecast_next(rows, series=SERIES)
     return predicted.select("store", "date", "diff", "pred")
 
 

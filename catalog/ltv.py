@@ -8,6 +8,7 @@ from catalog.registry import T, bucket_sql, check, nearest_sql, rounded
 from catalog.segmentation import RFM_INPUT
 from tidemark.functions.hashing import hash_bucket
 from tidemark.operators import evaluation, features, ltv, models, quantiles, sampling, segments
+from tidemark.session import materialize
 from tidemark.sources.star import transactions
 
 FEATURE_WINDOW = ("2001-01-01", "2001-04-01")
@@ -46,8 +47,13 @@ def ltv_table(spark, sf_dir):
     return ltv.ltv_table(segments.rfm_scores(observed, centers=CENTERS), ltv.future_revenue(outcome))
 
 
+def stored_table(spark, sf_dir):
+    """The LTV table written once, for queries that read it several times."""
+    return materialize(ltv_table(spark, sf_dir), "ltv-table")
+
+
 def clustered(spark, sf_dir):
-    return ltv.ltv_clusters(ltv_table(spark, sf_dir), centers=LTV_CENTERS)
+    return ltv.ltv_clusters(stored_table(spark, sf_dir), centers=LTV_CENTERS)
 
 
 def stand_in_prediction(df, id_col, label, classes):
@@ -85,7 +91,7 @@ def l03(spark, sf_dir):
 
 @check("l04_trim_upper", f"WITH {T}, {LTV} SELECT {COLUMNS} FROM trimmed")
 def l04(spark, sf_dir):
-    return quantiles.trim_upper(ltv_table(spark, sf_dir), "m6_Revenue", 0.99)
+    return quantiles.trim_upper(stored_table(spark, sf_dir), "m6_Revenue", 0.99)
 
 
 @check("l05_ltv_clusters", f"WITH {T}, {LTV} SELECT {COLUMNS}, LTVCluster FROM clustered")
@@ -95,7 +101,7 @@ def l05(spark, sf_dir):
 
 @check("l05_ltv_clusters_fitted")
 def l05_fitted(spark, sf_dir):
-    return ltv.ltv_clusters(ltv_table(spark, sf_dir), seed=7)
+    return ltv.ltv_clusters(stored_table(spark, sf_dir), seed=7)
 
 
 @check(
@@ -153,7 +159,8 @@ MODEL_FEATURES = ["Recency", "Frequency", "Revenue", "RecencyCluster", "Frequenc
 @check("l09_train_multiclass")
 def l09(spark, sf_dir):
     """Class probabilities of every customer, from a forest trained on 90 % of them."""
-    split = sampling.train_test_split(features.one_hot(clustered(spark, sf_dir)), "CustomerID", 0.1, 42)
+    table = materialize(clustered(spark, sf_dir), "ltv-clusters")
+    split = materialize(sampling.train_test_split(features.one_hot(table), "CustomerID", 0.1, 42), "ltv-split")
     model = models.train_multiclass(split.where("is_train"), "LTVCluster", MODEL_FEATURES, seed=42)
     scored = models.score_classes(split, model, ["proba_0", "proba_1", "proba_2"])
     return scored.select("CustomerID", "LTVCluster", "is_train", "prediction", "proba_0", "proba_1", "proba_2")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import T, check, nearest_sql, rounded
 from tidemark.operators import quantiles, segments
+from tidemark.session import materialize
 from tidemark.sources.star import table, transactions
 
 RFM_INPUT = ("CustomerID", "InvoiceDate", "Quantity", "UnitPrice")
@@ -42,6 +43,11 @@ scored AS (
 )"""
 
 
+def stored_measures(spark, sf_dir):
+    """RFM measures written once, for queries that read them several times."""
+    return materialize(segments.rfm_measures(rfm_input(spark, sf_dir)), "rfm-measures")
+
+
 def rfm_input(spark, sf_dir):
     return transactions(spark, sf_dir, RFM_INPUT)
 
@@ -84,7 +90,8 @@ def s03(spark, sf_dir):
 @check("s04_kmeans_1d")
 def s04(spark, sf_dir):
     """Fitted centres; rows-only check because the start of a fit is random."""
-    return segments.kmeans_1d(segments.frequency(rfm_input(spark, sf_dir)), "Frequency", 4, "FrequencyCluster", seed=7)
+    measured = stored_measures(spark, sf_dir).select("CustomerID", "Frequency")
+    return segments.kmeans_1d(measured, "Frequency", 4, "FrequencyCluster", seed=7)
 
 
 @check(
@@ -104,7 +111,7 @@ def s04_assign(spark, sf_dir):
     SELECT CustomerID, Frequency, Revenue, FrequencyCluster FROM c JOIN o USING (cl)""",
 )
 def s05(spark, sf_dir):
-    measured = segments.rfm_measures(rfm_input(spark, sf_dir)).drop("Recency")
+    measured = stored_measures(spark, sf_dir).drop("Recency")
     clustered = segments.assign_to_centers(measured, "Frequency", [35.0, 60.0, 20.0, 45.0], "FrequencyCluster")
     return segments.order_cluster(clustered, "FrequencyCluster", "Revenue", ascending=False)
 

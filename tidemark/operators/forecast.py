@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -82,12 +83,34 @@ def chronological_split(df: DataFrame, n_test: int = N_TEST, series: Sequence[st
     return df.withColumn("is_train", from_end > n_test)
 
 
-def _least_squares(history: pd.DataFrame, label: str, features: list[str]) -> pd.Series:
-    """One series: fit on its training months, predict its other months."""
-    x = np.column_stack([np.ones(len(history)), history[features].to_numpy(float)])
-    train = history["is_train"].to_numpy(bool)
-    weights, *_ = np.linalg.lstsq(x[train], history.loc[train, label].to_numpy(float), rcond=None)
-    return pd.Series(x @ weights, index=history.index)
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _solve(upper: pd.Series, right: pd.Series) -> pd.Series:
+    """Least-squares weights of many series at once, from their sums of products.
+
+    The pseudo-inverse gives the smallest solution when a series has too few months.
+    """
+    if upper.empty:
+        return pd.Series([], dtype=object)
+    y = np.stack(right.to_numpy())
+    n = y.shape[1]
+    rows, cols = np.triu_indices(n)
+    gram = np.zeros((len(y), n, n))
+    gram[:, rows, cols] = gram[:, cols, rows] = np.stack(upper.to_numpy())
+    weights = np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ y[:, :, None]
+    return pd.Series(list(weights[:, :, 0]))
+
+
+def _weights(train: DataFrame, label: str, features: Sequence[str], series: Sequence[str]) -> DataFrame:
+    """Intercept and weights per series.
+
+    Spark adds up the products of each pair of columns, so no series is ever collected
+    and only these sums, one row per series, reach Python.
+    """
+    x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
+    upper = [F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))]
+    right = [F.sum(c * F.col(label)) for c in x]
+    sums = train.groupBy(*series).agg(F.array(*upper).alias("_upper"), F.array(*right).alias("_right"))
+    return sums.select(*series, _solve("_upper", "_right").alias("_w"))
 
 
 def forecast_next(
@@ -100,8 +123,7 @@ def forecast_next(
     """One-step-ahead linear prediction from the lags for every test month.
 
     Without series keys one distributed fit serves all rows.  With them each series gets
-    its own fit; a group is one series, as long as its number of months, so any number of
-    series trains in parallel.
+    its own fit, all of them in one aggregate; a series without training months gets null.
     """
     features = list(features or lag_names())
     series = list(series)
@@ -112,18 +134,12 @@ def forecast_next(
         model = fit.fit(rows.where("is_train"))
         return model.transform(rows.where(~F.col("is_train"))).drop("_x")
 
-    schema = T.StructType([*split.schema.fields, T.StructField(output, T.DoubleType())])
-
-    def predict(history: pd.DataFrame) -> pd.DataFrame:
-        history = history.sort_values("date")
-        if history["is_train"].any():
-            history[output] = _least_squares(history, label, features)
-        else:
-            history[output] = np.nan
-        return history[~history["is_train"].astype(bool)]
-
-    predicted = split.groupBy(*series).applyInPandas(predict, schema)
-    return predicted.withColumn(output, F.nanvl(output, F.lit(None).cast("double")))
+    weights = _weights(split.where("is_train"), label, features, series)
+    predicted = reduce(
+        lambda total, i: total + F.col("_w")[i + 1] * F.col(features[i]), range(len(features)), F.col("_w")[0]
+    )
+    test = split.where(~F.col("is_train")).join(weights, series, "left")
+    return test.withColumn(output, predicted).drop("_w")
 
 
 def rebuild_levels(

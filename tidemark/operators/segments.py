@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.ml.clustering import KMeans
@@ -14,6 +15,7 @@ from pyspark.storagelevel import StorageLevel
 from tidemark.functions.frames import with_one_row
 from tidemark.functions.money import money_sum
 from tidemark.operators.revenue import known_customers
+from tidemark.session import materialize
 
 # Cluster names, segment names and the score above which each starts.
 CLUSTER_NAMES = {0: "Low", 1: "Mid", 2: "High"}
@@ -26,6 +28,8 @@ RFM_K = 4
 RFM_DESCENDING = ("Recency",)
 RFM_MEASURES = ("Recency", "Frequency", "Revenue")
 
+POINTS_PER_TASK = 100_000
+
 
 def rfm_measures(tx: DataFrame) -> DataFrame:
     """Recency in whole days, number of lines and revenue per customer, in one aggregate.
@@ -62,10 +66,19 @@ def monetary(tx: DataFrame) -> DataFrame:
     return known_customers(tx).groupBy("CustomerID").agg(revenue.alias("Revenue"))
 
 
-def _weighted_points(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct points with their multiplicity: the same clustering from far fewer rows."""
+@contextmanager
+def _weighted_points(df: DataFrame, cols: Sequence[str]) -> Iterator[DataFrame]:
+    """Distinct points with their multiplicity: the same clustering from far fewer rows.
+
+    Cached while the fits run, in as many partitions as the number of points deserves.
+    """
     points = df.dropna(subset=list(cols)).groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
-    return VectorAssembler(inputCols=list(cols), outputCol="_features").transform(points)
+    cached = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(points)
+    cached = cached.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield cached.coalesce(1 + cached.count() // POINTS_PER_TASK)
+    finally:
+        cached.unpersist()
 
 
 def _kmeans(k: int, seed: int, max_iter: int) -> KMeans:
@@ -74,11 +87,8 @@ def _kmeans(k: int, seed: int, max_iter: int) -> KMeans:
 
 def kmeans_centers(df: DataFrame, col: str, k: int, seed: int = 0, max_iter: int = 100) -> list[float]:
     """Fits k-means on one column and returns the centres in ascending order."""
-    points = _weighted_points(df, [col]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with _weighted_points(df, [col]) as points:
         model = _kmeans(k, seed, max_iter).fit(points)
-    finally:
-        points.unpersist()
     return sorted(float(c[0]) for c in model.clusterCenters())
 
 
@@ -141,7 +151,14 @@ def ordered_kmeans(
     seed: int = 0,
     centers: Sequence[float] | None = None,
 ) -> DataFrame:
-    """k-means on ``col`` with labels ranked by the mean of ``order_by`` (default: ``col`` itself)."""
+    """k-means on ``col`` with labels ranked by the mean of ``order_by`` (default: ``col`` itself).
+
+    Reads ``df`` two or three times; pass a stored frame rather than a long computation.
+    """
+    if centers is None and order_by in (None, col):
+        # In one dimension clusters are intervals: ranking the centres ranks the means.
+        centers = kmeans_centers(df, col, k, seed)
+        return assign_to_centers(df, col, centers if ascending else centers[::-1], label)
     return order_cluster(kmeans_1d(df, col, k, label, seed, centers), label, order_by or col, ascending)
 
 
@@ -149,15 +166,11 @@ def rfm_scores(
     tx: DataFrame, seed: int = 0, centers: Mapping[str, Sequence[float]] | None = None
 ) -> DataFrame:
     """RFM measures, their ordered clusters, the overall score (0–9) and the value segment."""
-    measures = rfm_measures(tx)
-    fit = centers is None
-    if fit:
-        measures = measures.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            centers = {c: kmeans_centers(measures, c, RFM_K, seed) for c in RFM_MEASURES}
-        finally:
-            measures.unpersist()
-    scored = measures
+    scored = rfm_measures(tx)
+    if centers is None:
+        # Three fits and the scoring read the measures, the lines are read once.
+        scored = materialize(scored, "rfm-measures")
+        centers = {c: kmeans_centers(scored, c, RFM_K, seed) for c in RFM_MEASURES}
     for col in RFM_MEASURES:
         # In one dimension clusters are intervals: ranking the centres ranks the means.
         ranked = sorted(centers[col], reverse=col in RFM_DESCENDING)
@@ -180,9 +193,8 @@ def value_segment(score: str) -> Column:
 def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(1, 10), seed: int = 0) -> DataFrame:
     """Within-cluster squared error for each k, fitted on the named columns only."""
     spark = df.sparkSession
-    points = _weighted_points(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
-    try:
+    with _weighted_points(df, cols) as points:
         # One centre is the mean: its error needs a single aggregate, no fit.
         w = F.col("_weight")
         mean_of = {c: F.sum(F.col(c) * w) / F.sum(w) for c in cols}
@@ -193,8 +205,6 @@ def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(1, 10),
                 rows.append((1, float(points.agg(F.sum(square * w)).first()[0])))
             else:
                 rows.append((int(k), float(_kmeans(k, seed, 1000).fit(points).summary.trainingCost)))
-    finally:
-        points.unpersist()
     return spark.createDataFrame(rows, "k int, inertia double")
 
 
