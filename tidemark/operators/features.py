@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,16 +153,21 @@ def minmax_inverse(
 def label_correlation(df: DataFrame, label: str, exclude: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of every numeric column with the label, strongest first.
 
-    A constant column has no correlation (null).
+    Rows in which either side is null do not count.  A constant column has no correlation
+    (null); Spark's own ``corr`` stops with a division by zero there.
     """
     cols = numeric_columns(df, exclude)
     y = F.col(label).cast("double")
-    named = [F.corr(F.col(f"`{c}`").cast("double"), y).alias(f"c{i}") for i, c in enumerate(cols)]
-    one_row = df.agg(*named)
+
+    def correlation(x: Column) -> Column:
+        both = x.isNotNull() & y.isNotNull()
+        spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+        return F.try_divide(F.covar_pop(x, y), spread)
+
+    one_row = df.agg(*[correlation(F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("r")) for i, c in enumerate(cols)])
-    r = F.col("p.r")
     return (
         one_row.select(F.explode(pairs).alias("p"))
-        .select("p.feature", F.when(~F.isnan(r), r).alias("correlation"))
+        .select("p.feature", F.col("p.r").alias("correlation"))
         .orderBy(F.desc_nulls_last("correlation"), "feature")
     )
