@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import join_per_key
 from tidemark.functions.money import as_money
 from tidemark.functions.periods import period_code
 from tidemark.operators.revenue import MONTH, known_customers
+from tidemark.session import materialize
 
 # Labels of the two customer types.
 NEW, EXISTING = "New", "Existing"
@@ -24,11 +26,16 @@ def first_purchase(tx: DataFrame, grain: str = "month") -> DataFrame:
 def label_user_type(tx: DataFrame, grain: str = "month") -> DataFrame:
     """Every line with its customer's first purchase and New/Existing.
 
-    This keeps the lines, so it has to move them to their customer: a shuffle join that
-    AQE splits when one customer is hot.  The reports below never need it, they work on
+    This keeps the lines, so it has to bring them together with their customer; hot
+    customers are spread.  The reports below never need it, they work on
     :func:`customer_periods`.
     """
-    labelled = known_customers(tx).join(first_purchase(tx, grain), "CustomerID")
+    lines = known_customers(tx)
+    first = lines.groupBy("CustomerID").agg(
+        F.min("InvoiceDate").alias("MinPurchaseDate"), F.count(F.lit(1)).alias("_lines")
+    )
+    first = materialize(first.withColumn("MinPurchaseYearMonth", period_code("MinPurchaseDate", grain)), "first-purchase")
+    labelled = join_per_key(lines, first, ["CustomerID"], "_lines")
     is_later = F.col(MONTH) > F.col("MinPurchaseYearMonth")
     return labelled.withColumn("UserType", F.when(is_later, EXISTING).otherwise(NEW))
 

@@ -57,9 +57,12 @@ def train_binary(
 
 
 def score_classes(df: DataFrame, model: PipelineModel, names: Sequence[str]) -> DataFrame:
-    """Adds ``prediction`` and one probability column per class, in class order, to every row."""
+    """Adds ``prediction`` and one probability column per class, in class order, to every row.
+
+    A class the training rows did not contain has probability 0.
+    """
     scored = model.transform(df).withColumn("_p", vector_to_array("probability"))
-    probabilities = [F.col("_p")[i].alias(n) for i, n in enumerate(names)]
+    probabilities = [F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)).alias(n) for i, n in enumerate(names)]
     return scored.select(*[F.col(f"`{c}`") for c in df.columns], "prediction", *probabilities)
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import over_groups, with_one_row
+from tidemark.functions.joins import join_per_key
+from tidemark.session import materialize
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 
@@ -30,15 +32,21 @@ def exact_quantiles(
     """Linearly interpolated quantiles of ``col``, one row per group (one row without ``by``).
 
     ``probs`` maps output names to probabilities.  Null values and null groups do not count.
+    ``df`` is read three times, the first time at once: pass a stored frame rather than a
+    long computation.
     """
     by = list(by)
     values = df.dropna(subset=[col, *by]).select(*by, F.col(col).cast("double").alias("_v"))
     edges = sorted({min(1.0, max(0.0, p + s)) for p in probs.values() for s in (-HALF_WIDTH, HALF_WIDTH)})
     sketch = F.percentile_approx("_v", edges, ACCURACY).alias("_edges")
+    # Two runs of a sketch may differ, and both steps below must see the same brackets:
+    # they are computed once and kept.
     if by:
-        values = values.join(values.groupBy(*by).agg(sketch), by)
+        brackets = materialize(values.groupBy(*by).agg(sketch, F.count(F.lit(1)).alias("_rows")), "brackets")
+        values = join_per_key(values, brackets, by, "_rows")
     else:
-        values = with_one_row(values, values.agg(sketch))
+        kept = values.agg(sketch).first()["_edges"] or [None] * len(edges)
+        values = values.withColumn("_edges", F.array(*[F.lit(e).cast("double") for e in kept]))
     # Which side of each edge a value lies on; equal values always share a band.
     band = reduce(
         lambda a, b: a + b,

@@ -65,31 +65,32 @@ def monthly_retention(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     # From here on there are at most periods x periods rows.
-    periods = pairs.groupBy(MONTH).agg(F.sum("n").alias("TotalUserCount"))
-    in_order = over_groups([], [MONTH])
-    idx = code_to_index(MONTH, grain) if calendar else F.row_number().over(in_order)
-    periods = periods.withColumns(
-        {"idx": idx, "Position": F.row_number().over(in_order)}
-    ).withColumns(
-        {
-            "PreviousPeriod": F.when(F.lag("idx").over(in_order) == F.col("idx") - 1, F.lag(MONTH).over(in_order)),
-            "PreviousCount": F.when(
-                F.lag("idx").over(in_order) == F.col("idx") - 1, F.lag("TotalUserCount").over(in_order)
-            ),
-        }
+    before = Window.partitionBy(F.lit(1)).orderBy(MONTH).rangeBetween(Window.unboundedPreceding, -1)
+    periods = (
+        pairs.withColumn("PreviousPeriod", F.max(MONTH).over(before))
+        .groupBy(MONTH, "PreviousPeriod")
+        .agg(
+            F.sum("n").alias("TotalUserCount"),
+            F.sum(F.when(F.col("LastSeen") == F.col("PreviousPeriod"), F.col("n")).otherwise(0)).alias("Retained"),
+        )
     )
-    retained = pairs.select(MONTH, F.col("LastSeen").alias("PreviousPeriod"), F.col("n").alias("Retained"))
-    base = "TotalUserCount" if denominator == "current" else "PreviousCount"
-    count = F.coalesce("Retained", F.lit(0)).cast("bigint")
+    in_order = over_groups([], [MONTH])
+    adjacent = F.lit(True)
+    if calendar:
+        adjacent = code_to_index("PreviousPeriod", grain) == code_to_index(MONTH, grain) - 1
+    retained = F.when(adjacent, F.col("Retained")).otherwise(0).cast("bigint")
+    previous = F.when(adjacent, F.lag("TotalUserCount").over(in_order))
+    base = F.col("TotalUserCount") if denominator == "current" else previous
     return (
-        periods.join(retained, [MONTH, "PreviousPeriod"], "left")
-        .where(F.col("Position") >= (3 if skip_first else 2))
-        .select(
-            MONTH,
-            "TotalUserCount",
-            count.alias("RetainedUserCount"),
-            F.try_divide(count.cast("double"), F.col(base)).alias("RetentionRate"),
+        periods.withColumns(
+            {
+                "Position": F.row_number().over(in_order),
+                "RetainedUserCount": retained,
+                "RetentionRate": F.try_divide(retained.cast("double"), base),
+            }
         )
+        .where(F.col("Position") >= (3 if skip_first else 2))
+        .select(MONTH, "TotalUserCount", "RetainedUserCount", "RetentionRate")
     )
 
 
@@ -107,40 +108,43 @@ def streak_cohort(
     unbroken runs; somebody at ``r`` periods before the end of a run survives offsets
     0 … r, so one count per (start, r) and a running total from the far end is enough.
     """
-    numbered = _numbered(activity(tx), calendar, grain)
+    active = activity(tx)
+    numbered = _numbered(active, calendar, grain)
     by_customer = Window.partitionBy("CustomerID").orderBy("idx")
     run = numbered.withColumn("run", F.col("idx") - F.row_number().over(by_customer))
     left = F.max("idx").over(Window.partitionBy("CustomerID", "run")) - F.col("idx")
-    ends = run.withColumn("Offset", left).groupBy("idx", "Offset").agg(F.count(F.lit(1)).alias("n"))
+    ends = run.withColumn("left", left).groupBy("idx", MONTH, "left").agg(F.count(F.lit(1)).alias("n"))
 
-    # Period level: give every start each offset up to the last period, also offsets no
-    # run ends on, then accumulate.
-    starts = ends.groupBy("idx").agg(F.sum("n").alias("TotalUserCount"))
+    # Period level.  Between two observed run ends the number of survivors is constant;
+    # behind the last one it is zero up to the end of the data.
+    of_start = Window.partitionBy("idx")
     everything = over_groups([])
-    grid = starts.withColumns(
-        {"first": F.min("idx").over(everything), "last": F.max("idx").over(everything)}
+    ends = ends.withColumns(
+        {
+            "alive": F.sum("n").over(of_start.orderBy(F.desc("left"))),
+            "TotalUserCount": F.sum("n").over(of_start),
+            "since": F.coalesce(F.lag("left").over(of_start.orderBy("left")) + 1, F.lit(0)),
+            "longest": F.max("left").over(of_start),
+            "first": F.min("idx").over(everything),
+            "last": F.max("idx").over(everything) - F.col("idx"),
+        }
     )
     if skip_first:
-        grid = grid.where(F.col("idx") > F.col("first"))
-    grid = grid.withColumn("Offset", F.explode(F.sequence(F.lit(0), F.col("last") - F.col("idx"))))
-    survivors = F.sum(F.coalesce("n", F.lit(0))).over(
-        Window.partitionBy("idx").orderBy(F.desc("Offset"))
-    )
-    table = grid.join(ends, ["idx", "Offset"], "left").withColumn("survivors", survivors)
-    share = round_half_even(F.col("survivors") / F.col("TotalUserCount"), 2)
+        ends = ends.where(F.col("idx") > F.col("first"))
+    # The longest run also stands for the offsets behind it.
+    stop = F.when(F.col("left") == F.col("longest"), F.col("last")).otherwise(F.col("left"))
+    table = ends.withColumn("Offset", F.explode(F.sequence(F.col("since"), stop)))
+    survivors = F.when(F.col("Offset") <= F.col("left"), F.col("alive")).otherwise(0)
+    table = table.withColumns({"survivors": survivors, "later": F.col("idx") + F.col("Offset")})
     if calendar:
-        code = {"start": index_to_code("idx", grain), "later": index_to_code(F.col("idx") + F.col("Offset"), grain)}
-        named = table.select("*", code["start"].alias("StartPeriod"), code["later"].alias("Period"))
+        named = table.withColumn("Period", index_to_code("later", grain))
     else:
-        names = present_periods(activity(tx))
-        start = names.select("idx", F.col(MONTH).alias("StartPeriod"))
-        later = names.select(F.col("idx").alias("later_idx"), F.col(MONTH).alias("Period"))
-        named = (
-            table.withColumn("later_idx", F.col("idx") + F.col("Offset"))
-            .join(start, "idx")
-            .join(later, "later_idx")
-        )
-    return named.select("StartPeriod", "Period", "Offset", "TotalUserCount", share.alias("RetentionRate"))
+        later = present_periods(active).select(F.col("idx").alias("later"), F.col(MONTH).alias("Period"))
+        named = table.join(F.broadcast(later), "later")
+    share = round_half_even(F.col("survivors") / F.col("TotalUserCount"), 2)
+    return named.select(
+        F.col(MONTH).alias("StartPeriod"), "Period", "Offset", "TotalUserCount", share.alias("RetentionRate")
+    )
 
 
 def streak_matrix(cohort: DataFrame, periods: Sequence[int]) -> DataFrame:

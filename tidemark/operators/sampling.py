@@ -8,12 +8,15 @@ in 65,536, is ranked.  The same id and seed always land on the same side.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import over_groups
 from tidemark.functions.hashing import digest
+from tidemark.functions.joins import join_per_key
+from tidemark.session import materialize
 
 PREFIX_DIGITS = 4
 
@@ -59,7 +62,12 @@ def exact_share(
     )
     # No such row means a quota of zero.
     if by:
-        marked = df.join(last, by, "left")
+        sizes = slices.groupBy(*by).agg(F.max("_total").alias("_total"))
+        cuts = materialize(sizes.join(last, by, "left"), "cuts")
+        # Rows without a group have no cut but stay.
+        known = join_per_key(df.dropna(subset=by), cuts, by, "_total")
+        unknown = df.where(~reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by]))
+        marked = known.unionByName(unknown.withColumn("_last", F.lit(None).cast(cuts.schema["_last"].dataType)))
     else:
         marked = df.withColumn("_last", last.scalar())
     chosen = F.coalesce(key <= F.col("_last"), F.lit(False))

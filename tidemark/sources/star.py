@@ -93,7 +93,7 @@ def transactions(
 
 def signups(spark: SparkSession, sf_dir: str, grain: str = "day") -> DataFrame:
     """One row per signed-up user: period of sign-up, period of first purchase, channel."""
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "purchase"))
     is_signup = F.col("event_type") == "signup"
     channel_no = F.get_json_object("props", "$.k").cast("int") % 3
     first = events.groupBy(F.col("user_id").alias("CustomerID")).agg(
