@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from catalog.registry import R, check, nearest_sql, rounded, unit_sql
 from tidemark.functions.hashing import hash_unit
-from tidemark.operators import campaign, evaluation, experiment, features, models, sampling, segments
+from tidemark.operators import campaign, evaluation, experiment, features, sampling, segments
 from tidemark.operators.campaign import BOGO, CLASS_PROBABILITIES
 from tidemark.operators.churn import rate_by_categories
+from tidemark.plans import promotion
 from tidemark.session import materialize
 from tidemark.sources.star import responses
 
@@ -162,21 +163,11 @@ def u06_profile(spark, sf_dir):
     return rounded(profile, {"history_mean": 2, "history_min": 2, "history_max": 2, "conversion_mean": 6})
 
 
-def response_scores(spark, sf_dir, rounds=10):
-    df = stored(spark, sf_dir)
-    split = materialize(sampling.train_test_split(df, ID, 0.2, 56), "response-split")
-    encoded = features.one_hot(split, features.fit_categories(df))
-    used = [c for c in encoded.columns if c not in (ID, "conversion", "is_train")]
-    model = models.train_binary(
-        encoded.where("is_train"), "conversion", used, seed=56, rounds=rounds, step=models.RESPONSE_STEP
-    )
-    return models.score(encoded.where(~F.col("is_train")), model)
-
-
 @check("u07_train_response")
 def u07(spark, sf_dir):
     """Conversion probability of the test customers."""
-    return response_scores(spark, sf_dir).select(ID, "conversion", "proba")
+    scored = promotion.predict_response(stored(spark, sf_dir), ID, rounds=10).customers
+    return scored.where("not is_train").select(ID, "conversion", "proba")
 
 
 @check(
@@ -196,11 +187,7 @@ tc AS (SELECT *, CASE WHEN campaign_group = 'control' THEN CASE WHEN conversion
 
 
 def labelled(spark, sf_dir):
-    return with_classes(responses(spark, sf_dir))
-
-
-def with_classes(df):
-    return campaign.target_class(campaign.campaign_group(df))
+    return campaign.target_class(campaign.campaign_group(responses(spark, sf_dir)))
 
 
 @check("u09_campaign_group", f"WITH {LABELLED} SELECT customer_id, offer, campaign_group FROM cg")
@@ -223,14 +210,7 @@ def u11(spark, sf_dir):
 
 
 def uplift_scores(df):
-    """Every customer with class probabilities and uplift score; the model saw 80 % of them."""
-    clustered = segments.ordered_kmeans(with_classes(df), "history", 5, "history_cluster", centers=HISTORY_CENTERS)
-    modelled = clustered.drop("offer", "campaign_group", "conversion")
-    split = materialize(sampling.train_test_split(modelled, ID, 0.2, 56), "uplift-split")
-    encoded = features.one_hot(split, features.fit_categories(split))
-    used = [c for c in encoded.columns if c not in (ID, "target_class", "is_train")]
-    model = models.train_multiclass(encoded.where("is_train"), "target_class", used, seed=56)
-    return campaign.uplift_score(models.score_classes(encoded, model, CLASS_PROBABILITIES))
+    return promotion.predict_uplift(df, ID, centers=HISTORY_CENTERS).customers
 
 
 @check("u12_train_uplift")
@@ -301,3 +281,19 @@ def u16_low(spark, sf_dir):
 )
 def u16_histogram(spark, sf_dir):
     return rounded(experiment.histogram(uplifted(spark, sf_dir), "uplift_score", 0.05), 6, "density")
+
+
+def _fitted_targeting(spark, sf_dir, report):
+    df = stored(spark, sf_dir)
+    return promotion.targeting_reports(df, uplift_scores(df), ID)[report]
+
+
+@check("u15_fitted_high_targeting")
+def u15_fitted(spark, sf_dir):
+    """The whole way: model scores of every customer, then the discount among the top quarter."""
+    return _fitted_targeting(spark, sf_dir, "high")
+
+
+@check("u16_fitted_unseen_high_targeting")
+def u16_fitted(spark, sf_dir):
+    return _fitted_targeting(spark, sf_dir, "unseen_high")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.ltv import report_sql, stand_in_prediction
 from catalog.registry import S, bucket_sql, check, nearest_sql, rounded
-from tidemark.operators import churn, evaluation, features, models, quantiles, sampling
+from tidemark.operators import churn, evaluation, features, models, quantiles
+from tidemark.plans import churn as plan
 from tidemark.session import materialize, scratch_path
 from tidemark.sources import csv, star
 
@@ -59,7 +60,7 @@ def subscribers(spark, sf_dir):
 
 
 def cleaned(spark, sf_dir):
-    return features.fill_from(features.parse_numeric(subscribers(spark, sf_dir), "TotalCharges"), "TotalCharges", "MonthlyCharges")
+    return plan.clean_subscribers(subscribers(spark, sf_dir))
 
 
 def stored(spark, sf_dir):
@@ -72,12 +73,7 @@ def grouped(spark, sf_dir):
 
 
 def encoded(spark, sf_dir, drop_first=False):
-    ready = materialize(grouped(spark, sf_dir), "grouped")
-    return features.sanitize_columns(features.encode_categoricals(ready, ID, drop_first=drop_first))
-
-
-def model_columns(df):
-    return [c for c in df.columns if c not in (ID, "Churn", "is_train")]
+    return plan.model_table(stored(spark, sf_dir), centers=CENTERS, drop_first=drop_first)
 
 
 @check("c01_read_subscribers", f"WITH {S} SELECT * FROM s")
@@ -238,26 +234,22 @@ def c10(spark, sf_dir):
 
 @check("c11_logistic_summary")
 def c11(spark, sf_dir):
-    ready = encoded(spark, sf_dir, drop_first=True)
-    return models.logistic_summary(ready, "Churn", model_columns(ready))
+    return plan.explain_churn(encoded(spark, sf_dir, drop_first=True))
 
 
 @check("c12_odds_ratios")
 def c12(spark, sf_dir):
-    ready = encoded(spark, sf_dir, drop_first=True)
-    return models.odds_ratios(models.logistic_summary(ready, "Churn", model_columns(ready)))
+    return models.odds_ratios(plan.explain_churn(encoded(spark, sf_dir, drop_first=True)))
 
 
 def churn_model(spark, sf_dir, rounds=10):
-    split = materialize(sampling.train_test_split(encoded(spark, sf_dir), ID, 0.05, 56), "churn-split")
-    return split, models.train_binary(split.where("is_train"), "Churn", model_columns(split), seed=56, rounds=rounds)
+    return plan.predict_churn(encoded(spark, sf_dir), rounds=rounds)
 
 
 @check("c13_train_binary")
 def c13(spark, sf_dir):
     """Accuracy on the training and on the test customers."""
-    split, model = churn_model(spark, sf_dir)
-    return evaluation.accuracy(models.score(split, model), "Churn", by="is_train")
+    return churn_model(spark, sf_dir).accuracy()
 
 
 @check("c13_churn_report", report_sql(
@@ -271,12 +263,10 @@ def c13_report(spark, sf_dir):
 
 @check("c14_feature_importance")
 def c14(spark, sf_dir):
-    split, model = churn_model(spark, sf_dir)
-    return models.feature_importance(split, model)
+    return churn_model(spark, sf_dir).importance()
 
 
 @check("c15_score")
 def c15(spark, sf_dir):
     """Churn probability of every customer; ``is_train`` says who the model has seen."""
-    split, model = churn_model(spark, sf_dir)
-    return models.score(split, model).select(ID, "is_train", "proba")
+    return churn_model(spark, sf_dir).customers.select(ID, "is_train", "proba")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import D, SUPERVISED, check, rounded
 from tidemark.operators import features, forecast
+from tidemark.plans import sales
 from tidemark.session import materialize
 from tidemark.sources.star import daily_sales
 
@@ -18,13 +19,12 @@ def monthly(spark, sf_dir, series=()):
     return forecast.resample_month(daily_sales(spark, sf_dir), series=series)
 
 
-def supervised(spark, sf_dir, series=()):
-    diffs = forecast.difference(monthly(spark, sf_dir, series), series=series).drop("prev_sales")
-    return forecast.add_lags(diffs, series=series)
+def split(spark, sf_dir, series=()):
+    return sales.supervised_months(monthly(spark, sf_dir, series), series)
 
 
-def split(spark, sf_dir, series=()):
-    return forecast.chronological_split(supervised(spark, sf_dir, series), series=series)
+def supervised(spark, sf_dir):
+    return split(spark, sf_dir).drop("is_train")
 
 
 def scaled(spark, sf_dir):
@@ -135,3 +135,14 @@ def f08(spark, sf_dir):
 @check("f09_actual_vs_predicted", f"WITH {LEVELS} SELECT date, sales, pred_value FROM monthly LEFT JOIN levels USING (date)")
 def f09(spark, sf_dir):
     return forecast.actual_vs_predicted(monthly(spark, sf_dir), naive_levels(spark, sf_dir))
+
+
+@check("f09_forecast_report")
+def f09_report(spark, sf_dir):
+    """The whole way: fitted changes of the last six months as levels next to the actual months."""
+    return sales.forecast_report(daily_sales(spark, sf_dir))
+
+
+@check("f09_forecast_report_by_store")
+def f09_report_store(spark, sf_dir):
+    return sales.forecast_report(daily_sales(spark, sf_dir), SERIES)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from catalog.registry import T, bucket_sql, check, nearest_sql, rounded
 from catalog.segmentation import RFM_INPUT
 from tidemark.functions.hashing import hash_bucket
-from tidemark.operators import evaluation, features, ltv, models, quantiles, sampling, segments
+from tidemark.operators import evaluation, features, ltv, quantiles, sampling, segments
+from tidemark.plans import value
 from tidemark.session import materialize
 from tidemark.sources.star import transactions
 
@@ -43,8 +44,8 @@ def windows(spark, sf_dir):
 
 
 def ltv_table(spark, sf_dir):
-    observed, outcome = windows(spark, sf_dir)
-    return ltv.ltv_table(segments.rfm_scores(observed, centers=CENTERS), ltv.future_revenue(outcome))
+    tx = transactions(spark, sf_dir, RFM_INPUT)
+    return value.ltv_table(tx, FEATURE_WINDOW, OUTCOME_WINDOW, centers=CENTERS)
 
 
 def stored_table(spark, sf_dir):
@@ -152,17 +153,10 @@ def l08(spark, sf_dir):
     return sampling.train_test_split(customers, "c_custkey", 0.1, 42)
 
 
-MODEL_FEATURES = ["Recency", "Frequency", "Revenue", "RecencyCluster", "FrequencyCluster", "RevenueCluster",
-                  "OverallScore", "Segment_High-Value", "Segment_Low-Value", "Segment_Mid-Value"]
-
-
 @check("l09_train_multiclass")
 def l09(spark, sf_dir):
     """Class probabilities of every customer, from a forest trained on 90 % of them."""
-    table = materialize(clustered(spark, sf_dir), "ltv-clusters")
-    split = materialize(sampling.train_test_split(features.one_hot(table), "CustomerID", 0.1, 42), "ltv-split")
-    model = models.train_multiclass(split.where("is_train"), "LTVCluster", MODEL_FEATURES, seed=42)
-    scored = models.score_classes(split, model, ["proba_0", "proba_1", "proba_2"])
+    scored = value.predict_ltv_cluster(clustered(spark, sf_dir)).customers
     return scored.select("CustomerID", "LTVCluster", "is_train", "prediction", "proba_0", "proba_1", "proba_2")
 
 
