@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import check, experiment_sql, rounded
 from tidemark.operators import experiment as ab
 from tidemark.operators import sampling
-from tidemark.sources.star import experiment
+from tidemark.sources.star import experiment, table
 
 E2 = experiment_sql("control", "test")
 E3 = experiment_sql("A", "B", "C")
@@ -66,7 +66,7 @@ def x01_by(spark, sf_dir):
 )
 def x02(spark, sf_dir):
     """Verdict of one test per half of the nations."""
-    halves = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+    halves = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("customer_id"),
         F.when(F.col("c_nationkey") >= 13, "high-value").otherwise("low-value").alias("half"),
     )

@@ -10,7 +10,7 @@ from tidemark.functions.hashing import hash_bucket
 from tidemark.operators import evaluation, features, ltv, quantiles, sampling, segments
 from tidemark.plans import value
 from tidemark.session import materialize
-from tidemark.sources.star import transactions
+from tidemark.sources.star import table, transactions
 
 FEATURE_WINDOW = ("2001-01-01", "2001-04-01")
 OUTCOME_WINDOW = ("2001-04-01", "2001-08-01")
@@ -149,7 +149,7 @@ def l07(spark, sf_dir):
     SELECT c_custkey, c_name, i > ceil(0.1::DOUBLE * n) AS is_train FROM k""",
 )
 def l08(spark, sf_dir):
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return sampling.train_test_split(customers, "c_custkey", 0.1, 42)
 
 

@@ -1,8 +1,8 @@
 """Order-independent sums of money.
 
 A sum of doubles depends on the order in which partitions arrive, so two runs of
-the same query can differ in the last digits.  Amounts are therefore summed as
-decimals and turned into doubles once, at the end.
+the same query can differ in the last digits.  Amounts are therefore summed exactly, in
+ten-thousandths, and turned into doubles once, at the end.
 """
 
 from __future__ import annotations
@@ -11,17 +11,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Four digits hold a three-digit unit price times a whole quantity without loss, and
-# 18 digits still fit the compact in-memory form of a decimal.
-MONEY = T.DecimalType(18, 4)
+# Four digits hold a three-digit unit price times a whole quantity without loss.
+UNITS = 10_000
+TOTAL = T.DecimalType(28, 4)
 
+# A sum of decimals costs an object per row.  Whole numbers do not, and summing the upper
+# and the lower part apart leaves room for 10^12 rows before a long is full.
+LOW_BITS = 20
 
-def as_money(col: Column | str) -> Column:
-    return (F.col(col) if isinstance(col, str) else col).cast(MONEY)
+
+def exact_sum(col: Column | str) -> Column:
+    """Sum as a decimal, for totals that are added up again."""
+    amount = F.col(col) if isinstance(col, str) else col
+    units = F.rint(amount * UNITS).cast("bigint")
+    high = F.sum(F.shiftright(units, LOW_BITS)).cast("decimal(20,0)")
+    low = F.sum(units.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(20,0)")
+    return ((high * F.lit(1 << LOW_BITS) + low) / F.lit(UNITS)).cast(TOTAL)
 
 
 def money_sum(col: Column | str) -> Column:
-    return F.sum(as_money(col)).cast("double")
+    return exact_sum(col).cast("double")
 
 
 def money_avg(col: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.joins import join_per_key
-from tidemark.functions.money import as_money
+from tidemark.functions.money import exact_sum
 from tidemark.functions.periods import period_code
 from tidemark.operators.revenue import MONTH, known_customers
 from tidemark.session import materialize
@@ -48,7 +48,7 @@ def customer_periods(tx: DataFrame) -> DataFrame:
     any other.  All measures are sums, so months can be added up again exactly.
     """
     has_revenue = "Revenue" in tx.columns
-    revenue = F.sum(as_money("Revenue")) if has_revenue else F.lit(None).cast("decimal(28,4)")
+    revenue = exact_sum("Revenue") if has_revenue else F.lit(None).cast("decimal(28,4)")
     per_month = known_customers(tx).groupBy("CustomerID", MONTH).agg(
         F.count(F.lit(1)).alias("Lines"), revenue.alias("Revenue")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import growth
-from tidemark.functions.money import as_money, money_avg, money_sum
+from tidemark.functions.money import exact_sum, money_avg, money_sum
 from tidemark.functions.periods import period_code
 
 MONTH = "InvoiceYearMonth"
@@ -44,7 +44,7 @@ def monthly_revenue(tx: DataFrame) -> DataFrame:
 
 def top_countries(tx: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` countries with the most revenue, amounts cut to whole units."""
-    exact = tx.groupBy("Country").agg(F.sum(as_money("Revenue")).alias("total"))
+    exact = tx.groupBy("Country").agg(exact_sum("Revenue").alias("total"))
     best = exact.where(F.col("Country").isNotNull()).orderBy(F.desc("total"), "Country").limit(n)
     return best.select("Country", F.col("total").cast("bigint").alias("Revenue"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import hash_bucket
-from tidemark.functions.money import as_money, money_sum
+from tidemark.functions.money import exact_sum, money_sum
 from tidemark.functions.periods import code_to_index, period_code
 from tidemark.operators.revenue import with_revenue
 
@@ -41,8 +41,23 @@ THREE_WAY_COLUMNS = (
 )
 
 
+# Fixed schemas: no file is opened before the query runs.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def transactions(
@@ -115,7 +130,7 @@ def subscribers(spark: SparkSession, sf_dir: str, churn_before: str = "2001-01-0
     orders = table(spark, sf_dir, "orders")
     by_priority = orders.groupBy("o_custkey", "o_orderpriority").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(as_money("o_totalprice")).alias("spent"),
+        exact_sum("o_totalprice").alias("spent"),
         F.min("o_orderdate").alias("first"),
         F.max("o_orderdate").alias("last"),
     )
