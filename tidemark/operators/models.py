@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -20,6 +21,8 @@ RESPONSE_STEP = 0.3
 SIGNIFICANCE = 0.05
 Z_95 = 1.959963984540054
 
+ROWS_PER_TASK = 50_000
+
 
 def _fit(estimator, train: DataFrame, label: str, features: Sequence[str]) -> PipelineModel:
     """Fits on exactly the columns needed, cached because boosting passes over them many times."""
@@ -27,12 +30,19 @@ def _fit(estimator, train: DataFrame, label: str, features: Sequence[str]) -> Pi
     rows = assembler.transform(
         train.select(F.col(label).cast("double").alias(label), *[F.col(f"`{c}`") for c in features])
     ).select(label, "_features")
+    with _cached(rows) as ready:
+        model = estimator.setFeaturesCol("_features").setLabelCol(label).fit(ready)
+    return PipelineModel([assembler, model])
+
+
+@contextmanager
+def _cached(rows: DataFrame) -> Iterator[DataFrame]:
+    """Rows cached for a fit, in as many partitions as their number deserves."""
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = estimator.setFeaturesCol("_features").setLabelCol(label).fit(rows)
+        yield rows.coalesce(1 + rows.count() // ROWS_PER_TASK)
     finally:
         rows.unpersist()
-    return PipelineModel([assembler, model])
 
 
 def train_multiclass(
@@ -90,10 +100,9 @@ def logistic_summary(df: DataFrame, label: str, features: Sequence[str], alpha:
     rows = assembler.transform(
         df.select(F.col(label).cast("double").alias(label), *[F.col(f"`{c}`") for c in features])
     ).select(label, "_features")
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with _cached(rows) as ready:
         regression = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_features", labelCol=label)
-        model = regression.fit(rows)
+        model = regression.fit(ready)
         summary = model.summary
         # The summary lists the intercept last.
         names = [*features, "Intercept"]
@@ -101,8 +110,6 @@ def logistic_summary(df: DataFrame, label: str, features: Sequence[str], alpha:
         table = list(
             zip(names, coefficients, summary.coefficientStandardErrors, summary.tValues, summary.pValues)
         )
-    finally:
-        rows.unpersist()
     fitted = df.sparkSession.createDataFrame(
         [(n, float(c), float(e), float(z), float(p)) for n, c, e, z, p in table],
         "feature string, coefficient double, std_error double, z double, p_value double",

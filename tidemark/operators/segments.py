@@ -28,6 +28,9 @@ RFM_K = 4
 RFM_DESCENDING = ("Recency",)
 RFM_MEASURES = ("Recency", "Frequency", "Revenue")
 
+# Fixed value: the usual stopping rule of k-means, as a share of the variance.
+TOLERANCE = 1e-4
+
 POINTS_PER_TASK = 100_000
 
 
@@ -67,28 +70,39 @@ def monetary(tx: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _weighted_points(df: DataFrame, cols: Sequence[str]) -> Iterator[DataFrame]:
-    """Distinct points with their multiplicity: the same clustering from far fewer rows.
+def _weighted_points(df: DataFrame, cols: Sequence[str]) -> Iterator[tuple[DataFrame, float]]:
+    """Distinct points with their multiplicity, and their mean variance.
 
-    Cached while the fits run, in as many partitions as the number of points deserves.
+    The same clustering from far fewer rows; cached while the fits run, in as many
+    partitions as the number of points deserves.
     """
     points = df.dropna(subset=list(cols)).groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
     cached = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(points)
     cached = cached.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield cached.coalesce(1 + cached.count() // POINTS_PER_TASK)
+        w = F.col("_weight")
+        n, *variances = cached.agg(F.count(w), *[_weighted_variance(F.col(c), w) for c in cols]).first()
+        yield cached.coalesce(1 + n // POINTS_PER_TASK), sum(v or 0.0 for v in variances) / len(cols)
     finally:
         cached.unpersist()
 
 
-def _kmeans(k: int, seed: int, max_iter: int) -> KMeans:
-    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", weightCol="_weight")
+def _weighted_variance(x: Column, w: Column) -> Column:
+    mean = F.try_divide(F.sum(x * w), F.sum(w))
+    return F.try_divide(F.sum(x * x * w), F.sum(w)) - mean * mean
+
+
+def _kmeans(k: int, seed: int, max_iter: int, variance: float) -> KMeans:
+    # Stop when all centres together move less than TOLERANCE of the variance, whatever
+    # the unit of the column.
+    step = max(TOLERANCE * variance / k, 0.0) ** 0.5
+    return KMeans(k=k, seed=seed, maxIter=max_iter, tol=step, featuresCol="_features", weightCol="_weight")
 
 
 def kmeans_centers(df: DataFrame, col: str, k: int, seed: int = 0, max_iter: int = 100) -> list[float]:
     """Fits k-means on one column and returns the centres in ascending order."""
-    with _weighted_points(df, [col]) as points:
-        model = _kmeans(k, seed, max_iter).fit(points)
+    with _weighted_points(df, [col]) as (points, variance):
+        model = _kmeans(k, seed, max_iter, variance).fit(points)
     return sorted(float(c[0]) for c in model.clusterCenters())
 
 
@@ -194,7 +208,7 @@ def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(1, 10),
     """Within-cluster squared error for each k, fitted on the named columns only."""
     spark = df.sparkSession
     rows = []
-    with _weighted_points(df, cols) as points:
+    with _weighted_points(df, cols) as (points, variance):
         # One centre is the mean: its error needs a single aggregate, no fit.
         w = F.col("_weight")
         mean_of = {c: F.sum(F.col(c) * w) / F.sum(w) for c in cols}
@@ -204,7 +218,7 @@ def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(1, 10),
                 square = reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.lit(float(centre[c])), 2) for c in cols])
                 rows.append((1, float(points.agg(F.sum(square * w)).first()[0])))
             else:
-                rows.append((int(k), float(_kmeans(k, seed, 1000).fit(points).summary.trainingCost)))
+                rows.append((int(k), float(_kmeans(k, seed, 1000, variance).fit(points).summary.trainingCost)))
     return spark.createDataFrame(rows, "k int, inertia double")
 
 
