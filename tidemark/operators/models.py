@@ -21,8 +21,6 @@ RESPONSE_STEP = 0.3
 SIGNIFICANCE = 0.05
 Z_95 = 1.959963984540054
 
-ROWS_PER_TASK = 50_000
-
 
 def _fit(estimator, train: DataFrame, label: str, features: Sequence[str]) -> PipelineModel:
     """Fits on exactly the columns needed, cached because boosting passes over them many times."""
@@ -37,10 +35,10 @@ def _fit(estimator, train: DataFrame, label: str, features: Sequence[str]) -> Pi
 
 @contextmanager
 def _cached(rows: DataFrame) -> Iterator[DataFrame]:
-    """Rows cached for a fit, in as many partitions as their number deserves."""
+    """Rows cached while a fit passes over them."""
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield rows.coalesce(1 + rows.count() // ROWS_PER_TASK)
+        yield rows
     finally:
         rows.unpersist()
 

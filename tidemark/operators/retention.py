@@ -173,7 +173,7 @@ def first_purchase_cohort(tx: DataFrame, grain: str = "month") -> DataFrame:
     idx = code_to_index(MONTH, grain)
     first = F.min("idx").over(Window.partitionBy("CustomerID"))
     aged = activity(tx).withColumn("idx", idx).withColumn("first", first)
-    counts = aged.groupBy("first", (F.col("idx") - F.col("first")).alias("Offset")).agg(
+    counts = aged.groupBy("first", (F.col("idx") - F.col("first")).cast("bigint").alias("Offset")).agg(
         F.count(F.lit(1)).alias("ActiveCustomers")
     )
     size = F.max(F.when(F.col("Offset") == 0, F.col("ActiveCustomers"))).over(Window.partitionBy("first"))
