@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words
 from tidemark.llm.components import components
-from tidemark.llm.frames import ID, ROW, materialize, plain_id, rows_of
+from tidemark.llm.frames import ID, ROW, materialize, plain_id, rows_of, without_rows
 
 BATCH = 20
 MISS = 1e-6
@@ -308,7 +308,4 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; options as for ``near_duplicates``."""
     gone = near_duplicates(docs, **options).where("NOT kept").select(ROW, ID).distinct()
-    keys = rows_of(docs, *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)],
-                   id_col=options.get("id_col", "doc_id"), text_col=options.get("text_col", "text"))
-    stay = keys.join(gone, [ROW, ID], "left_anti")
-    return stay.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return without_rows(docs, gone, **{k: v for k, v in options.items() if k in ("id_col", "text_col")})

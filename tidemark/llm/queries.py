@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash, repeats
+from tidemark.llm import compression, decontaminate, lines, minhash, repeats
 from tidemark.llm.frames import plain_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+@_query("op1_benchmark_decontamination")
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item that a document has, nearly or exactly, at its best place."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -60,6 +66,46 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(plain_id().alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+@_query(
+    "op7_line_dedup",
+    r"""
+    WITH l AS (
+      SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
+             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+      FROM documents),
+    t AS (SELECT *, trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+    b AS (
+      SELECT line FROM t WHERE line <> '' GROUP BY line
+      HAVING count(DISTINCT coalesce('s' || source, '-')) >= 10),
+    m AS (SELECT t.*, b.line IS NOT NULL AS bad FROM t LEFT JOIN b USING (line)),
+    g AS (
+      SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (bad) AS n_boilerplate,
+             coalesce(sum(length(line)) FILTER (bad), 0) <= 0.5 * sum(length(line)) AS strip,
+             coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT bad), '') AS rest,
+             string_agg(raw, chr(10) ORDER BY i) AS whole
+      FROM m GROUP BY doc_id)
+    SELECT doc_id, n_lines, n_boilerplate, CASE WHEN strip THEN n_boilerplate ELSE 0 END AS n_removed,
+           sha256(CASE WHEN strip THEN rest ELSE whole END) AS kept_sha256
+    FROM g""",
+)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that stand on ten sources or more are cut out of the pages that hold them."""
+    found = lines.stripped(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_lines",
+        "n_boilerplate",
+        F.size("removed").cast("bigint").alias("n_removed"),
+        F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
+
+
+@_query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, compression ratios and the verdict of the compression bands for every document."""
+    return compression.rated(_table(spark, sf_dir, "documents"))
+
+
 @_query(
     "op9_substring_dedup",
     f"""
