@@ -161,7 +161,9 @@ def cut_repeats(
         ),
         "anchors",
     )
-    shared = (
+    # Aggregates are stored before they are joined back: read from a table, the side with all
+    # rows is a plain shuffle, which adaptive execution can split where a key is hot.
+    shared = materialize(
         seeds.groupBy("anchor")
         .agg(
             F.min(ID).alias("least"),
@@ -169,7 +171,8 @@ def cut_repeats(
             (F.min("extension") == F.max("extension")).alias("agrees"),
         )
         .where("least < most")
-        .select("anchor", "least", "agrees")
+        .select("anchor", "least", "agrees"),
+        "shared",
     )
     found = materialize(
         seeds.join(shared, "anchor").where(f"NOT agrees OR {ID} > least").drop("extension"), "shared-anchors"
@@ -181,11 +184,12 @@ def cut_repeats(
         .mapInArrow(_windows(window), f"anchor long, words long, {ROW} long, {ID} long, start int")
     )
     told_apart = materialize(told_apart, "windows")
-    earliest = (
+    earliest = materialize(
         told_apart.groupBy("anchor", "words")
         .agg(F.min(ID).alias("least"), F.max(ID).alias("most"))
         .where("least < most")
-        .drop("most")
+        .drop("most"),
+        "earliest",
     )
     repeated = (
         told_apart.join(earliest, ["anchor", "words"])
