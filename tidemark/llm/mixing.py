@@ -37,8 +37,9 @@ def _level(share: Column, room: Column, total: Column, keys: list[str], tie: str
     """The level x with sum(min(room, x * share)) = total, for rows of ``keys``.
 
     Rows meet their cap in the order of room / share.  Were all rows before this one capped,
-    the level would be the rest of the total over the rest of the shares; it holds at
-    the first row that it does not push over its own cap.
+    the level would be the rest of the total over the rest of the shares; it is right at the
+    first row that it does not push over its own cap.  Later rows give lower levels, so the
+    greatest one that is not null is the level of the group.
     """
     every = Window.partitionBy(*(keys or [F.lit(1)]))
     order = every.orderBy(room / share, tie)
@@ -59,7 +60,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     weighed = weighed.withColumn("room", (F.col("source_size") * cap).cast("double"))
     total = F.sum("source_size").over(Window.partitionBy(F.lit(1))).cast("double")
     levels = weighed.withColumn("level", _level(F.col("share"), F.col("room"), total, [], "place"))
-    level = F.min("level").over(Window.partitionBy(F.lit(1)))
+    level = F.max("level").over(Window.partitionBy(F.lit(1)))
     return levels.select(
         "site", "source_size", F.least("room", F.coalesce(level, F.lit(0.0)) * F.col("share")).alias("target")
     )
@@ -96,7 +97,7 @@ def mix(
     banded = bands.join(aims, "site").select("site", "band", "words", "target", favour.alias("favour"))
     share, room = F.col("words") * F.col("favour"), (F.col("words") * cap).cast("double")
     banded = banded.withColumn("level", _level(share, room, F.col("target"), ["site"], "band"))
-    level = F.coalesce(F.min("level").over(Window.partitionBy("site")), F.lit(float(cap)))
+    level = F.coalesce(F.max("level").over(Window.partitionBy("site")), F.lit(float(cap)))
     wanted = banded.select("site", "band", F.least(F.lit(float(cap)), level * F.col("favour")).alias("wanted"))
     whole = F.floor("wanted").cast("bigint")
     wanted = wanted.select("site", "band", whole.alias("whole"), (F.col("wanted") - whole).alias("rest"))

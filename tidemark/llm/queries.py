@@ -172,7 +172,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                 / ((SELECT sum(share) FROM w) - coalesce(sum(share) OVER b, 0)) AS level
       FROM w WINDOW b AS (ORDER BY room / share, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     t AS (
-      SELECT site, source_size, least(room, share * (SELECT min(level) FROM l WHERE level <= room / share)) AS target
+      SELECT site, source_size, least(room, share * (SELECT max(level) FROM l WHERE level <= room / share)) AS target
       FROM l),
     bw AS (SELECT site, band, sum(size) AS words FROM d WHERE size > 0 GROUP BY ALL),
     bs AS (
@@ -183,7 +183,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT *, (target - coalesce(sum(room) OVER b, 0))
                 / (sum(share) OVER (PARTITION BY site) - coalesce(sum(share) OVER b, 0)) AS level
       FROM bs WINDOW b AS (PARTITION BY site ORDER BY room / share, band ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    bm AS (SELECT site, min(level) FILTER (level <= room / share) AS level FROM bl GROUP BY site),
+    bm AS (SELECT site, max(level) FILTER (level <= room / share) AS level FROM bl GROUP BY site),
     e AS (
       SELECT bl.site, band, least(3.0::DOUBLE, coalesce(bm.level, 3.0::DOUBLE) * favour) AS wanted FROM bl JOIN bm USING (site)),
     c AS (
