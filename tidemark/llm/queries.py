@@ -137,7 +137,9 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets by spelling and by decoded structure, as counts and spans."""
     found = secrets.scanned(_table(spark, sf_dir, "documents"))
-    base = F.filter("found", lambda s: s["kind"].isin(*secrets.BASE))
+
+    def of(*kinds):
+        return F.filter("found", lambda s: s["kind"].isin(*kinds))
 
     def spelt(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -145,10 +147,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         *[
-            F.size(F.filter("found", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
+            F.size(of(kind)).cast("bigint").alias(f"n_{kind}")
             for kind in secrets.BASE
         ],
-        F.sha2(spelt(base), 256).alias("base_sha256"),
+        F.sha2(spelt(of(*secrets.BASE)), 256).alias("base_sha256"),
         spelt(F.col("found")).alias("spans"),
     )
 
