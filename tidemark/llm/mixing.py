@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.frames import ID, ROW, materialize, plain_id, rows_of, site
 
 WEIGHTS, CAP = (5, 2, 1), 3
-SLICES = 1 << 14
+SLICES = 1 << 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -161,7 +161,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, trees: int = 30, depth: i
     if sample.select("label").distinct().count() < 2:
         return fit(labelled, count, trees, depth, penalty)
     forest = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", subsamplingRate=0.7, seed=11, minInstancesPerNode=5
+        numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", subsamplingRate=0.7, seed=11, minInstancesPerNode=max(1, count // 2000)
     ).fit(sample.select("label", array_to_vector(features).alias("features")))
     found: set[Rule] = set()
     for tree in forest.trees:
