@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.facts import cluster_facts, split_sql
 from catalog.ltv import report_sql, stand_in_prediction
 from catalog.registry import S, bucket_sql, check, nearest_sql, rounded
+from tidemark.functions.frames import with_one_row
 from tidemark.operators import churn, evaluation, features, models, quantiles
 from tidemark.plans import churn as plan
 from tidemark.session import materialize, scratch_path
@@ -73,7 +75,21 @@ def grouped(spark, sf_dir):
 
 
 def encoded(spark, sf_dir, drop_first=False):
-    return plan.model_table(stored(spark, sf_dir), centers=CENTERS, drop_first=drop_first)
+    """Model input with fitted groups."""
+    return plan.model_table(stored(spark, sf_dir), seed=7, drop_first=drop_first)
+
+
+def feature_names(drop_first=False):
+    """Names of the model's columns, as the data and the fixed group names give them."""
+    levels = MULTIPLE | {c: ("High", "Low", "Mid") for c in churn.GROUPED_COLUMNS.values()}
+    dummies = [f"{c}_{v}" for c, values in levels.items() for v in values[1 if drop_first else 0 :]]
+    for ch in " ()-":
+        dummies = [d.replace(ch, "_") for d in dummies]
+    return ["SeniorCitizen", *churn.GROUPED_COLUMNS, *BINARY, *dummies]
+
+
+def _names_sql(names, facts: str) -> str:
+    return "SELECT feature, " + facts + " FROM (VALUES " + ", ".join(f"('{n}')" for n in names) + ") AS v(feature)"
 
 
 @check("c01_read_subscribers", f"WITH {S} SELECT * FROM s")
@@ -167,7 +183,7 @@ def c06(spark, sf_dir):
     WHERE customerID IN (SELECT customerID FROM s WHERE TRY_CAST(TotalCharges AS DOUBLE) IS NULL)""",
 )
 def c06_recheck(spark, sf_dir):
-    parsed = features.parse_numeric(subscribers(spark, sf_dir), "TotalCharges")
+    parsed = materialize(features.parse_numeric(subscribers(spark, sf_dir), "TotalCharges"), "parsed")
     missing = features.missing_report(parsed, "TotalCharges", [ID])
     filled = features.fill_from(parsed, "TotalCharges", "MonthlyCharges")
     return filled.select(ID, "tenure", "MonthlyCharges", "TotalCharges").join(missing, ID, "left_semi")
@@ -187,10 +203,21 @@ def c08(spark, sf_dir):
     return grouped(spark, sf_dir).select(ID, *churn.GROUPED_COLUMNS, *churn.GROUPED_COLUMNS.values())
 
 
-@check("c08_numeric_groups_fitted")
+@check(
+    "c08_numeric_groups_fitted",
+    f"WITH {CLEAN} SELECT customerID, "
+    + ", ".join(
+        f"{c}, TRUE AS {c}_own_mean_is_nearest, least(3, (SELECT count(DISTINCT {c}) FROM clean)) AS {c}_groups"
+        for c in churn.GROUPED_COLUMNS
+    )
+    + " FROM clean",
+)
 def c08_fitted(spark, sf_dir):
     fitted = churn.numeric_groups(stored(spark, sf_dir), seed=7)
-    return fitted.select(ID, *churn.GROUPED_COLUMNS, *churn.GROUPED_COLUMNS.values())
+    facts = materialize(fitted.select(ID, *churn.GROUPED_COLUMNS, *churn.GROUPED_COLUMNS.values()), "groups")
+    for col, group in churn.GROUPED_COLUMNS.items():
+        facts = cluster_facts(facts, col, group, f"{col}_")
+    return facts.drop(*churn.GROUPED_COLUMNS.values())
 
 
 @check(
@@ -232,24 +259,77 @@ def c10(spark, sf_dir):
     return features.sanitize_columns(features.encode_categoricals(stored(spark, sf_dir), ID))
 
 
-@check("c11_logistic_summary")
+@check(
+    "c11_logistic_summary",
+    _names_sql([*feature_names(drop_first=True), "Intercept"], "TRUE AS score_equation, TRUE AS statistics"),
+)
 def c11(spark, sf_dir):
-    return plan.explain_churn(encoded(spark, sf_dir, drop_first=True))
+    """The fit is right where the residuals add up to nothing over every feature."""
+    table = materialize(encoded(spark, sf_dir, drop_first=True), "encoded")
+    summary = plan.explain_churn(table)
+    fitted = {r["feature"]: r["coefficient"] for r in summary.collect()}
+    names = [n for n in fitted if n != "Intercept"]
+    linear = sum((F.col(f"`{n}`") * F.lit(fitted[n]) for n in names), F.lit(fitted["Intercept"]))
+    residual = F.col("Churn") - 1 / (1 + F.exp(-linear))
+    sums = table.agg(
+        *[F.array(F.sum(residual * F.col(f"`{n}`")), F.sum(F.abs(F.col(f"`{n}`")))).alias(f"s{i}") for i, n in enumerate(names)],
+        F.array(F.sum(residual), F.count("*").cast("double")).alias(f"s{len(names)}"),
+    )
+    each = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"s{i}").alias("s")) for i, n in enumerate([*names, "Intercept"])])
+    balanced = sums.select(F.explode(each).alias("x")).select("x.feature", (F.abs(F.col("x.s")[0]) <= 1e-4 * (F.col("x.s")[1] + 1)).alias("score_equation"))
+    z = F.col("coefficient") / F.col("std_error")
+    right = (F.abs(z - F.col("z")) < 1e-6 * (1 + F.abs(z))) & F.col("p_value").between(0.0, 1.0)
+    within = (F.col("ci_low") < F.col("coefficient")) & (F.col("coefficient") < F.col("ci_high"))
+    return balanced.join(summary.select("feature", (right & within).alias("statistics")), "feature")
 
 
-@check("c12_odds_ratios")
+@check(
+    "c12_odds_ratios",
+    _names_sql([*feature_names(drop_first=True), "Intercept"], "TRUE AS is_exp_of_coefficient"),
+)
 def c12(spark, sf_dir):
-    return models.odds_ratios(plan.explain_churn(encoded(spark, sf_dir, drop_first=True)))
+    summary = plan.explain_churn(encoded(spark, sf_dir, drop_first=True))
+    both = models.odds_ratios(summary).join(summary.select("feature", "coefficient"), "feature")
+    return both.select("feature", (F.abs(F.ln("odds_ratio") - F.col("coefficient")) < 1e-9).alias("is_exp_of_coefficient"))
 
 
-def churn_model(spark, sf_dir, rounds=10):
-    return plan.predict_churn(encoded(spark, sf_dir), rounds=rounds)
+CHURN_SPLIT = f"{S}, split AS ({split_sql('s', 'customerID', 0.05, 56)})"
 
 
-@check("c13_train_binary")
+def churn_model(spark, sf_dir):
+    return plan.predict_churn(encoded(spark, sf_dir))
+
+
+@check(
+    "c13_train_binary",
+    f"WITH {CHURN_SPLIT} SELECT is_train, count(*) AS rows, TRUE AS in_range, TRUE AS learnt FROM split GROUP BY is_train",
+)
 def c13(spark, sf_dir):
-    """Accuracy on the training and on the test customers."""
-    return churn_model(spark, sf_dir).accuracy()
+    """Rows of the training and the test customers; on the former the model is no worse than the commoner answer."""
+    model = churn_model(spark, sf_dir)
+    found = model.accuracy()
+    share = F.greatest(F.avg("Churn"), 1 - F.avg("Churn")).alias("share")
+    common = model.customers.groupBy("is_train").agg(share).withColumnRenamed("is_train", "side")
+    return found.join(common, F.col("is_train") == F.col("side")).select(
+        "is_train",
+        "rows",
+        F.col("accuracy").between(0.0, 1.0).alias("in_range"),
+        (~F.col("is_train") | (F.col("accuracy") >= F.col("share") - 1e-9)).alias("learnt"),
+    )
+
+
+@check(
+    "c13_fitted_report",
+    f"""WITH {CHURN_SPLIT}, t AS (SELECT s.* FROM s JOIN split USING (customerID) WHERE NOT is_train),
+    c AS (SELECT CAST(Churn AS VARCHAR) AS class, count(*) AS support FROM t GROUP BY Churn)
+    SELECT class, support, TRUE AS in_range FROM c
+    UNION ALL SELECT x, (SELECT count(*) FROM t), TRUE FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) AS v(x)""",
+)
+def c13_fitted(spark, sf_dir):
+    """The model's own report on the customers it has not seen."""
+    report = churn_model(spark, sf_dir).report().where("support > 0")
+    measures = [F.coalesce(c, F.lit(0.0)).between(0.0, 1.0) for c in map(F.col, ("precision", "recall", "f1"))]
+    return report.select("class", "support", (measures[0] & measures[1] & measures[2]).alias("in_range"))
 
 
 @check("c13_churn_report", report_sql(
@@ -261,12 +341,26 @@ def c13_report(spark, sf_dir):
     return rounded(evaluation.classification_report(scored, "Churn"), 6, "precision", "recall", "f1")
 
 
-@check("c14_feature_importance")
+@check("c14_feature_importance", _names_sql(feature_names(), "TRUE AS ranked, TRUE AS adds_up"))
 def c14(spark, sf_dir):
-    return churn_model(spark, sf_dir).importance()
-
-
-@check("c15_score")
+    """Splits per feature; together all inner nodes of the trees."""
+    model = churn_model(spark, sf_dir)
+    ranked = materialize(model.importance(), "importance")
+    trees = model.model.stages[-1]
+    inner = (trees.totalNumNodes - trees.getNumTrees) // 2
+    total = ranked.agg(F.sum("splits").alias("all"), F.sum("gain").alias("gains"))
+    in_range = (F.col("splits") >= 0) & F.col("gain").between(0.0, 1.0) & ((F.col("splits") > 0) == (F.col("gain") > 0))
+    wide = with_one_row(ranked, total)
+    adds_up = (F.col("all") == inner) & ((F.abs(F.col("gains") - 1) < 1e-6) | (F.col("all") == 0))
+    return wide.select("feature", in_range.alias("ranked"), adds_up.alias("adds_up"))
+
+
+@check("c15_score", f"WITH {CHURN_SPLIT} SELECT customerID, is_train, TRUE AS in_range, TRUE AS likelier_is_predicted FROM split")
 def c15(spark, sf_dir):
     """Churn probability of every customer; ``is_train`` says who the model has seen."""
-    return churn_model(spark, sf_dir).customers.select(ID, "is_train", "proba")
+    return churn_model(spark, sf_dir).customers.select(
+        ID,
+        "is_train",
+        F.col("proba").between(0.0, 1.0).alias("in_range"),
+        ((F.col("proba") > 0.5) == (F.col("prediction") == 1)).alias("likelier_is_predicted"),
+    )

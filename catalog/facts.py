@@ -1,0 +1,57 @@
+"""What SQL can say of a fit without making it: facts that hold for every right one.
+
+A fitted value is not the same in two engines.  These helpers turn a fitted frame into the
+rows that SQL derives by itself, next to tests of the fit that must all be true.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions.frames import with_one_row
+
+
+def cluster_facts(df: DataFrame, col: str, label: str, prefix: str = "") -> DataFrame:
+    """Adds ``own_mean_is_nearest`` and ``groups``.
+
+    After k-means every value lies nearest to the mean of its own cluster; a tenth of the
+    spread is left for the step at which the fit stopped.
+    """
+    value = F.col(col).cast("double")
+    means = (
+        df.groupBy(label)
+        .agg(F.avg(value).alias("m"))
+        .agg(F.collect_list(F.struct(F.col(label).cast("string").alias("l"), "m")).alias("_means"))
+    )
+    spread = df.agg(F.stddev_pop(value).alias("_spread"))
+    wide = with_one_row(with_one_row(df, means), spread)
+    own = F.filter("_means", lambda x: x["l"] == F.col(label).cast("string"))[0]["m"]
+    least = F.array_min(F.transform("_means", lambda x: F.abs(x["m"] - value)))
+    return wide.withColumns(
+        {
+            f"{prefix}own_mean_is_nearest": F.abs(value - own) <= least + 0.1 * F.col("_spread"),
+            f"{prefix}groups": F.size("_means").cast("bigint"),
+        }
+    ).drop("_means", "_spread")
+
+
+def probability_facts(probabilities: Sequence[str], prediction: str = "prediction") -> list[Column]:
+    """The probabilities are in range and add up to one, and the likeliest class is predicted."""
+    each = [F.col(p) for p in probabilities]
+    in_range = reduce(lambda a, b: a & b, [p.between(0.0, 1.0) for p in each])
+    total = reduce(lambda a, b: a + b, each)
+    predicted = F.get(F.array(*each), F.col(prediction).cast("int"))
+    return [
+        (in_range & (F.abs(total - 1.0) < 1e-9)).alias("probabilities_add_up"),
+        (predicted >= F.greatest(*each) - 1e-12).alias("likeliest_is_predicted"),
+    ]
+
+
+def split_sql(source: str, id_col: str, share: float, seed: int) -> str:
+    """``is_train`` of every id of a source, as the splits define it."""
+    return f"""SELECT {id_col}, row_number() OVER (ORDER BY md5({id_col} || '|{seed}'), {id_col}) > ceil({share}::DOUBLE * count(*) OVER ()) AS is_train
+      FROM {source}"""

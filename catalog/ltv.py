@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.facts import cluster_facts, probability_facts, split_sql
 from catalog.registry import T, bucket_sql, check, nearest_sql, rounded
 from catalog.segmentation import RFM_INPUT
 from tidemark.functions.hashing import hash_bucket
@@ -100,9 +101,14 @@ def l05(spark, sf_dir):
     return clustered(spark, sf_dir)
 
 
-@check("l05_ltv_clusters_fitted")
+@check(
+    "l05_ltv_clusters_fitted",
+    f"""WITH {T}, {LTV} SELECT CustomerID, m6_Revenue AS "m6_Revenue", TRUE AS own_mean_is_nearest,
+      least(3, (SELECT count(DISTINCT m6_Revenue) FROM trimmed)) AS groups FROM trimmed""",
+)
 def l05_fitted(spark, sf_dir):
-    return ltv.ltv_clusters(stored_table(spark, sf_dir), seed=7)
+    fitted = ltv.ltv_clusters(stored_table(spark, sf_dir), seed=7).select("CustomerID", "m6_Revenue", "LTVCluster")
+    return cluster_facts(materialize(fitted, "ltv-fit"), "m6_Revenue", "LTVCluster").drop("LTVCluster")
 
 
 @check(
@@ -128,6 +134,19 @@ def l06(spark, sf_dir):
     return features.one_hot(clustered(spark, sf_dir))
 
 
+@check(
+    "l06_one_hot_sparse",
+    """SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER) AS place,
+      CAST((SELECT count(DISTINCT c_name) FROM customer) AS INTEGER) AS width FROM customer""",
+)
+def l06_sparse(spark, sf_dir):
+    """A column with a category per customer."""
+    encoded, _ = features.encode_sparse(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name"])
+    # The vector's only index and its length, without writing its zeros out.
+    seen = F.udf(lambda v: (int(v.indices[0]), v.size), "place int, width int")("c_name_vector").alias("s")
+    return encoded.select("c_custkey", seen).select("c_custkey", "s.place", "s.width")
+
+
 _NUMERIC = ["CustomerID", "Recency", "Frequency", "Revenue", "RecencyCluster", "FrequencyCluster", "RevenueCluster",
             "OverallScore", "LTVCluster", "Segment_High-Value", "Segment_Low-Value", "Segment_Mid-Value"]
 
@@ -153,11 +172,16 @@ def l08(spark, sf_dir):
     return sampling.train_test_split(customers, "c_custkey", 0.1, 42)
 
 
-@check("l09_train_multiclass")
+@check(
+    "l09_train_multiclass",
+    f"""WITH {T}, {LTV}, split AS ({split_sql('trimmed', 'CustomerID', 0.1, 42)})
+    SELECT CustomerID, is_train, TRUE AS probabilities_add_up, TRUE AS likeliest_is_predicted FROM split""",
+)
 def l09(spark, sf_dir):
-    """Class probabilities of every customer, from a forest trained on 90 % of them."""
-    scored = value.predict_ltv_cluster(clustered(spark, sf_dir)).customers
-    return scored.select("CustomerID", "LTVCluster", "is_train", "prediction", "proba_0", "proba_1", "proba_2")
+    """The whole way: RFM and LTV clusters are fitted, a forest is trained on 90 % of the customers and scores all."""
+    table = value.ltv_table(transactions(spark, sf_dir, RFM_INPUT), FEATURE_WINDOW, OUTCOME_WINDOW, seed=7)
+    scored = value.predict_ltv_cluster(ltv.ltv_clusters(materialize(table, "ltv-table"), seed=7)).customers
+    return scored.select("CustomerID", "is_train", *probability_facts(["proba_0", "proba_1", "proba_2"]))
 
 
 @check(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import A, T, check, rounded
 from tidemark.operators import lifecycle, retention, revenue
 from tidemark.operators.revenue import MONTH
-from tidemark.session import scratch_path
+from tidemark.session import materialize, scratch_path
 from tidemark.sources import csv
 from tidemark.sources.star import signups, transactions
 
@@ -251,7 +251,7 @@ def m14(spark, sf_dir):
 )
 def m14_matrix(spark, sf_dir):
     tx = transactions(spark, sf_dir, ["CustomerID", "InvoiceDate"]).select("CustomerID", F.year("InvoiceDate").alias(MONTH))
-    return retention.activity_matrix(tx, YEARS)
+    return retention.activity_matrix(tx, retention.period_list(tx))
 
 
 def _retention_sql(period: str, outer: str) -> str:
@@ -331,7 +331,7 @@ def m17(spark, sf_dir):
     return cohort.withColumn("Offset", F.col("Offset").cast("int"))
 
 
-QUARTERS = [19961, 19962, 19963, 19964]
+QUARTERS = [10 * y + q for y in YEARS for q in range(1, 5)][1:-1]
 
 
 @check(
@@ -342,7 +342,8 @@ QUARTERS = [19961, 19962, 19963, 19964]
 )
 def m17_matrix(spark, sf_dir):
     cohort = retention.streak_cohort(quarterly(spark, sf_dir), calendar=True, grain="quarter")
-    return retention.streak_matrix(cohort, QUARTERS)
+    cohort = materialize(cohort, "cohort")
+    return retention.streak_matrix(cohort, retention.period_list(cohort, "Period"))
 
 
 def _nth_sql(period: str) -> str:

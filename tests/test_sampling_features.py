@@ -80,6 +80,26 @@ def test_two_categories_become_codes(rows, table):
     assert table(encoded) == [("x", 1, 1, 0, 0), ("y", 0, 0, 1, 0), ("z", None, 0, 0, 1)]
 
 
+def test_wide_columns_are_encoded_sparse(spark):
+    wide = spark.range(1500).selectExpr("id", "concat('c', lpad(id % 1200, 4, '0')) AS c", "concat('d', id % 3) AS d")
+    with pytest.raises(ValueError, match=r"\['c'\]"):
+        features.fit_categories(wide, max_categories=1000)
+    assert features.fit_categories(wide.select("d"), max_categories=3) == {"d": ["d0", "d1", "d2"]}
+    encoded, model = features.encode_sparse(wide, ["c", "d"])
+    row = encoded.where("id = 1203").first()
+    assert (row.c_vector.size, list(row.c_vector.indices), list(row.d_vector.indices)) == (1200, [3], [0])
+    unknown = spark.createDataFrame([(1, "new", None)], "id long, c string, d string")
+    again, _ = features.encode_sparse(unknown, ["c", "d"], model)
+    assert again.first().c_vector.numNonzeros() == again.first().d_vector.numNonzeros() == 0
+
+
+def test_split_does_not_shuffle_ids(spark):
+    split = sampling.train_test_split(spark.range(1000), "id", 0.25, 3)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert split.where("not is_train").count() == 250
+
+
 def test_clean_names(rows):
     data = rows([(1, 2)], "`a b(c)-d` int, e int")
     assert features.sanitize_columns(data).columns == ["a_b_c__d", "e"]

@@ -39,6 +39,21 @@ def test_same_seed_same_centres_however_partitioned(spark):
     assert one == pytest.approx(many, abs=1e-6)
 
 
+def test_fit_does_not_depend_on_the_number_of_partitions(spark):
+    """Also not on the shuffle that makes the points."""
+    rng = np.random.default_rng(8)
+    data = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.gamma(2.0, 1000.0, 3000))], "id long, x double")
+    before, labels = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            frame = segments.ordered_kmeans(data.repartition(n), "x", 4, "c", seed=7)
+            labels.append(sorted((r.id, r.c) for r in frame.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert labels[0] == labels[1] == labels[2]
+
+
 def test_nearest_centre_first_wins_a_tie(rows, table):
     data = rows([(0.0,), (5.0,), (10.0,), (None,)], "x double")
     assert table(segments.assign_to_centers(data, "x", [10.0, 0.0], "c")) == [(0.0, 1), (10.0, 0), (5.0, 0), (None, None)]
@@ -67,6 +82,13 @@ def test_fitted_rfm_scores_rank_good_customers_high(spark):
     assert all(r.OverallScore == r.RecencyCluster + r.FrequencyCluster + r.RevenueCluster for r in scored)
 
 
+def test_recency_reads_the_lines_once(spark, tmp_path):
+    data = [(1, dt.datetime(2011, 12, 8), 1.0, 1.0)]
+    spark.createDataFrame(data, TX).write.parquet(str(tmp_path / "lines"))
+    plan = segments.rfm_measures(spark.read.parquet(str(tmp_path / "lines")))._jdf.queryExecution().toString()
+    assert "/lines" not in plan.split("== Physical Plan ==")[1]
+
+
 def test_elbow_never_rises_and_starts_at_the_total_spread(spark):
     values = np.array([1.0, 2, 3, 101, 102, 103])
     frame = spark.createDataFrame([(float(v),) for v in values], "x double")
@@ -105,6 +127,17 @@ def test_exact_quantiles_equal_brute_force(spark, name):
     assert [got[k] for k in probs] == pytest.approx([brute(values, p) for p in probs.values()], rel=1e-12)
 
 
+@pytest.mark.parametrize("name", CASES)
+@pytest.mark.parametrize("most", [1, 25])
+def test_narrowed_brackets_give_the_same_quantiles(spark, monkeypatch, name, most):
+    monkeypatch.setattr(quantiles, "MOST_ORDERED", most)
+    test_exact_quantiles_equal_brute_force(spark, name)
+
+
+def test_quantiles_of_nothing(rows):
+    assert quantiles.exact_quantiles(rows([(None,)], "x double"), "x", {"a": 0.5}).first()["a"] is None
+
+
 def test_exact_quantiles_per_group(spark):
     data = [(g, v) for g, vs in CASES.items() for v in vs] + [(None, 1.0), ("empty", None)]
     frame = spark.createDataFrame(data, "g string, x double").repartition(6)

@@ -18,6 +18,14 @@ def test_retail_file(spark, tmp_path):
     assert second.CustomerID is None and second.Quantity == -1.0 and second.InvoiceDate.day == 10
 
 
+def test_long_ids_stay_apart(spark, tmp_path):
+    path = tmp_path / "ids.csv"
+    ids = ["9007199254740992", "9007199254740993", "9007199254740993.0"]
+    path.write_text(HEADER + "".join(f"{i},b,c,1,12/1/2010 8:26,1,{x},X\n" for i, x in enumerate(ids)))
+    found = {r.InvoiceNo: r.CustomerID for r in csv.read_transactions(spark, str(path)).collect()}
+    assert found == {"0": 9007199254740992, "1": 9007199254740993, "2": 9007199254740993}
+
+
 def test_reordered_header_and_bad_lines_are_refused(spark, tmp_path):
     swapped = tmp_path / "swapped.csv"
     swapped.write_text("StockCode,InvoiceNo,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\na,b,c,1,12/1/2010 8:26,1,1,X\n")

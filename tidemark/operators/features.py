@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.frames import with_one_row
+from tidemark.session import materialize
 
 # Characters of a column name that become an underscore.
 UNWANTED_IN_NAMES = r"[ ()\-]"
@@ -31,7 +34,8 @@ def fit_categories(
 ) -> dict[str, list[str]]:
     """The sorted categories of each column, learned in one scan.
 
-    Each category becomes a column, so an id-like column is refused rather than cut off.
+    Each category becomes a column of the table, so an id-like column is refused, not cut
+    off; :func:`encode_sparse` takes any number of categories.
     """
     cols = list(cols) if cols is not None else string_columns(df)
     if not cols:
@@ -42,17 +46,33 @@ def fit_categories(
         .where(F.col("category").isNotNull())
         .distinct()
     )
-    limit = max_categories * len(cols)
-    rows = found.limit(limit + 1).collect()
+    found = materialize(found, "categories")
+    wide = [r["feature"] for r in found.groupBy("feature").count().where(F.col("count") > max_categories).collect()]
+    if wide:
+        raise ValueError(f"more than {max_categories} categories in {sorted(wide)}: use encode_sparse for them")
     categories: dict[str, list[str]] = {c: [] for c in cols}
-    for row in rows:
+    for row in found.collect():
         categories[row["feature"]].append(row["category"])
-    too_many = [c for c, values in categories.items() if len(values) > max_categories]
-    if too_many or len(rows) > limit:
-        raise ValueError(f"more than {max_categories} categories in {too_many or cols}")
     return {c: sorted(values) for c, values in categories.items()}
 
 
+def encode_sparse(df: DataFrame, cols: Sequence[str], model: PipelineModel | None = None) -> tuple[DataFrame, PipelineModel]:
+    """One sparse 0/1 vector ``col_vector`` per column, whatever its number of categories.
+
+    Categories go in alphabetical order; a null or a category unknown at fit time is all
+    zeros.  Give the returned model back to encode other rows alike.
+    """
+    cols = list(cols)
+    if model is None:
+        index = StringIndexer(
+            inputCols=cols, outputCols=[f"{c}_index" for c in cols], stringOrderType="alphabetAsc", handleInvalid="keep"
+        )
+        # The one place for unknown values is the last, which the encoder leaves out.
+        vectors = OneHotEncoder(inputCols=[f"{c}_index" for c in cols], outputCols=[f"{c}_vector" for c in cols], dropLast=True)
+        model = Pipeline(stages=[index, vectors]).fit(df)
+    return model.transform(df).drop(*[f"{c}_index" for c in cols]), model
+
+
 def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]] | None = None, drop_first: bool = False) -> DataFrame:
     """Replaces each string column by one 0/1 column ``col_value`` per category.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.money import money_sum
+from tidemark.session import materialize
 
 # Number of lags, number of test months.
 N_LAGS = 12
@@ -35,8 +35,9 @@ def resample_month(sales: DataFrame, value: str = "sales", series: Sequence[str]
     Months without rows between the first and last month of the data appear with 0.
     """
     series = list(series)
-    monthly = sales.groupBy(*series, F.trunc(date, "month").alias("date")).agg(money_sum(value).alias(value))
-    # The calendar is built from the month totals: one row per series, then one per month.
+    total = F.sum(F.col(value).cast("double")).alias(value)
+    # Calendar and values both come from the month totals, so these are stored: the sales are read once.
+    monthly = materialize(sales.groupBy(*series, F.trunc(date, "month").alias("date")).agg(total), "month-totals")
     calendar = monthly.groupBy(*series).agg(F.min("date").alias("first"), F.max("date").alias("last")).select(
         *series, F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("date")
     )

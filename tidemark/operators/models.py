@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from tidemark.session import scratch_path, shared_folder
+
 # Tree depth, and the learning rates of the churn and response models.
 TREE_DEPTH = 5
 CHURN_STEP = 0.08
@@ -28,6 +30,10 @@ def _fit(estimator, train: DataFrame, label: str, features: Sequence[str]) -> Pi
     rows = assembler.transform(
         train.select(F.col(label).cast("double").alias(label), *[F.col(f"`{c}`") for c in features])
     ).select(label, "_features")
+    # Boosting cuts its lineage every ten rounds where a checkpoint folder is known.
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(train.sparkSession))
     with _cached(rows) as ready:
         model = estimator.setFeaturesCol("_features").setLabelCol(label).fit(ready)
     return PipelineModel([assembler, model])
@@ -80,12 +86,21 @@ def score(df: DataFrame, model: PipelineModel, output: str = "proba") -> DataFra
 
 
 def feature_importance(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Features ranked by the impurity the trees gain from them (shares of 1)."""
+    """Features ranked by how many splits of the trees use them; ``gain`` is their share of the impurity gained.
+
+    The splits are counted in the node table of the saved model.
+    """
     assembler, trees = model.stages
+    spark = df.sparkSession
+    path = scratch_path(spark, "trees")
+    trees.save(path)
+    used = F.col("nodeData.split.featureIndex")
+    splits = spark.read.parquet(f"{path}/data").where(used >= 0).groupBy(used.alias("i")).agg(F.count("*").alias("splits"))
     shares = trees.featureImportances.toArray()
-    rows = [(name, float(s)) for name, s in zip(assembler.getInputCols(), shares)]
-    ranked = df.sparkSession.createDataFrame(rows, "feature string, importance double")
-    return ranked.orderBy(F.desc("importance"), "feature")
+    rows = [(i, name, float(s)) for i, (name, s) in enumerate(zip(assembler.getInputCols(), shares))]
+    named = spark.createDataFrame(rows, "i int, feature string, gain double").join(splits, "i", "left")
+    ranked = named.select("feature", F.coalesce("splits", F.lit(0)).alias("splits"), "gain")
+    return ranked.orderBy(F.desc("splits"), F.desc("gain"), "feature")
 
 
 def logistic_summary(df: DataFrame, label: str, features: Sequence[str], alpha: float = SIGNIFICANCE) -> DataFrame:

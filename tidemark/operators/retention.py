@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.frames import over_groups, round_half_even
 from tidemark.functions.periods import code_to_index, index_to_code
 from tidemark.operators.revenue import MONTH, known_customers
+from tidemark.session import materialize
 
 
 def activity(tx: DataFrame) -> DataFrame:
@@ -28,6 +29,11 @@ def activity_matrix(tx: DataFrame, periods: Sequence[int], prefix: str = "m_") -
     return known_customers(tx, ["CustomerID", MONTH]).groupBy("CustomerID").agg(*flags)
 
 
+def period_list(active: DataFrame, period: str = MONTH) -> list[int]:
+    """The periods that occur, for matrices with a column per period; as many as the calendar has."""
+    return [r[0] for r in active.select(period).where(F.col(period).isNotNull()).distinct().orderBy(period).collect()]
+
+
 def present_periods(active: DataFrame) -> DataFrame:
     """The periods that occur, numbered 0, 1, 2 … without gaps."""
     number = F.row_number().over(over_groups([], [MONTH])) - 1
@@ -107,8 +113,9 @@ def streak_cohort(
     ``Offset`` 0 is the start period itself (share 1).  Each customer's periods fall into
     unbroken runs; somebody at ``r`` periods before the end of a run survives offsets
     0 … r, so one count per (start, r) and a running total from the far end is enough.
+    The (customer, period) pairs are stored once, so the lines are read once.
     """
-    active = activity(tx)
+    active = materialize(activity(tx), "activity")
     numbered = _numbered(active, calendar, grain)
     by_customer = Window.partitionBy("CustomerID").orderBy("idx")
     run = numbered.withColumn("run", F.col("idx") - F.row_number().over(by_customer))

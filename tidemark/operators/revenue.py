@@ -58,7 +58,7 @@ def monthly_active_customers(tx: DataFrame, country: str | None = None) -> DataF
 
 def monthly_quantity(tx: DataFrame, country: str | None = None) -> DataFrame:
     """Units sold per month (reported as "orders" in the original analysis)."""
-    monthly = for_country(tx, country).groupBy(MONTH).agg(money_sum("Quantity").alias("Quantity"))
+    monthly = for_country(tx, country).groupBy(MONTH).agg(F.sum(F.col("Quantity").cast("double")).alias("Quantity"))
     return monthly.withColumn("pct_change", growth("Quantity", MONTH))
 
 

@@ -53,10 +53,16 @@ def exact_share(
         (F.col("_need") > 0) & (F.col("_need") <= F.col("_n"))
     )
 
+    # Without groups there is one cut; it travels as a scalar, so ids are not shuffled for it.
+    if by:
+        in_cut = keyed.join(cut_slice.select(*by, "_slice", "_need"), [*by, "_slice"])
+    else:
+        cut = F.col("_cut")
+        in_cut = keyed.withColumn("_cut", cut_slice.select(F.struct("_slice", "_need")).scalar())
+        in_cut = in_cut.where(F.col("_slice") == cut["_slice"]).withColumn("_need", cut["_need"]).drop("_cut")
     rank = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_key"))
     last = (
-        keyed.join(cut_slice.select(*by, "_slice", "_need"), [*by, "_slice"])
-        .withColumn("_rank", rank)
+        in_cut.withColumn("_rank", rank)
         .where(F.col("_rank") == F.col("_need"))
         .select(*by, F.col("_key").alias("_last"))
     )

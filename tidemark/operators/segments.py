@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,7 @@ RFM_MEASURES = ("Recency", "Frequency", "Revenue")
 TOLERANCE = 1e-4
 
 POINTS_PER_TASK = 100_000
+STARTS = 3
 
 
 def rfm_measures(tx: DataFrame) -> DataFrame:
@@ -44,11 +45,16 @@ def rfm_measures(tx: DataFrame) -> DataFrame:
         F.count("InvoiceDate").alias("Frequency"),
         money_sum(F.col("UnitPrice") * F.col("Quantity")).alias("Revenue"),
     )
-    return _recency(per_customer, known_customers(tx)).select("CustomerID", "Recency", "Frequency", "Revenue")
+    return _recency(per_customer).select("CustomerID", "Recency", "Frequency", "Revenue")
 
 
-def _recency(per_customer: DataFrame, tx: DataFrame) -> DataFrame:
-    latest = with_one_row(per_customer, tx.agg(F.max("InvoiceDate").alias("_latest")))
+def _recency(per_customer: DataFrame) -> DataFrame:
+    """Days from each customer's last purchase to the last one of all.
+
+    The maximum comes from the customers, who are written once, not from the lines again.
+    """
+    per_customer = materialize(per_customer, "last-purchases")
+    latest = with_one_row(per_customer, per_customer.agg(F.max("_last").alias("_latest")))
     days = F.timestamp_diff("DAY", F.col("_last"), F.col("_latest"))
     return latest.withColumn("Recency", days)
 
@@ -56,7 +62,7 @@ def _recency(per_customer: DataFrame, tx: DataFrame) -> DataFrame:
 def recency(tx: DataFrame) -> DataFrame:
     tx = known_customers(tx)
     per_customer = tx.groupBy("CustomerID").agg(F.max("InvoiceDate").alias("_last"))
-    return _recency(per_customer, tx).select("CustomerID", "Recency")
+    return _recency(per_customer).select("CustomerID", "Recency")
 
 
 def frequency(tx: DataFrame) -> DataFrame:
@@ -73,36 +79,45 @@ def monetary(tx: DataFrame) -> DataFrame:
 def _weighted_points(df: DataFrame, cols: Sequence[str]) -> Iterator[tuple[DataFrame, float]]:
     """Distinct points with their multiplicity, and their mean variance.
 
-    The same clustering from far fewer rows; cached while the fits run, in as many
-    partitions as the number of points deserves.
+    The same clustering from far fewer rows.  Points are laid out by their values, in as many
+    partitions as their number deserves, so a seed gives the same fit whatever the partitions
+    of ``df``; they are cached while the fits run.
     """
     points = df.dropna(subset=list(cols)).groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
-    cached = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(points)
-    cached = cached.persist(StorageLevel.MEMORY_AND_DISK)
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    laid = None
     try:
-        w = F.col("_weight")
-        n, *variances = cached.agg(F.count(w), *[_weighted_variance(F.col(c), w) for c in cols]).first()
-        yield cached.coalesce(1 + n // POINTS_PER_TASK), sum(v or 0.0 for v in variances) / len(cols)
+        n = points.count()
+        ordered = points.repartition(1 + n // POINTS_PER_TASK, *cols).sortWithinPartitions(*cols)
+        laid = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(ordered)
+        laid = laid.persist(StorageLevel.MEMORY_AND_DISK)
+        weight = F.col("_weight")
+        means = laid.agg(*[F.try_divide(F.sum(F.col(c) * weight), F.sum(weight)) for c in cols]).first()
+        spread = [F.sum(F.pow(F.col(c) - F.lit(float(m or 0.0)), 2) * weight) for c, m in zip(cols, means)]
+        squares = laid.agg(F.sum(weight), *spread).first()
+        yield laid, sum(v or 0.0 for v in squares[1:]) / (squares[0] or 1.0) / len(cols)
     finally:
-        cached.unpersist()
-
-
-def _weighted_variance(x: Column, w: Column) -> Column:
-    mean = F.try_divide(F.sum(x * w), F.sum(w))
-    return F.try_divide(F.sum(x * x * w), F.sum(w)) - mean * mean
+        points.unpersist()
+        if laid is not None:
+            laid.unpersist()
 
 
-def _kmeans(k: int, seed: int, max_iter: int, variance: float) -> KMeans:
+def _best_fit(points: DataFrame, k: int, seed: int, max_iter: int, variance: float) -> KMeansModel:
+    """The fit with the lowest cost of ``STARTS`` starts, the first one on a tie."""
     # Stop when all centres together move less than TOLERANCE of the variance, whatever
     # the unit of the column.
     step = max(TOLERANCE * variance / k, 0.0) ** 0.5
-    return KMeans(k=k, seed=seed, maxIter=max_iter, tol=step, featuresCol="_features", weightCol="_weight")
+    fits = [
+        KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=step, featuresCol="_features", weightCol="_weight").fit(points)
+        for i in range(STARTS)
+    ]
+    return min(fits, key=lambda fit: fit.summary.trainingCost)
 
 
 def kmeans_centers(df: DataFrame, col: str, k: int, seed: int = 0, max_iter: int = 100) -> list[float]:
     """Fits k-means on one column and returns the centres in ascending order."""
     with _weighted_points(df, [col]) as (points, variance):
-        model = _kmeans(k, seed, max_iter, variance).fit(points)
+        model = _best_fit(points, k, seed, max_iter, variance)
     return sorted(float(c[0]) for c in model.clusterCenters())
 
 
@@ -218,7 +233,7 @@ def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(1, 10),
                 square = reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.lit(float(centre[c])), 2) for c in cols])
                 rows.append((1, float(points.agg(F.sum(square * w)).first()[0])))
             else:
-                rows.append((int(k), float(_kmeans(k, seed, 1000, variance).fit(points).summary.trainingCost)))
+                rows.append((int(k), float(_best_fit(points, k, seed, 1000, variance).summary.trainingCost)))
     return spark.createDataFrame(rows, "k int, inertia double")
 
 

@@ -49,17 +49,33 @@ def predict_uplift(
     return Scored(model, scored, "target_class")
 
 
-def targeting_reports(responses: DataFrame, scored: DataFrame, id_col: str) -> dict[str, DataFrame]:
-    """Uplift of the discount among customers with high and low scores, on all and on unseen customers."""
+def scored_responses(responses: DataFrame, scored: DataFrame, id_col: str) -> DataFrame:
+    """Responses with their scores, stored: input of any number of reports."""
     both = responses.join(scored.select(id_col, "is_train", "uplift_score"), id_col)
-    both = materialize(both, "scored-responses")
-    unseen = both.where("not is_train")
-    without_bogo = both.where(f"offer <> '{campaign.BOGO}'")
-    return {
-        "benchmark": campaign.campaign_uplift(without_bogo),
-        "mean_score": campaign.mean_score_by_offer(both),
-        "high": campaign.quantile_targeting(both, 0.75, "high"),
-        "low": campaign.quantile_targeting(both, 0.5, "low"),
-        "unseen_high": campaign.heldout_targeting(both, unseen, id_col, 0.75, "high"),
-        "unseen_low": campaign.heldout_targeting(both, unseen, id_col, 0.5, "low"),
-    }
+    return materialize(both, "scored-responses")
+
+
+def targeting_report(both: DataFrame, id_col: str, report: str) -> DataFrame:
+    """One report on stored scored responses; nothing else is computed.
+
+    ``benchmark`` and ``mean_score`` cover everybody; ``high`` and ``low`` the uplift of the
+    discount among customers with high and low scores, ``unseen_…`` on unseen customers.
+    """
+    if report == "benchmark":
+        return campaign.campaign_uplift(both.where(f"offer <> '{campaign.BOGO}'"))
+    if report == "mean_score":
+        return campaign.mean_score_by_offer(both)
+    side = report.removeprefix("unseen_")
+    share = {"high": 0.75, "low": 0.5}[side]
+    if report == side:
+        return campaign.quantile_targeting(both, share, side)
+    return campaign.heldout_targeting(both, both.where("not is_train"), id_col, share, side)
+
+
+REPORTS = ("benchmark", "mean_score", "high", "low", "unseen_high", "unseen_low")
+
+
+def targeting_reports(responses: DataFrame, scored: DataFrame, id_col: str) -> dict[str, DataFrame]:
+    """All reports; each quantile is computed at once."""
+    both = scored_responses(responses, scored, id_col)
+    return {report: targeting_report(both, id_col, report) for report in REPORTS}

@@ -20,7 +20,7 @@ TRANSACTION_SCHEMA = T.StructType(
         T.StructField("Quantity", T.DoubleType()),
         T.StructField("InvoiceDate", T.TimestampNTZType()),
         T.StructField("UnitPrice", T.DoubleType()),
-        T.StructField("CustomerID", T.DoubleType()),
+        T.StructField("CustomerID", T.StringType()),
         T.StructField("Country", T.StringType()),
     ]
 )
@@ -93,7 +93,8 @@ def read_transactions(spark: SparkSession, path: str, schema: T.StructType = TRA
     raw = _read(
         spark, path, schema, timestampNTZFormat=INVOICE_TIME_FORMAT, encoding=INVOICE_ENCODING
     )
-    return raw.withColumn("CustomerID", F.col("CustomerID").cast("bigint"))
+    # By way of a decimal: a double would merge ids above 2^53.
+    return raw.withColumn("CustomerID", F.col("CustomerID").cast("decimal(38,1)").cast("bigint"))
 
 
 def read_subscribers(spark: SparkSession, path: str, schema: T.StructType = SUBSCRIBER_SCHEMA) -> DataFrame:
