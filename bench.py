@@ -18,7 +18,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from catalog import QUERIES  # noqa: E402
-from tidemark.session import local_session  # noqa: E402
+from tidemark.session import local_session, scratch  # noqa: E402
 
 HEADLINE = [
     "m03_monthly_revenue",
@@ -56,9 +56,10 @@ HEADLINE = [
 
 
 def run(query, spark, sf_dir: str) -> float:
-    start = time.perf_counter()
-    query(spark, sf_dir).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    with scratch(spark):
+        start = time.perf_counter()
+        query(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
 
 
 def main() -> None:

@@ -11,12 +11,10 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    from tidemark.session import CHECKPOINT_KEY, local_session
+def spark():
+    from tidemark.session import local_session
 
     session = local_session(4, shuffle_partitions=4, memory="4g")
-    if not session.conf.get(CHECKPOINT_KEY, None):
-        session.conf.set(CHECKPOINT_KEY, str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

@@ -1,8 +1,9 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 
-from tidemark.session import materialize, shared_folder
+from tidemark.session import materialize, scratch, shared_folder
 from tidemark.sources import csv, star
 
 HEADER = "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n"
@@ -77,3 +78,12 @@ def test_materialize_keeps_rows_and_types(spark, sf_dir):
     stored = materialize(frame)
     assert stored.dtypes == frame.dtypes and stored.exceptAll(frame).count() == 0
     assert all(shared_folder(spark).removeprefix("file:") in path for path in stored.inputFiles())
+
+
+def test_scratch_is_deleted(spark):
+    before = shared_folder(spark)
+    with scratch(spark) as folder:
+        assert materialize(spark.range(3)).count() == 3
+        assert shared_folder(spark) == folder and folder.startswith(before)
+        assert Path(folder.removeprefix("file://")).exists()
+    assert shared_folder(spark) == before and not Path(folder.removeprefix("file://")).exists()

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,20 +41,41 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+# The folder in use within ``scratch``, and the temporary ones of local sessions.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a temporary folder: on a cluster a
     machine-local path would be lost with its machine.
     """
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    folder = _SCRATCH.get() or spark.conf.get(CHECKPOINT_KEY, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    # A running session refuses to change this setting, so the folder is kept here.
+    return _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tidemark-"))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A subfolder of the shared folder for everything stored meanwhile, deleted at the end.
+
+    Read or write the results inside: they still depend on the stored tables.
+    """
+    folder = scratch_path(spark, "query")
+    before = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
