@@ -31,3 +31,12 @@ def test_slices_of_an_array_and_sequences():
     assert grams[0] == grams[3] and grams[1] == grams[6] and grams[0] != grams[1]
     assert part.sequences(np.array([0, 3]), np.array([3, 6])).tolist() == grams[[0, 3]].tolist()
     assert [a.tolist() for a in part.gram_ranges(3)] == [[0, 6, 6], [4, 6, 7]]
+
+
+def test_parts_of_a_long_text_do_not_matter(monkeypatch):
+    text = " ".join(f"w{i % 977}" * (i % 5 + 1) for i in range(4000))
+    (whole,) = w.cut(pa.array([text]), w.AS_IS)
+    for size in (1, 7, 300):
+        monkeypatch.setattr(w, "SLICE_BYTES", size)
+        (parts,) = w.cut(pa.array([text]), w.AS_IS)
+        assert (parts.hashes == whole.hashes).all()

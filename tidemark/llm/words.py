@@ -95,10 +95,16 @@ class Words:
     first: np.ndarray
 
     def __post_init__(self):
-        if len(self.data):
-            self.hashes = _ranges(_sums(_LETTERS[self.data], _byte_powers), self.starts, self.ends, _byte_powers)
-        else:
-            self.hashes = np.empty(0, np.uint64)
+        self.hashes = np.empty(len(self.starts), np.uint64)
+        # By parts of the bytes, so that a very long text needs memory per word, not per byte.
+        done = 0
+        while done < len(self.starts):
+            low = self.starts[done]
+            stop = max(done + 1, int(np.searchsorted(self.ends, low + SLICE_BYTES, "right")))
+            own = slice(done, stop)
+            sums = _sums(_LETTERS[self.data[low : self.ends[stop - 1]]], _byte_powers)
+            self.hashes[own] = _ranges(sums, self.starts[own] - low, self.ends[own] - low, _byte_powers)
+            done = stop
         self._sums = _sums(self.hashes, _word_powers)
 
     def __len__(self) -> int:
