@@ -11,7 +11,7 @@ def brute(rows, min_sites, max_share):
     sites = {}
     for _, text, source in rows:
         for line in (text or "").split("\n"):
-            if words(line):
+            if len(words(line)) > 1:
                 sites.setdefault(line.strip(BLANK), set()).add(source)
     found = []
     for i, text, _ in rows:
@@ -31,10 +31,10 @@ def got(df):
 def test_spread_around_the_threshold(spark):
     """Lines on 1 to 60 sites, so that sketches settle some and exact counts the rest."""
     rng = random.Random(4)
-    common = {n: f"line seen on {n} sites" for n in range(1, 61)}
+    common = {n: f"line seen on {n} sites" for n in range(1, 61)} | {61: "single", 62: "two words"}
     pages = {s: [] for s in range(60)}
     for n, line in common.items():
-        for s in rng.sample(range(60), n):
+        for s in rng.sample(range(60), min(n, 60)):
             pages[s] += [line] * rng.randint(1, 2)
     rows = []
     for i, (s, own) in enumerate(pages.items()):

@@ -6,7 +6,7 @@ Lines whose estimate is clearly over or under ``min_sites`` are settled by it; t
 it get an exact distinct count, and so does every count that is reported.
 
 A line is compared without ASCII spaces around it, by a hash of 128 bits; a line without a
-word is no line.  Boilerplate is part of a page, so a text with more than ``max_share`` of
+word is no line, and one of a single word says too little to be told from prose: it stays.  Boilerplate is part of a page, so a text with more than ``max_share`` of
 its characters in such lines is left whole: it is itself a copy, which near-duplicate
 removal handles without tearing up the group.
 
@@ -35,10 +35,10 @@ LINE = ["h1", "h2"]
 
 
 def text_lines(docs: DataFrame, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_row, _id, site, line`` (from 0), its hash ``h1, h2`` and ``size`` for every line with a word."""
+    """``_row, _id, site, line`` (from 0), its hash ``h1, h2`` and ``size`` for every line of two words or more."""
     rows = rows_of(docs, site(f"`{site_col}`").alias("site"), id_col=id_col, text_col=text_col)
     split = rows.select(ROW, ID, "site", F.posexplode(F.split("_text", "\n", -1)).alias("line", "_text"))
-    trimmed = split.withColumn("_text", F.btrim("_text", F.lit(_BLANK))).where("_text <> ''")
+    trimmed = split.withColumn("_text", F.btrim("_text", F.lit(_BLANK))).where(F.rlike("_text", F.lit(f"[{_BLANK}]")))
     return trimmed.select(
         ROW, ID, "site", "line", F.xxhash64("_text").alias("h1"), F.xxhash64(F.lit(1), "_text").alias("h2"),
         F.length("_text").alias("size"),

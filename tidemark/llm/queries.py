@@ -218,7 +218,7 @@ def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM documents),
     t AS (SELECT *, trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
     b AS (
-      SELECT line FROM t WHERE line <> '' GROUP BY line
+      SELECT line FROM t WHERE regexp_matches(line, '[\x20\x09\x0B-\x0D]') GROUP BY line
       HAVING count(DISTINCT coalesce('s' || source, '-')) >= 10),
     m AS (SELECT t.*, b.line IS NOT NULL AS bad FROM t LEFT JOIN b USING (line)),
     g AS (
