@@ -11,8 +11,9 @@
 4. Survivors are decided exactly on the full shingle sets of the whole texts.
 5. A node that failed with a bucket's least node may still be linked with others that met
    there.  It is compared with the whole class of that node and with the others that
-   failed there, signatures against signatures in blocks of ``BLOCK``; only survivors of
-   step 3 become rows and go to step 4.  So buckets are exhausted without emitting pairs.
+   failed there, block against block of about ``BLOCK`` nodes, by steps 3 and 4 within the
+   task.  Only a link that joins two classes not yet joined by that pair of blocks becomes
+   a row, so buckets are exhausted without emitting pairs and no class is missed.
 6. Links are joined to classes; the least ``doc_id`` names a class and stays.
 
 With similarity s two nodes share no band with chance (1 - s^rows)^bands: 7e-7 at 0.85 for
@@ -40,7 +41,8 @@ from tidemark.llm.frames import ID, ROW, materialize, plain_id, rows_of, without
 
 BATCH = 20
 MISS = 1e-6
-BLOCK = 256
+# Nodes, and characters, that one block of a class holds on average at most.
+BLOCK, BLOCK_CHARS = 256, 4_000_000
 
 
 def bands_for(percent: int) -> tuple[int, int]:
@@ -146,28 +148,70 @@ def _prune(bounds: list[tuple[int, int]], hashes: int):
     return run
 
 
-def _blocks(bounds: list[tuple[int, int]], hashes: int):
-    """Of two blocks of one class, the likely pairs in different classes."""
+def _linked(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sorted sets ``others`` share ``percent`` of the union with the sorted set ``own``."""
+    sizes = np.array([len(o) for o in others])
+    values = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+    both = np.add.reduceat((own[at] == values).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= percent * (len(own) + sizes - both)
+
+
+def _blocks(bounds: list[tuple[int, int]], hashes: int, k: int, percent: int):
+    """Links between two blocks of one class; of links that join the same labels the first one."""
+
+    def side(lists: pa.ListArray, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        a, b = lists.offsets[r].as_py(), lists.offsets[r + 1].as_py()
+        part = lists.values.slice(a, b - a)
+        node, label = (np.asarray(part.field(f)) for f in ("node", "label"))
+        return node, label, _matrix(part.field("signature"), hashes), part.field("text")
+
+    def sets_of(texts: pa.Array, wanted: np.ndarray) -> dict[int, np.ndarray]:
+        found = {}
+        for part in words.cut(texts.take(pa.array(wanted)), words.LOWER):
+            values, ends = shingle_sets(part, k)
+            for d in range(len(part)):
+                found[int(wanted[part.row + d])] = values[ends[d] : ends[d + 1]]
+        return found
+
+    def links(asked, others) -> Iterator[tuple[int, int]]:
+        node_a, label_a, sig_a, text_a = asked
+        node_b, label_b, sig_b, text_b = others
+        likely = {}
+        for i in range(len(node_a)):
+            other = np.flatnonzero(label_b != label_a[i])
+            near = other[_still_likely(np.broadcast_to(sig_a[i], (len(other), hashes)), sig_b[other], bounds)]
+            if len(near):
+                likely[i] = near
+        if not likely:
+            return
+        sets_a = sets_of(text_a, np.array(list(likely)))
+        sets_b = sets_of(text_b, np.unique(np.concatenate(list(likely.values()))))
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        for i, near in likely.items():
+            near = [j for j in near.tolist() if root(int(label_b[j])) != root(int(label_a[i]))]
+            if not near:
+                continue
+            for j, right in zip(near, _linked(sets_a[i], [sets_b[j] for j in near], percent)):
+                one, two = root(int(label_a[i])), root(int(label_b[j]))
+                if right and one != two:
+                    parent[one] = two
+                    yield int(node_a[i]), int(node_b[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for c in ("asked", "others"):
-                lists = batch.column(c)
-                nodes, labels = (np.asarray(lists.values.field(f)) for f in ("node", "label"))
-                sides.append((np.asarray(lists.offsets), nodes, labels, _matrix(lists.values.field("signature"), hashes)))
-            (at_a, node_a, label_a, sig_a), (at_b, node_b, label_b, sig_b) = sides
-            for r in range(len(batch)):
-                of = slice(at_b[r], at_b[r + 1])
-                nodes, labels, sigs = node_b[of], label_b[of], sig_b[of]
-                for i in range(at_a[r], at_a[r + 1]):
-                    other = np.flatnonzero(labels != label_a[i])
-                    mine = np.broadcast_to(sig_a[i], (len(other), hashes))
-                    near = nodes[other[_still_likely(mine, sigs[other], bounds)]]
-                    if len(near):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.minimum(near, node_a[i])), pa.array(np.maximum(near, node_a[i]))], ["a", "b"]
-                        )
+            found = [
+                link
+                for r in range(len(batch))
+                for link in links(side(batch.column("asked"), r), side(batch.column("others"), r))
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
@@ -268,23 +312,17 @@ def near_duplicates(
     others = members.select(asked.columns).union(asked)
 
     def blocks(frame: DataFrame, name: str) -> DataFrame:
-        sizes = frame.groupBy("class").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+        frame = frame.join(texts, "node")
+        room = F.greatest(F.lit(1.0 / BLOCK), F.length("_text") / F.lit(float(BLOCK_CHARS)))
+        sizes = materialize(frame.groupBy("class").agg(F.ceil(F.sum(room)).alias("n")), "class-sizes")
         block = F.pmod(F.xxhash64("node"), F.col("n")).alias("block")
-        return (
-            frame.join(sizes, "class")
-            .groupBy("class", block)
-            .agg(F.collect_list(F.struct("node", "label", "signature")).alias(name))
-            .drop("block")
-        )
+        entry = F.struct("node", "label", "signature", F.col("_text").alias("text"))
+        listed = frame.join(sizes, "class").groupBy("class", block).agg(F.collect_list(entry).alias(name))
+        # Stored, so that the join below can split a class with many blocks.
+        return materialize(listed.drop("block"), name)
 
-    late = (
-        blocks(asked, "asked")
-        .join(blocks(others, "others"), "class")
-        .select("asked", "others")
-        .mapInArrow(_blocks(bounds, hashes), "a long, b long")
-        .distinct()
-    )
-    late_links = materialize(decided(late.join(pairs, ["a", "b"], "left_anti")), "late-links")
+    compared = blocks(asked, "asked").join(blocks(others, "others"), "class").select("asked", "others")
+    late_links = materialize(compared.mapInArrow(_blocks(bounds, hashes, shingle, percent), "a long, b long"), "late-links")
     if not late_links.isEmpty():
         labels = components(links.union(late_links))
 
