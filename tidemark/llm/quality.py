@@ -8,8 +8,8 @@
 4. The rules with a weight are compiled to one Spark column expression, the score.
 
 Labels come from a table; language, source and id are never inputs.  The sample has at
-most about ``max_rows`` labelled texts, chosen by a hash of the id; every statistic and
-every score covers all texts.  The sample is put in one order before it is fitted, so
+most about ``max_rows`` labelled texts, and ``LEAST_OF_CLASS`` more of a rare class, chosen by
+a hash of the id; every statistic and every score covers all texts.  The sample is put in one order before it is fitted, so
 reruns agree whatever the partitions.
 
 Defined cases: a null or empty text has all statistics 0 and is scored like any other;
@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words
 from tidemark.llm.compression import repeated_words
-from tidemark.llm.frames import ID, ROW, materialize, plain_id, rows_of
+from tidemark.llm.frames import ID, ROW, materialize, rows_of
 
 MAX_ROWS = 20_000
+LEAST_OF_CLASS = 1_000
 STATISTICS = [
     "bytes_log", "word_count_log", "word_length", "upper", "digits", "symbols", "marks", "bars", "spaces", "high_bytes",
     "capital_words", "distinct_words", "repeated_words", "line_length", "repeated_lines", "ratio",
@@ -150,7 +151,10 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, trees: int = 30, depth: i
     if ones in (0, count):
         share = (ones + 0.5) / (count + 1)
         return RuleEnsemble(float(np.log(share / (1 - share))), ())
-    part = F.pmod(F.xxhash64(F.lit("sample"), ID, ROW), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / count))
+    # The same share of both classes, but a rare one is taken whole up to LEAST_OF_CLASS rows.
+    share = [min(1.0, max(max_rows / count, LEAST_OF_CLASS / n)) for n in (count - ones, ones)]
+    place = F.pmod(F.xxhash64(F.lit("sample"), ID, ROW), F.lit(1_000_000)) / 1_000_000
+    part = place < F.when(F.col("label") == 1, share[1]).otherwise(share[0])
     order = [ID, ROW, "label"]
     features = F.array(*STATISTICS)
     # Bounded by max_rows, so that one ordered partition is small.
@@ -158,24 +162,22 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, trees: int = 30, depth: i
         labelled.where(part).coalesce(1).sortWithinPartitions(*order)
         .select(F.col("label").cast("double").alias("label"), *STATISTICS), "sample",
     )
-    if sample.select("label").distinct().count() < 2:
-        return fit(labelled, count, trees, depth, penalty)
     forest = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", subsamplingRate=0.7, seed=11, minInstancesPerNode=max(1, count // 2000)
+        numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", subsamplingRate=0.7, seed=11, minInstancesPerNode=max(1, min(count, max_rows) // 2000)
     ).fit(sample.select("label", array_to_vector(features).alias("features")))
     found: set[Rule] = set()
     for tree in forest.trees:
         _paths(tree._call_java("rootNode"), {}, found)
     rules = sorted(found, key=lambda r: (len(r.bounds), r.bounds))
     if not rules:
-        share = ones / count
-        return RuleEnsemble(float(np.log(share / (1 - share))), ())
+        return RuleEnsemble(float(np.log(ones / (count - ones))), ())
     held = F.array(*[r.column().cast("double") for r in rules])
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=200).fit(
         sample.select("label", array_to_vector(held).alias("features"))
     )
     weights = [(r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray()) if w]
-    return RuleEnsemble(float(lasso.intercept), tuple(weights))
+    # What the sampling changed in the odds of the classes is taken back.
+    return RuleEnsemble(float(lasso.intercept + np.log(share[0] / share[1])), tuple(weights))
 
 
 def scored(
@@ -198,6 +200,3 @@ def scored(
 def held_out(id_col: Column) -> Column:
     """A third of the ids, kept out of training to measure the score."""
     return F.crc32(id_col.cast("string").cast("binary")) % 3 == 1
-
-
-__all__ = ["RuleEnsemble", "Rule", "fit", "held_out", "plain_id", "scored", "statistics"]
