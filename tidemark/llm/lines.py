@@ -6,9 +6,14 @@ Lines whose estimate is clearly over or under ``min_sites`` are settled by it; t
 it get an exact distinct count, and so does every count that is reported.
 
 A line is compared without ASCII spaces around it, by a hash of 128 bits; a line without a
-word is no line, and one of a single word says too little to be told from prose: it stays.  Boilerplate is part of a page, so a text with more than ``max_share`` of
-its characters in such lines is left whole: it is itself a copy, which near-duplicate
-removal handles without tearing up the group.
+word is no line.
+
+A text with more than ``max_share`` of its characters in boilerplate may be left whole, so
+that near-duplicate removal gets a group of copies untorn.  ``protect="copies"`` does so only
+where another document (another id, text or site) has the same set of lines; every other
+text loses its boilerplate, up to all of it.  ``protect="share"`` leaves every such text
+whole, also a short page of its own between a common header and footer: the registered
+``op7_line_dedup`` is tied to that by its SQL, the pipeline is not.
 
 Defined cases: a null text has no lines; a missing site is a site of its own; a line that a
 document repeats counts once per site and is removed everywhere in it; repeated rows count
@@ -61,17 +66,34 @@ def widespread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sure.union(exact.select(*LINE))
 
 
+def copied(docs: DataFrame, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``_row, _id`` of the texts whose set of lines another document has too.
+
+    Rows are one document when id, text and site are equal.
+    """
+    rows = rows_of(docs, site(f"`{site_col}`").alias("site"), id_col=id_col, text_col=text_col)
+    own = F.transform(F.split("_text", "\n", -1), lambda line: F.btrim(line, F.lit(_BLANK)))
+    own = F.array_sort(F.array_distinct(F.filter(own, lambda line: line != "")))
+    sets = rows.select(ROW, ID, "site", own.alias("own")).where(F.size("own") > 0)
+    hashed = [F.xxhash64("own").alias("s1"), F.xxhash64(F.lit(1), "own").alias("s2")]
+    sets = materialize(sets.select(ROW, ID, "site", *hashed), "line-sets")
+    document = F.struct(ROW, ID, "site")
+    again = sets.groupBy("s1", "s2").agg(F.min(document).alias("least"), F.max(document).alias("most"))
+    again = materialize(again.where("least <> most").select("s1", "s2"), "copied-sets")
+    return sets.join(again, ["s1", "s2"]).select(ROW, ID).distinct()
+
+
 def _rebuild(max_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, hits, removed, kept = [], [], [], []
-            for text, found in zip(batch.column("_text"), batch.column("found")):
+            for text, found, whole in zip(batch.column("_text"), batch.column("found"), batch.column("whole")):
                 own = text.as_py().split("\n")
                 sizes = [len(line.strip(_BLANK)) for line in own]
                 bad = sorted(set(found.as_py() or []))
                 counts.append(sum(map(bool, sizes)))
                 hits.append(len(bad))
-                if sum(sizes[i] for i in bad) > max_share * sum(sizes):
+                if whole.as_py() and sum(sizes[i] for i in bad) > max_share * sum(sizes):
                     bad = []
                 removed.append(bad)
                 if bad:
@@ -103,18 +125,27 @@ def strip_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: tuple[str, ...] = (),
+    protect: str = "share",
 ) -> DataFrame:
     """``_row, _id, n_lines, n_boilerplate, removed`` (line numbers) and ``kept_text`` of every text.
 
+    ``protect`` says which texts over ``max_share`` stay whole: ``"copies"`` or all (``"share"``).
     Stores the line hashes in the shared folder.  Columns named in ``carry`` come along
     as ``_c0, _c1, …``.
     """
+    if protect not in ("share", "copies"):
+        raise ValueError(f"protect: {protect}")
     lines = materialize(text_lines(docs, site_col, id_col, text_col), "lines")
     found = (
         lines.join(widespread(lines, min_sites), LINE)
         .groupBy(ROW, ID)
         .agg(F.collect_set("line").alias("found"))
     )
+    if protect == "copies":
+        copies = copied(docs, site_col, id_col, text_col).withColumn("whole", F.lit(True))
+        found = found.join(copies, [ROW, ID], "left")
+    else:
+        found = found.withColumn("whole", F.lit(True))
     carried = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]
     rows = rows_of(docs, *carried, id_col=id_col, text_col=text_col)
     types = [f"_c{i} {docs.select(F.col(f'`{c}`')).schema[0].dataType.simpleString()}" for i, c in enumerate(carry)]
