@@ -22,13 +22,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def strip_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on ten sources or more are cut out of their documents; ``n_chars`` follows the text.
+    """Lines on ten sources or more, of one word too, are cut out of their documents; ``n_chars`` follows the text.
 
     Only copies of another document that are mostly such lines stay whole, for the next stage.
     """
     known = docs.withColumn("_empty", F.col("text").isNull())
     carry = tuple(c for c in known.columns if c != "text")
-    found = lines.strip_lines(known, carry=carry, protect="copies")
+    found = lines.strip_lines(known, carry=carry, protect="copies", every_line=True)
     place = {c: f"_c{i}" for i, c in enumerate(carry)}
     changed = F.size("removed") > 0
     values = {c: F.col(n) for c, n in place.items()}

@@ -21,3 +21,12 @@ def test_only_proven_copies_stay_whole(spark):
     assert all(found[i, s] == f"own {i}" for i, _, s in short)
     assert found[50, "s1"] == "" and found[200, "s2"] == "loaded twice"
     assert all(found[i, s] == text for i, text, s in [*copies, turned, *no_ids])
+
+
+def test_lines_without_a_blank_count(spark):
+    common = ["Home|About|Contact", "版权所有不得转载", "https://example.org/imprint", "Terms of use", "Les."]
+    rows = [(i, "\n".join([f"the own words of page {i}, longer than all of the menu lines " * 3, *common, f"page{i}"]), f"s{i}") for i in range(11)]
+    rare = [(i, text + "\nnine", source) for i, text, source in rows[:9]]
+    found = after(spark, rare + rows[9:])
+    for i, text, source in rare + rows[9:]:
+        assert found[i, source] == "\n".join(x for x in text.split("\n") if x not in common)

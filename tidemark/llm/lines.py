@@ -6,7 +6,9 @@ Lines whose estimate is clearly over or under ``min_sites`` are settled by it; t
 it get an exact distinct count, and so does every count that is reported.
 
 A line is compared without ASCII spaces around it, by a hash of 128 bits; a line without a
-word is no line.
+word is no line.  With ``every_line`` all lines count, whatever their length and script.
+Without it only those with an ASCII blank inside do, as the SQL of the registered
+``op7_line_dedup`` has it: boilerplate of one word, in scripts without blanks, or of URLs stays.
 
 A text with more than ``max_share`` of its characters in boilerplate may be left whole, so
 that near-duplicate removal gets a group of copies untorn.  ``protect="copies"`` does so only
@@ -39,11 +41,14 @@ _BLANK = " \t\x0b\x0c\r"
 LINE = ["h1", "h2"]
 
 
-def text_lines(docs: DataFrame, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_row, _id, site, line`` (from 0), its hash ``h1, h2`` and ``size`` for every line of two words or more."""
+def text_lines(
+    docs: DataFrame, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text", every_line: bool = False
+) -> DataFrame:
+    """``_row, _id, site, line`` (from 0), its hash ``h1, h2`` and ``size`` for every line that counts."""
     rows = rows_of(docs, site(f"`{site_col}`").alias("site"), id_col=id_col, text_col=text_col)
     split = rows.select(ROW, ID, "site", F.posexplode(F.split("_text", "\n", -1)).alias("line", "_text"))
-    trimmed = split.withColumn("_text", F.btrim("_text", F.lit(_BLANK))).where(F.rlike("_text", F.lit(f"[{_BLANK}]")))
+    counts = F.col("_text") != "" if every_line else F.rlike("_text", F.lit(f"[{_BLANK}]"))
+    trimmed = split.withColumn("_text", F.btrim("_text", F.lit(_BLANK))).where(counts)
     return trimmed.select(
         ROW, ID, "site", "line", F.xxhash64("_text").alias("h1"), F.xxhash64(F.lit(1), "_text").alias("h2"),
         F.length("_text").alias("size"),
@@ -126,16 +131,18 @@ def strip_lines(
     text_col: str = "text",
     carry: tuple[str, ...] = (),
     protect: str = "share",
+    every_line: bool = False,
 ) -> DataFrame:
     """``_row, _id, n_lines, n_boilerplate, removed`` (line numbers) and ``kept_text`` of every text.
 
-    ``protect`` says which texts over ``max_share`` stay whole: ``"copies"`` or all (``"share"``).
+    ``protect`` says which texts over ``max_share`` stay whole: ``"copies"`` or all (``"share"``);
+    ``every_line`` counts lines without a blank too.
     Stores the line hashes in the shared folder.  Columns named in ``carry`` come along
     as ``_c0, _c1, …``.
     """
     if protect not in ("share", "copies"):
         raise ValueError(f"protect: {protect}")
-    lines = materialize(text_lines(docs, site_col, id_col, text_col), "lines")
+    lines = materialize(text_lines(docs, site_col, id_col, text_col, every_line), "lines")
     found = (
         lines.join(widespread(lines, min_sites), LINE)
         .groupBy(ROW, ID)
