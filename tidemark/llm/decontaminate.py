@@ -9,10 +9,16 @@ SimHash of 256 bits.
 Multi-index search: the items' SimHashes are cut into 32 blocks of 8 bits and each block
 value is filed with its 8 neighbours at one flipped bit.  Fingerprints that differ in at
 most ``RADIUS`` = 63 bits differ in at most one bit of some block, so every item within the
-radius is found.  At similarity 0.8 the expected distance is 39 bits with a deviation of
-5.7, so the radius is more than four deviations away.  Candidates are verified with the
-exact weighted similarity: the sum of the lesser weights over the sum of the greater ones,
-repeated shingles counted.
+radius is found.  Angles add the squares of votes, the similarity adds weights; so a shingle
+votes with the root of its weight, and long words count alike in both.  Similarity 0.8 is
+then a cosine of 2 x 0.8 / 1.8 at least: at most 39 bits are expected to differ, with a
+deviation of 5.7, and the radius is more than four deviations away.
+
+That holds while no shingle stands twice.  A window or an item that repeats one is compared
+by the inverted lists instead: with every item that shares a shingle, unless the weight that
+can be shared is too small for the threshold.  Candidates of both kinds are verified with
+the exact weighted similarity: the sum of the lesser weights over the sum of the greater
+ones, repeated shingles counted.
 
 The benchmark is broadcast in blocks of at most ``block_words`` words; more blocks mean
 more passes over the texts, never a part left out.  Texts are not shuffled.
@@ -49,7 +55,11 @@ def _weights(part: words.Words, k: int) -> np.ndarray:
 
 
 def _votes(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """A row per shingle: its weight, negative where its bit is not set."""
+    """A row per shingle: the root of its weight, negative where its bit is not set.
+
+    In whole numbers, so that sums and ties do not depend on where a range starts.
+    """
+    weights = np.rint(64 * np.sqrt(weights)).astype(np.int64)
     lanes = [words.mix(shingles + np.uint64(i * 0x632BE59BD9B4E019 % (1 << 64))) for i in range(1, LANES + 1)]
     bits = np.unpackbits(np.stack(lanes, axis=1).view(np.uint8), axis=1)
     return np.where(bits, weights[:, None], -weights[:, None])
@@ -86,6 +96,8 @@ class Items:
     holders: np.ndarray
     filed: list[list[np.ndarray]]
     seen: np.ndarray
+    weights: np.ndarray
+    repeats: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple], k: int) -> Items:
@@ -114,7 +126,9 @@ class Items:
         order = np.argsort(every, kind="stable")
         seen = np.zeros(1 << _SEEN_BITS, bool)
         seen[(every & np.uint64((1 << _SEEN_BITS) - 1)).astype(np.int64)] = True
-        return cls(ids, counted, np.array(sizes, np.int64), prints, every[order], holder[order], filed, seen)
+        total = np.array([sum(c * w for c, w in own.values()) for own in counted], np.int64)
+        repeats = np.array([any(c > 1 for c, _ in own.values()) for own in counted], bool)
+        return cls(ids, counted, np.array(sizes, np.int64), prints, every[order], holder[order], filed, seen, total, repeats)
 
     def within_radius(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item) pairs at most ``RADIUS`` bits apart."""
@@ -127,6 +141,35 @@ class Items:
             item.append(near)
         return np.concatenate(window), np.concatenate(item)
 
+    def sharing(
+        self, grams: np.ndarray, weights: np.ndarray, hits: np.ndarray, start: np.ndarray, end: np.ndarray, percent: int
+    ) -> Iterator[tuple[int, int]]:
+        """(window, item) where either repeats a shingle and the weight that may be shared reaches ``percent``."""
+        # The first repetition of a shingle that stands at or after a place.
+        order = np.argsort(grams, kind="stable")
+        same = grams[order[1:]] == grams[order[:-1]]
+        again = np.full(len(grams) + 1, len(grams))
+        again[order[:-1][same]] = order[1:][same]
+        repeated = np.minimum.accumulate(again[::-1])[::-1][start] < end
+        low = np.searchsorted(self.shingles, grams[hits], "left")
+        n = np.searchsorted(self.shingles, grams[hits], "right") - low
+        place = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+        holders, at = self.holders[place], np.repeat(hits, n)
+        if not repeated.any():
+            wanted = self.repeats[holders]
+            holders, at = holders[wanted], at[wanted]
+        order = np.argsort(holders, kind="stable")
+        holders, at = holders[order], at[order]
+        total = np.concatenate([[0], np.cumsum(weights)])
+        firsts = np.flatnonzero(np.diff(holders, prepend=-1))
+        for i, own in zip(holders[firsts].tolist(), np.split(at, firsts[1:])):
+            fits = np.flatnonzero(repeated | self.repeats[i])
+            s, e = start[fits], end[fits]
+            sums = np.concatenate([[0], np.cumsum(weights[own])])
+            shared = np.minimum(sums[np.searchsorted(own, e)] - sums[np.searchsorted(own, s)], self.weights[i])
+            both = total[e] - total[s] + self.weights[i]
+            yield from ((x, i) for x in fits[100 * shared >= percent * (both - shared)].tolist())
+
     def windows(self, grams: np.ndarray, hits: np.ndarray) -> np.ndarray:
         """(start, end) in shingles of the item-sized windows around shared shingles."""
         n, found = len(grams), []
@@ -163,17 +206,19 @@ def _search(shared, k: int, percent: int):
                     g, w = grams[low[d] : high[d]], weights[low[d] : high[d]]
                     best: dict[int, tuple] = {}
                     for start, end in _regions(items.windows(g, own)):
-                        base = start.min()
-                        votes = _votes(g[base : end.max()], w[base : end.max()])
-                        window, item = items.within_radius(_prints(votes, start - base, end - base))
+                        base, top = start.min(), end.max()
+                        near_g, near_w, start, end = g[base:top], w[base:top], start - base, end - base
+                        window, item = items.within_radius(_prints(_votes(near_g, near_w), start, end))
+                        near = own[np.searchsorted(own, base) : np.searchsorted(own, top)] - base
+                        pairs = {*zip(window.tolist(), item.tolist()), *items.sharing(near_g, near_w, near, start, end, percent)}
                         counted: dict[int, dict] = {}
-                        for x, i in zip(window.tolist(), item.tolist()):
+                        for x, i in sorted(pairs):
                             s, e = int(start[x]), int(end[x])
                             if x not in counted:
-                                counted[x] = _counted(g[s:e], w[s:e])
+                                counted[x] = _counted(near_g[s:e], near_w[s:e])
                             same = _similarity(counted[x], items.counted[i])
                             if same * 100 >= percent and (i not in best or same > best[i][0]):
-                                best[i] = (same, s, e - s + k - 1)
+                                best[i] = (same, int(base) + s, e - s + k - 1)
                     at = part.row + d
                     found += [(int(row[at]), int(id_[at]), items.ids[i], *best[i]) for i in sorted(best)]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
