@@ -1,17 +1,18 @@
 """Quality rules by compression: repetitive and incompressible texts are rejected.
 
-zstandard compresses the whole text and each of its fixed chunks of ``CHUNK`` bytes.  The
-ratio of compressed to raw bytes must lie within limits that depend on the length, since
-short texts compress worse: written language sits well inside, repeated material far
-below, and random strings above.  Whole-text ratios find repeats at any distance; chunk
-ratios find a bad stretch that a long clean text would hide, and reject when more than
-``MAX_CHUNKS`` of the chunks fall outside.
+zstandard compresses the whole text and each of its chunks of ``CHUNK`` bytes, the last of
+which is as long as is left.  The ratio of compressed to raw bytes must lie within limits
+that depend on the length, since short texts compress worse: written language sits well
+inside, repeated material far below, and random strings above.  Whole-text ratios find
+repeats at any distance; chunk ratios find a bad stretch that a long clean text would hide,
+and reject when chunks with more than ``MAX_CHUNKS`` of the bytes fall outside.
 
 Base rules, on words ``[^\\x20\\x09-\\x0D]+``: at least ``MIN_WORDS`` words, and at most
 ``MAX_REPEATED`` percent of them inside 8-word windows that the text has more than once.
 
 Defined cases: a null text is empty and fails the base rules; a text shorter than the
-first limit has no ratio limits; repeated rows are judged alike.  Everything is decided
+first limit has no ratio limits; one shorter than a chunk has no chunks, the limits of the
+whole text are the same; a last chunk under the first limit counts as inside; repeated rows are judged alike.  Everything is decided
 per row, so nothing is shuffled.
 """
 
@@ -66,10 +67,15 @@ def _duplicate_lines(text: str) -> int:
 
 
 def _within(ratio: float, size: int) -> bool:
+    """By the limits of a text of ``size`` bytes."""
     fitting = [limit for limit in LIMITS if size >= limit[0]]
     return not fitting or fitting[-1][1] <= ratio <= fitting[-1][2]
 
 
+def _chunk_within(ratio: float, size: int) -> bool:
+    return CHUNK_LIMITS[0] <= ratio <= CHUNK_LIMITS[1] if size == CHUNK else _within(ratio, size)
+
+
 def _rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     symbol = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
     packer = zstandard.ZstdCompressor(level=LEVEL)
@@ -79,17 +85,19 @@ def _rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = offsets[part.row : part.row + len(part) + 1]
             data = raw[bounds[0] : bounds[-1]]
             local = bounds - bounds[0]
-            whole, chunks, outside, duplicates = [], [], [], []
+            whole, chunks, outside, bad_bytes, duplicates = [], [], [], [], []
             for a, b in zip(local, local[1:]):
                 text = data[a:b].tobytes()
                 duplicates.append(_duplicate_lines(text.decode()))
                 whole.append(len(packer.compress(text)) / len(text) if text else 0.0)
-                ratios = [len(packer.compress(text[i : i + CHUNK])) / CHUNK for i in range(0, len(text) - CHUNK + 1, CHUNK)]
-                chunks.append(len(ratios))
-                outside.append(sum(not CHUNK_LIMITS[0] <= r <= CHUNK_LIMITS[1] for r in ratios))
+                own = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)] if len(text) >= CHUNK else []
+                bad = [len(c) for c in own if not _chunk_within(len(packer.compress(c)) / len(c), len(c))]
+                chunks.append(len(own))
+                outside.append(len(bad))
+                bad_bytes.append(sum(bad))
             counts, repeated = part.counts, repeated_words(part)
             failed = (counts < MIN_WORDS) | (100 * repeated > MAX_REPEATED * counts)
-            bands = [_within(r, n) and o <= MAX_CHUNKS * c for r, n, o, c in zip(whole, np.diff(local), outside, chunks)]
+            bands = [_within(r, n) and bad <= MAX_CHUNKS * n for r, n, bad in zip(whole, np.diff(local), bad_bytes)]
             leads = ((data & 0xC0) != 0x80) & (part.data != 32)
             yield pa.RecordBatch.from_arrays(
                 [
