@@ -10,6 +10,11 @@ Further kinds are reported only when decoding shows the structure of a credentia
 * ``ssh``: base64 of a private key container with its magic string and nested lengths;
 * ``pem``: a private-key block whose body is one of the two above.
 
+A key need not stand alone.  The body of a block may be escaped as in JSON or in a quoted
+setting.  Base64 that is wrapped into lines, with real or escaped breaks, is read as one run,
+and in a run that is no key as a whole, keys are looked for wherever their first bytes stand:
+the length that they state tells where they end, whatever is glued to either side.
+
 Spans are in code points, end exclusive.  Defined cases: a null text is empty; a text is
 scanned whole; rows are judged one by one, so repeated rows get equal answers.
 """
@@ -20,7 +25,9 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,12 +48,24 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
-BLOCK = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
+BLOCK = re.compile(
+    r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----((?:[A-Za-z0-9+/=\s\"',]|\\+[nrt\"'/\s])++)-----END \1PRIVATE KEY-----"
+)
+# What may stand between the lines of one base64 text, and lines of 16 characters or more with it.
+BREAK = re.compile(r"(?:[\s\"',]|\\+[nrt\"'\s])++")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{16,}}+{BREAK.pattern})++[A-Za-z0-9+/_-]*+")
+# The first bytes in base64: a sequence, its length in one to five bytes and a version of 0 or 1; the container's magic.
+_X = "[A-Za-z0-9+/_-]"
+KEY_START = re.compile(
+    rf"M(?:I(?:[I-L]{_X}{{2}}[AQgw]IB|[E-H]{_X}AgE|[M-P]{_X}{{4}}CAQ|[Q-T]{_X}{{5}}AgE)|[B-H]{_X}CAQ)|b3BlbnNzaC1rZXktdjEA"
+)
+PADDING = re.compile("={0,2}")
+_ESCAPED = re.compile(r"\\+[nrt]|[\s\\\"',]")
 MAGIC = b"openssh-key-v1\0"
 
 
 def _base64(text: str) -> bytes | None:
-    plain = "".join(text.split()).rstrip("=").replace("-", "+").replace("_", "/")
+    plain = _ESCAPED.sub("", text).rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -84,16 +103,101 @@ def is_private_key(data: bytes | None) -> bool:
     return any(tag in (0x02, 0x04) and len(content) >= 16 for tag, content in inner[1:])
 
 
-def is_key_container(data: bytes | None) -> bool:
-    """Cipher, derivation and options as strings with their lengths, then a key count."""
-    if not data or not data.startswith(MAGIC):
-        return False
+def _container_size(data: bytes) -> int | None:
+    """Bytes of a container at the start of ``data``: cipher, derivation and options as
+    strings with their lengths, a key count, the public keys and the private part.
+
+    What follows the count may be cut short; then all of ``data`` is the container.
+    """
+    if not data.startswith(MAGIC):
+        return None
+
+    def number(at: int) -> int | None:
+        return int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else None
+
     at = len(MAGIC)
     for _ in range(3):
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
+        size = number(at)
+        if size is None:
+            return None
+        at += 4 + size
+    count = number(at)
+    if count is None or not 1 <= count <= 16:
+        return None
+    at += 4
+    for _ in range(count + 1):
+        size = number(at)
+        if size is None or at + 4 + size > len(data):
+            return len(data)
+        at += 4 + size
+    return at
+
+
+def is_key_container(data: bytes | None) -> bool:
+    return bool(data) and _container_size(data) is not None
+
+
+def _sequence_size(head: bytes) -> int:
+    """Bytes of the ASN.1 sequence whose first bytes are ``head``."""
+    if not head[1] & 0x80:
+        return 2 + head[1]
+    n = head[1] & 0x7F
+    return 2 + n + int.from_bytes(head[2 : 2 + n], "big")
+
+
+def _ends(data: bytes, last: str) -> bool:
+    """Whether ``last`` is the last character that the data alone has."""
+    tail = data[-(len(data) % 3 or 3) :]
+    return base64.b64encode(tail).rstrip(b"=").decode()[-1] == last.replace("-", "+").replace("_", "/")
+
+
+def _keys_inside(run: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the keys anywhere in a run of base64 characters without breaks."""
+    at = 0
+    while m := KEY_START.search(run, at):
+        start, at = m.start(), m.start() + 1
+        if run[start] == "M":
+            head = _base64(run[start : start + 8])
+            size = _sequence_size(head) if head else len(run)
+            end = start + -(-size * 4 // 3)
+            data = _base64(run[start:end]) if end <= len(run) else None
+            # Where a key ends inside a character, its other bits are 0; more bytes would set them.
+            if data and is_private_key(data) and _ends(data, run[end - 1]):
+                yield "der", start, end
+                at = end
+        else:
+            # A single character over is no byte.
+            end = len(run) - ((len(run) - start) % 4 == 1)
+            data = _base64(run[start:end])
+            size = _container_size(data) if data else None
+            if size is not None:
+                end = min(end, start + -(-size * 4 // 3))
+                yield "ssh", start, end
+                at = end
+
+
+def _keys_in(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """The same in a part of a text that may have breaks, with places of the text."""
+    runs, at = [], start
+    for m in BREAK.finditer(text, start, end):
+        runs.append((at, m.start()))
+        at = m.end()
+    runs.append((at, end))
+    first = list(accumulate((b - a for a, b in runs), initial=0))
+
+    def place(i: int) -> int:
+        r = bisect_right(first, i, hi=len(runs)) - 1
+        return runs[r][0] + i - first[r]
+
+    for kind, a, b in _keys_inside("".join(text[a:b] for a, b in runs)):
+        high = place(b - 1) + 1
+        yield kind, place(a), high + len(PADDING.match(text, high)[0])
+
+
+def _covers(spans: list[tuple[int, int]], at: int) -> bool:
+    """Whether one of the ordered spans holds a place."""
+    i = bisect_right(spans, at, key=lambda span: span[0]) - 1
+    return i >= 0 and at < spans[i][1]
 
 
 def is_signed_token(text: str) -> bool:
@@ -115,12 +219,21 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
+    wrapped = [m.span() for m in WRAPPED.finditer(text)]
+    keys = [key for span in wrapped for key in _keys_in(text, *span)]
+    known = [(start, end) for _, start, end in keys]
     for m in ENCODED.finditer(text):
+        # A line of a wrapped key is no key of its own.
+        if _covers(known, m.start()):
+            continue
         data = _base64(m[0])
         if is_private_key(data):
-            found.append(("der", *m.span()))
+            keys.append(("der", *m.span()))
         elif is_key_container(data):
-            found.append(("ssh", *m.span()))
+            keys.append(("ssh", *m.span()))
+        elif not _covers(wrapped, m.start()):
+            keys += _keys_in(text, *m.span())
+    found += keys
     for m in LONG_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
             found.append(("der", *m.span()))
