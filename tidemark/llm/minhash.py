@@ -21,7 +21,9 @@ With similarity s two nodes share no band with chance (1 - s^rows)^bands: 7e-7 a
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing and stays;
 fewer words than a shingle needs: the whole sequence is the one shingle; rows with equal
-ids stay or go together; a row without an id stays only where no row of its class has one.
+ids are kept or not together; a row without an id is kept only where no row of its class has
+one.  ``drop_near_duplicates`` leaves a single row of each class, and of repeats (equal id and
+text) without words one row too.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words
 from tidemark.llm.components import components
-from tidemark.llm.frames import ID, ROW, materialize, plain_id, rows_of, without_rows
+from tidemark.llm.frames import ID, ROW, materialize, plain_id, rows_of
 
 BATCH = 20
 MISS = 1e-6
@@ -251,6 +253,11 @@ def near_duplicates(
     Two texts are linked when their shingle sets share at least ``percent`` of their union.
     Stores sketches, candidates and the texts of candidates in the shared folder.
     """
+    return _classed(docs, shingle, percent, miss, id_col, text_col).drop("label")
+
+
+def _classed(docs: DataFrame, shingle: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` with the ``label`` of each row's class, null without words."""
     bands, rows_each = bands_for(percent)
     hashes = bands * rows_each
     bounds = least_matches(hashes, percent, miss)
@@ -329,7 +336,7 @@ def near_duplicates(
     named = nodes.join(labels, "node", "left").select("node", "check", F.coalesce("label", "node").alias("label"), "least_id")
     named = materialize(named, "classes")
     class_id = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of_node = named.join(class_id, "label").select("node", "check", "component_id")
+    of_node = named.join(class_id, "label").select("node", "check", "label", "component_id")
     return (
         sets.drop("signature")
         .join(of_node, ["node", "check"], "left")
@@ -337,13 +344,35 @@ def near_duplicates(
             ROW,
             ID,
             "n_shingles",
+            F.when(F.col("n_shingles") > 0, F.col("label")).alias("label"),
             F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(plain_id()).alias("component_id"),
         )
         .withColumn("kept", plain_id().eqNullSafe(F.col("component_id")))
     )
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; options as for ``near_duplicates``."""
-    gone = near_duplicates(docs, **options).where("NOT kept").select(ROW, ID).distinct()
-    return without_rows(docs, gone, **{k: v for k, v in options.items() if k in ("id_col", "text_col")})
+def drop_near_duplicates(
+    docs: DataFrame,
+    shingle: int = 5,
+    percent: int = 80,
+    miss: float = MISS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row of ``docs`` for each class, with all its columns: the least id, then the least ``_row``.
+
+    Of rows with equal id and text any one stays, also of those without words.
+    """
+    found = _classed(docs, shingle, percent, miss, id_col, text_col)
+    # Classes and their rows, without those that another row of the class stands for.
+    found = materialize(
+        found.where("kept").groupBy(ROW, ID, "label").agg(F.count("*").alias("n")), "kept"
+    )
+    least = found.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(ID, ROW, "n")).alias("one"))
+    stay = least.select("one.*").union(found.where("label IS NULL").select(ID, ROW, "n"))
+    stay = materialize(stay, "stay")
+    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = rows_of(docs, *named, id_col=id_col, text_col=text_col).drop("_text")
+    single = rows.join(stay.where("n = 1"), [ROW, ID], "left_semi")
+    repeated = rows.join(stay.where("n > 1"), [ROW, ID], "left_semi").dropDuplicates([ROW, ID])
+    return single.union(repeated).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
