@@ -157,9 +157,10 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, trees: int = 30, depth: i
     part = place < F.when(F.col("label") == 1, share[1]).otherwise(share[0])
     order = [ID, ROW, "label"]
     features = F.array(*STATISTICS)
-    # Bounded by max_rows, so that one ordered partition is small.
+    # Bounded by max_rows, so that one ordered partition is small; what it is drawn from is
+    # joined and filtered before the shuffle, in all tasks.
     sample = materialize(
-        labelled.where(part).coalesce(1).sortWithinPartitions(*order)
+        labelled.where(part).repartition(1).sortWithinPartitions(*order)
         .select(F.col("label").cast("double").alias("label"), *STATISTICS), "sample",
     )
     forest = RandomForestClassifier(
