@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, compression, decontaminate, licenses, lines, minhash, mixing, quality, repeats, secrets
+from tidemark.llm import (
+    chat, compression, decontaminate, licenses, lines, minhash, mixing, quality, repair, repeats, secrets,
+)
 from tidemark.llm.frames import plain_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -273,3 +275,104 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact and misspelt license notices of every document."""
     return licenses.scanned(_table(spark, sf_dir, "documents")).drop("notices")
+
+
+# CRC-32 of an ASCII text, bit by bit.
+CRC_SQL = """xor(list_reduce([4294967295] || [CAST(ord(c) AS BIGINT) FOR c IN string_split({text}, '')],
+        lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, i: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)"""
+
+# The least (cost, audit) of a state: of the states before it and the edits that lead to it, insertions first.
+_STEPS_SQL = {0: [(0, "")], 1: [(1, "")], 2: [(2, ""), (0, "I"), (1, "I"), (3, "I")], 3: [(3, ""), (0, "II"), (1, "II"), (2, "I")]}
+
+
+def _closed_sql(state: int) -> str:
+    ways = [f"{{c: s{p}.c + {3 * len(i)}, a: s{p}.a || '{i}'}}" for p, i in _STEPS_SQL[state]]
+    return f"list_min([{', '.join(ways)}]) AS t{state}"
+
+
+def _edited_sql(state: int) -> str:
+    ways = [f"{{c: t{state}.c + 4, a: t{state}.a || 'D'}}"]
+    for before, initial in {1: [(0, "s")], 2: [(0, "u"), (1, "u"), (3, "u")], 3: [(2, "a")]}.get(state, []):
+        ways.append(f"{{c: t{before}.c + IF(sym = '{initial}', more, 99999999), a: t{before}.a || 'K'}}")
+        if state > 1:
+            ways.append(f"{{c: t{before}.c + IF(sym = 'd', 99999999, 3 + more), a: t{before}.a || 'R'}}")
+    return f"list_min([{', '.join(ways)}]) AS s{state}"
+
+
+@_query(
+    "op11_conversation_repair",
+    rf"""
+    WITH RECURSIVE c AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {CRC_SQL.format(text="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS code
+      FROM conversations),
+    r AS (
+      SELECT conv_id, turn, IF(code = 4, 'user', role) AS role,
+             CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(IF(code = 3, 2, 1))) AS copy
+      FROM c WHERE code <> 0),
+    o AS (
+      SELECT conv_id, turn, role, text, left(role, 1) AS i, row_number() OVER w AS k,
+             rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+      FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+    f AS (
+      SELECT *, CASE WHEN said = '' THEN 'b' WHEN again THEN 'd' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+      FROM o),
+    g AS (
+      SELECT *, IF(fault IN ('b', 'd'), 'd', IF(i IN ('s', 'u', 'a'), i, 'o')) AS sym, IF(fault = 't', 3, 0) AS more,
+             lag(i) OVER (PARTITION BY conv_id ORDER BY k) || i NOT IN ('su', 'ua', 'au') AS illegal
+      FROM f),
+    n AS (SELECT conv_id, count(*) AS n FROM g GROUP BY conv_id),
+    dp AS (
+      SELECT conv_id, CAST(0 AS BIGINT) AS k, {{c: 0, a: ''}} AS s0, {{c: 99999999, a: ''}} AS s1, {{c: 99999999, a: ''}} AS s2, {{c: 99999999, a: ''}} AS s3
+      FROM n
+      UNION ALL
+      SELECT conv_id, k, {", ".join(_edited_sql(s) for s in range(4))}
+      FROM (
+        SELECT dp.conv_id, g.k, sym, more, {", ".join(_closed_sql(s) for s in range(4))}
+        FROM dp JOIN g ON g.conv_id IS NOT DISTINCT FROM dp.conv_id AND g.k = dp.k + 1)),
+    e AS (
+      SELECT dp.conv_id, list_min([{{c: s0.c, a: s0.a}}, {{c: s1.c + 6, a: s1.a || 'II'}}, {{c: s2.c + 3, a: s2.a || 'I'}}, {{c: s3.c, a: s3.a}}]) AS best
+      FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.k),
+    x AS (
+      SELECT conv_id, best.a AS a, unnest(range(1, len(best.a) + 1)) AS j FROM e),
+    y AS (
+      SELECT conv_id, j, a[j] AS edit, sum((a[j] <> 'I')::INT) OVER w AS k, sum((a[j] <> 'D')::INT) OVER w AS out FROM x
+      WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+    z AS (
+      SELECT y.conv_id, j, IF(edit = 'K', g.role, NULL) AS role, IF(edit = 'I', '', g.text) AS text, out,
+             max((edit = 'K' AND g.sym = 's')::INT) OVER (PARTITION BY y.conv_id) AS sys
+      FROM y LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM y.conv_id AND g.k = y.k AND edit <> 'I' WHERE edit <> 'D'),
+    h AS (
+      SELECT conv_id, string_agg(coalesce(role, IF((out - sys) % 2 = 1, 'user', 'assistant')) || ':' || text, chr(10) ORDER BY j) AS all_text
+      FROM z GROUP BY conv_id),
+    q AS (
+      SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+             count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal
+      FROM g GROUP BY conv_id)
+    SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+           coalesce(best.a, '') AS audit, sha256(coalesce(all_text, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) i
+    LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM i.conv_id
+    LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM i.conv_id""",
+)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repairs of the conversations, damaged by a hash of their turns."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    code = F.crc32(place.cast("binary")) % 20
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    damaged = turns.where(code != 0).select(
+        "conv_id",
+        "turn",
+        F.when(code == 4, "user").otherwise(role).alias("role"),
+        F.when(code == 1, "").when(code == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(code == 3, 2).otherwise(1))).alias("copy"),
+    )
+    found = repair.report(repair.repair(damaged))
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    zeros = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    sha = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return every.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), sha)
