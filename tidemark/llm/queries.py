@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    chat, compression, decontaminate, licenses, lines, minhash, mixing, quality, repair, repeats, secrets,
+    chat, compression, decontaminate, licenses, lines, minhash, mixing, negatives, quality, repair, repeats, secrets,
 )
 from tidemark.llm.frames import plain_id
 
@@ -376,3 +376,31 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     zeros = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     sha = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
     return every.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), sha)
+
+
+@_query(
+    "op12_hard_negatives",
+    """
+    WITH v AS (
+      SELECT DISTINCT vec_id, IF(vec_id % 7 = 0, (label + 1) % 10, label) AS label,
+             [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS vec
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+             CAST(list_inner_product(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (
+      SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id,
+           p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+    WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)
+    QUALIFY row_number() OVER w <= 5""",
+)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each hundredth row and its five best of the same label, the five best others scored up to a fifth lower."""
+    vecs = _table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    )
+    return negatives.hard_negatives(vecs, F.col("vec_id") % 100 == 0, "vec_id", "label", "embedding")
