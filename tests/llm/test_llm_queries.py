@@ -14,7 +14,7 @@ def test_equals_sql(name, spark, sf_dir):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in names)] == []
+    assert [n for n in range(1, 14) if not any(k.startswith(f"op{n}_") for k in names)] == []
     assert "pipeline" in names
 
 

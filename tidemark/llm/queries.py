@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    chat, compression, decontaminate, licenses, lines, minhash, mixing, negatives, quality, repair, repeats, secrets,
+    chat, compression, decontaminate, licenses, lines, lm, minhash, mixing, negatives, quality, repair, repeats, secrets,
 )
 from tidemark.llm.frames import plain_id
 
@@ -404,3 +404,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
     )
     return negatives.hard_negatives(vecs, F.col("vec_id") % 100 == 0, "vec_id", "label", "embedding")
+
+
+@_query("op13_class_lm")
+def op13_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all texts under a class-based bigram model of four fifths of the ids."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    found = lm.score_texts(_table(spark, sf_dir, "documents"), ~held_out)
+    return found.select(
+        plain_id().alias("doc_id"), (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
