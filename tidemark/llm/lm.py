@@ -47,8 +47,8 @@ ROUNDS = 8
 PRIOR = 10.0
 END = np.uint64(0x5DEECE66D1234567)
 #: Classes: 0 is the end of a text, then the classes of words, then unknown words.
-_DOC = pa.struct([("row", pa.int64()), ("id", pa.int64()), ("trains", pa.bool_()), ("codes", pa.binary())])
-_DOC_TYPE = "array<struct<row: bigint, id: bigint, trains: boolean, codes: binary>>"
+# Answers to a slice leave a task in parcels of at most so many.
+PARCEL = 1 << 20
 
 
 def _numbers(packed: bytes, kind) -> np.ndarray:
@@ -59,6 +59,21 @@ def _packed(numbers: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(numbers).tobytes(), 1)
 
 
+def _packed_docs(docs: list[tuple[int, int, bool, int]], codes: np.ndarray) -> bytes:
+    """Row, id, whether it trains and number of tokens of each text, and the codes of all."""
+    heads = np.array([(r, i, 2 * n + t) for r, i, t, n in docs], np.int64)
+    return zstandard.compress(np.int64(len(docs)).tobytes() + heads.tobytes() + codes.astype(np.int32).tobytes(), 1)
+
+
+def _docs(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, ids, which train, where each text starts (and where the last one ends), and the codes."""
+    raw = zstandard.decompress(packed)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    heads = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(n, 3)
+    starts = np.concatenate([[0], np.cumsum(heads[:, 2] >> 1)])
+    return heads[:, 0], heads[:, 1], heads[:, 2] % 2 == 1, starts, np.frombuffer(raw, np.int32, -1, 8 + 24 * n)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of a task to slices, one row each."""
     task, count, size = 0, 0, 0
@@ -72,14 +87,10 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.empty(len(order), np.int32)
         number[order] = np.arange(len(order), dtype=np.int32)
         codes = number[place.reshape(-1)]
-        ends = np.cumsum([d[3] for d in docs])
         trains = np.repeat([d[2] for d in docs], [d[3] for d in docs])
         seen = np.bincount(codes[trains], minlength=len(known)).astype(np.int64)
-        found = [
-            {"row": r, "id": i, "trains": t, "codes": _packed(codes[e - n : e])} for (r, i, t, n), e in zip(docs, ends.tolist())
-        ]
-        values = [task << 32 | count, _packed(known[order]), _packed(seen), found]
-        types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(_DOC)]
+        values = [task << 32 | count, _packed(known[order]), _packed(seen), _packed_docs(docs, codes)]
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], ["slice", "words", "seen", "docs"])
 
     for batch in batches:
@@ -100,7 +111,7 @@ def slices_of(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col:
     """``slice, words, seen, docs``, stored; ``trains`` says which texts are learnt from, null counts as true."""
     named = rows_of(docs, F.coalesce(trains, F.lit(True)).alias("trains"), id_col=id_col, text_col=text_col)
     parts = named.select(F.spark_partition_id().cast("bigint").alias("part"), "*")
-    return materialize(parts.mapInArrow(_slices, f"slice long, words binary, seen binary, docs {_DOC_TYPE}"), "slices")
+    return materialize(parts.mapInArrow(_slices, "slice long, words binary, seen binary, docs binary"), "slices")
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +145,10 @@ def _training_texts(batch: pa.RecordBatch, heads: Heads) -> Iterator[tuple[np.nd
     """For each slice: its words, their places among the heads, and pairs of numbers of neighbours in training texts."""
     for known, docs in zip(batch.column("words"), batch.column("docs")):
         known = _numbers(known.as_py(), np.uint64)
-        texts = [_numbers(d["codes"], np.int32) for d in docs.as_py() if d["trains"]]
-        if texts:
+        _, _, trains, starts, codes = _docs(docs.as_py())
+        if trains.any():
             # Every text ends with an end, so the word before a text's first one is an end too.
-            flat = np.concatenate(texts)
+            flat = codes[np.repeat(trains, np.diff(starts))]
             place = heads.places(known)
             end = int(np.flatnonzero(place == 0)[0])
             yield known, place, np.concatenate([[end], flat[:-1]]), flat
@@ -337,6 +348,33 @@ def _asks(heads: Heads):
     return ask
 
 
+def _parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers of a task, put together by slice."""
+    waiting, held = [], 0
+
+    def out():
+        slices, numbers, n, classes = (np.concatenate(c) for c in zip(*waiting))
+        order = np.argsort(slices, kind="stable")
+        slices = slices[order]
+        cuts = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(slices)]
+        parcels = [
+            [_packed(c[order[low:high]].astype(t)) for low, high in zip(cuts, cuts[1:])]
+            for c, t in ((numbers, np.int32), (n, np.int64), (classes, np.int32))
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(slices[cuts[:-1]]), *(pa.array(p, pa.binary()) for p in parcels)], ["slice", "a", "b", "c"]
+        )
+
+    for batch in batches:
+        waiting.append([c.to_numpy() for c in batch.columns])
+        held += len(batch)
+        if held >= PARCEL:
+            yield from out()
+            waiting, held = [], 0
+    if held:
+        yield from out()
+
+
 @dataclass
 class Totals:
     """What is known of the training texts as a whole."""
@@ -372,11 +410,12 @@ def _counted(heads: Heads, head_counts: np.ndarray, totals: Totals, n_classes: i
                 part = batch.slice(low, high - low)
                 if slices[low] != slice_:
                     slice_, answers = slices[low], []
+                columns = zip(*(part.column(c).to_pylist() for c in ("a", "b", "c")))
                 if kinds[low] == 0:
-                    answers.append([part.column(c).to_numpy() for c in ("number", "n", "class")])
+                    answers += [[_numbers(x, t) for x, t in zip(row, (np.int32, np.int64, np.int32))] for row in columns]
                 else:
-                    for known, docs in zip(part.column("words"), part.column("docs")):
-                        yield texts(_numbers(known.as_py(), np.uint64), docs.as_py(), answers)
+                    for known, docs, _ in columns:
+                        yield texts(_numbers(known, np.uint64), docs, answers)
 
     def texts(known, docs, answers):
         n, classes = np.zeros(len(known), np.int64), np.full(len(known), unknown)
@@ -391,16 +430,17 @@ def _counted(heads: Heads, head_counts: np.ndarray, totals: Totals, n_classes: i
         end = int(np.flatnonzero(known == END)[0])
         once = (n == 1) & (np.arange(len(known)) != end)
         rows, cells = [], np.zeros(width * width, np.int64)
-        for doc in docs:
-            codes = _numbers(doc["codes"], np.int32)
+        row_keys, ids, trains, starts, every = _docs(docs)
+        for row, id_, learns, low, high in zip(row_keys.tolist(), ids.tolist(), trains.tolist(), starts[:-1], starts[1:]):
+            codes = every[low:high]
             own = classes[codes]
             before = np.concatenate([[classes[end]], own[:-1]])
             step, times = np.unique(before * width + own, return_counts=True)
             rows.append([
-                doc["row"], doc["id"], doc["trains"], len(codes), int((n[codes] > 0).sum()), float(base[codes].sum()),
+                row, id_, learns, len(codes), int((n[codes] > 0).sum()), float(base[codes].sum()),
                 float(emission[codes].sum()), step, times, None,
             ])
-            if doc["trains"]:
+            if learns:
                 cells[step] += times
                 # Words seen once stand for unknown ones: after what, and before what, they come.
                 rare = once[codes]
@@ -457,11 +497,11 @@ def score_texts(
     totals = Totals(tokens, distinct, once, by_class)
 
     asks = slices.select("slice", "words").mapInArrow(_asks(heads), "word long, slice long, number int")
-    answers = asks.join(rare, "word").select(
-        "slice", F.lit(0).alias("kind"), "number", "n", "class", F.lit(None).cast("binary").alias("words"), F.lit(None).cast(_DOC_TYPE).alias("docs")
-    )
+    answers = asks.join(rare, "word").select("slice", "number", "n", "class").mapInArrow(
+        _parcels, "slice long, a binary, b binary, c binary"
+    ).select("slice", F.lit(0).alias("kind"), "a", "b", "c")
     texts = slices.select(
-        "slice", F.lit(1).alias("kind"), F.lit(0).alias("number"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("class"), "words", "docs"
+        "slice", F.lit(1).alias("kind"), F.col("words").alias("a"), F.col("docs").alias("b"), F.lit(None).cast("binary").alias("c")
     )
     together = answers.unionByName(texts).repartition("slice").sortWithinPartitions("slice", "kind")
     counted = materialize(together.mapInArrow(_counted(heads, head_counts, totals, n_classes), _COUNTED), "counted")
