@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.facts import cluster_facts, probability_facts, split_sql
-from catalog.registry import R, check, nearest_sql, rounded, unit_sql
-from tidemark.functions.frames import with_one_row
+from catalog.registry import R, check, clusters_sql, nearest_sql, rounded, unit_sql
 from tidemark.functions.hashing import hash_unit
 from tidemark.operators import campaign, evaluation, experiment, features, sampling, segments
 from tidemark.operators.campaign import BOGO, CLASS_PROBABILITIES
@@ -150,13 +148,12 @@ def u06(spark, sf_dir):
 
 @check(
     "u06_history_clusters_fitted",
-    f"""WITH {R} SELECT customer_id, history, TRUE AS own_mean_is_nearest,
-      least(5, (SELECT count(DISTINCT history) FROM r)) AS groups FROM r""",
+    f"""WITH {R}, {clusters_sql('x', 'r', 'history', 5)}
+    SELECT customer_id, history, c AS history_cluster FROM r JOIN x_label ON v = history""",
 )
 def u06_fitted(spark, sf_dir):
-    fitted = segments.ordered_kmeans(stored(spark, sf_dir), "history", 5, "history_cluster", seed=7)
-    fitted = materialize(fitted.select(ID, "history", "history_cluster"), "history-fit")
-    return cluster_facts(fitted, "history", "history_cluster").drop("history_cluster")
+    fitted = segments.ordered_kmeans(stored(spark, sf_dir), "history", 5, "history_cluster")
+    return fitted.select(ID, "history", "history_cluster")
 
 
 @check(
@@ -179,71 +176,32 @@ def u06_profile(spark, sf_dir):
     return rounded(profile, {"history_mean": 2, "history_min": 2, "history_max": 2, "conversion_mean": 6})
 
 
-RESPONSE_SPLIT = f"{R}, split AS ({split_sql('r', 'customer_id', 0.2, 56)}), tested AS (SELECT r.* FROM r JOIN split USING (customer_id) WHERE NOT is_train)"
-
-
 def response_model(spark, sf_dir):
     """The test customers with their fitted conversion probability."""
     scored = promotion.predict_response(stored(spark, sf_dir), ID).customers
     return materialize(campaign.offer_from_dummies(scored.where("not is_train")), "tested-responses")
 
 
-@check(
-    "u07_train_response",
-    f"WITH {RESPONSE_SPLIT} SELECT customer_id, conversion, TRUE AS in_range, TRUE AS likelier_is_predicted FROM tested",
-)
+@check("u07_train_response")
 def u07(spark, sf_dir):
     """Conversion probability of the test customers."""
-    return response_model(spark, sf_dir).select(
-        ID,
-        "conversion",
-        F.col("proba").between(0.0, 1.0).alias("in_range"),
-        ((F.col("proba") > 0.5) == (F.col("prediction") == 1)).alias("likelier_is_predicted"),
-    )
+    return response_model(spark, sf_dir).select(ID, "offer", "conversion", "prediction", "proba")
 
 
-def _fitted_uptick_sql(size: str) -> str:
-    return f"""WITH {RESPONSE_SPLIT},
-    g AS (SELECT offer, count(*) AS n, (SELECT count(*) FROM tested) AS total, avg(conversion) AS rate FROM tested GROUP BY offer),
-    u AS (SELECT offer, {size} AS customers, rate - (SELECT rate FROM g WHERE offer = 'No Offer') AS up FROM g WHERE offer <> 'No Offer')
-    SELECT offer, target, customers, TRUE AS in_range, CASE WHEN target = 'conversion' THEN round(up, 6) END AS conversion_uplift,
-      CASE WHEN target = 'conversion' THEN round(up * customers * 25, 4) END AS revenue_uplift
-    FROM u, (VALUES ('conversion'), ('proba')) AS t(target)"""
-
-
-def _fitted_uptick(upticks):
-    """Both targets; the predicted one can only be bounded."""
-    real = F.col("target") == "conversion"
-    return rounded(upticks, UPTICK_DIGITS).select(
-        "offer",
-        "target",
-        "customers",
-        F.col("conversion_uplift").between(-1.0, 1.0).alias("in_range"),
-        F.when(real, F.col("conversion_uplift")).alias("conversion_uplift"),
-        F.when(real, F.col("revenue_uplift")).alias("revenue_uplift"),
-    )
-
-
-@check("u02_scored_uptick_fitted", _fitted_uptick_sql("n"))
+@check("u02_scored_uptick_fitted")
 def u02_fitted(spark, sf_dir):
     """On the fitted probabilities of the test customers."""
-    return _fitted_uptick(campaign.scored_uptick(response_model(spark, sf_dir)))
+    return campaign.scored_uptick(response_model(spark, sf_dir))
 
 
-@check("u03_population_uptick_fitted", _fitted_uptick_sql("total"))
+@check("u03_population_uptick_fitted")
 def u03_fitted(spark, sf_dir):
-    return _fitted_uptick(campaign.population_uptick(response_model(spark, sf_dir)))
+    return campaign.population_uptick(response_model(spark, sf_dir))
 
 
-@check(
-    "u08_calibration_by_group_fitted",
-    f"""WITH {RESPONSE_SPLIT}
-    SELECT offer, round(avg(conversion), 6) AS actual, TRUE AS in_range, count(*) AS rows FROM tested GROUP BY offer
-    UNION ALL SELECT '(all)', round(avg(conversion), 6), TRUE, count(*) FROM tested""",
-)
+@check("u08_calibration_by_group_fitted")
 def u08_fitted(spark, sf_dir):
-    calibrated = rounded(campaign.calibration_by_group(response_model(spark, sf_dir)), 6, "actual")
-    return calibrated.select("offer", "actual", F.col("predicted").between(0.0, 1.0).alias("in_range"), "rows")
+    return campaign.calibration_by_group(response_model(spark, sf_dir))
 
 
 @check(
@@ -286,21 +244,15 @@ def u11(spark, sf_dir):
 
 
 def uplift_scores(df):
-    """Fitted: history clusters, then a forest for the four classes."""
+    """Fitted: history clusters, then boosted trees for the four classes."""
     return promotion.predict_uplift(df, ID).customers
 
 
-UPLIFT_SPLIT = f"{LABELLED}, split AS ({split_sql('r', 'customer_id', 0.2, 56)})"
-
-
-@check(
-    "u12_train_uplift",
-    f"""WITH {UPLIFT_SPLIT} SELECT customer_id, is_train, target_class, TRUE AS probabilities_add_up,
-      TRUE AS likeliest_is_predicted FROM tc JOIN split USING (customer_id)""",
-)
+@check("u12_train_uplift")
 def u12(spark, sf_dir):
+    """Chances of the four classes for every customer."""
     scored = uplift_scores(stored(spark, sf_dir))
-    return scored.select(ID, "is_train", "target_class", *probability_facts(CLASS_PROBABILITIES))
+    return scored.select(ID, "is_train", "target_class", "prediction", *CLASS_PROBABILITIES)
 
 
 @check("u13_uplift_score", f"WITH {SCORED} SELECT customer_id, round(uplift_score, 9) AS uplift_score FROM uplifted")
@@ -308,17 +260,15 @@ def u13(spark, sf_dir):
     return rounded(uplifted(spark, sf_dir).select(ID, "uplift_score"), 9, "uplift_score")
 
 
-@check(
-    "u13_uplift_score_fitted",
-    f"WITH {R} SELECT customer_id, offer, conversion, TRUE AS is_formula FROM r",
-)
+@check("u13_uplift_score_fitted")
 def u13_fitted(spark, sf_dir):
     """Model scores joined back to the responses by customer."""
     df = stored(spark, sf_dir)
     scores = materialize(uplift_scores(df), "uplift-scores")
-    formula = F.col("proba_CN") + F.col("proba_TR") - F.col("proba_TN") - F.col("proba_CR")
-    attached = campaign.attach_scores(df, scores, ID).join(scores.select(ID, formula.alias("f")), ID)
-    return attached.select(ID, "offer", "conversion", (F.abs(F.col("uplift_score") - F.col("f")) < 1e-9).alias("is_formula"))
+    chances = scores.select(ID, "is_train", *CLASS_PROBABILITIES)
+    return campaign.attach_scores(df, scores, ID).join(chances, ID).select(
+        ID, "offer", "conversion", "is_train", "uplift_score", *CLASS_PROBABILITIES
+    )
 
 
 @check("u14_mean_score_by_offer", f"WITH {SCORED} SELECT offer, round(avg(uplift_score), 6) AS uplift_score FROM uplifted GROUP BY offer")
@@ -374,41 +324,17 @@ def u16_histogram(spark, sf_dir):
 
 
 def _fitted_targeting(spark, sf_dir, report):
-    """The report of one target group, recounted from the scores it was taken from."""
     df = stored(spark, sf_dir)
     both = promotion.scored_responses(df, uplift_scores(df), ID)
-    pool = both.where("not is_train") if report.startswith("unseen") else both
-    found = promotion.targeting_report(both, ID, report)
-    # Recount by plain aggregation; Spark's own percentile needs one task, fine for a check.
-    cut = pool.agg(F.expr("percentile(uplift_score, 0.75)").alias("cut"))
-    group = with_one_row(pool, cut).where((F.col("uplift_score") > F.col("cut")) & (F.col("offer") != BOGO))
-    rates = group.groupBy("offer").agg(F.count("*").alias("n"), F.avg(F.col("conversion").cast("double")).alias("rate"))
-    base = rates.where("offer = 'No Offer'").agg(F.first("rate").alias("base"))
-    size = group.agg(F.count("*").alias("all"))
-    again = with_one_row(with_one_row(rates.where("offer <> 'No Offer'"), base), size)
-    again = again.select("offer", (F.col("rate") - F.col("base")).alias("up"), "n", "all")
-    checked = found.join(again, "offer").select(
-        ((F.col("customers") == F.col("n")) & (F.col("group_size") == F.col("all"))).alias("counts"),
-        F.coalesce(F.abs(F.col("conversion_uplift") - F.col("up")) < 1e-9, F.lit(True)).alias("rates"),
-    )
-    everybody = pool.agg(F.count("*").alias("pool"))
-    facts = checked.agg(F.bool_and("counts").alias("counts_agree"), F.bool_and("rates").alias("rates_agree"))
-    return with_one_row(
-        facts.select(F.coalesce("counts_agree", F.lit(True)).alias("counts_agree"), F.coalesce("rates_agree", F.lit(True)).alias("rates_agree")),
-        everybody,
-    )
+    return promotion.targeting_report(both, ID, report)
 
 
-@check("u15_fitted_high_targeting", f"WITH {R} SELECT TRUE AS counts_agree, TRUE AS rates_agree, count(*) AS pool FROM r")
+@check("u15_fitted_high_targeting")
 def u15_fitted(spark, sf_dir):
     """The whole way: fitted scores of every customer, then the discount among the top quarter."""
     return _fitted_targeting(spark, sf_dir, "high")
 
 
-@check(
-    "u16_fitted_unseen_high_targeting",
-    f"""WITH {R}, split AS ({split_sql('r', 'customer_id', 0.2, 56)})
-    SELECT TRUE AS counts_agree, TRUE AS rates_agree, count(*) AS pool FROM split WHERE NOT is_train""",
-)
+@check("u16_fitted_unseen_high_targeting")
 def u16_fitted(spark, sf_dir):
     return _fitted_targeting(spark, sf_dir, "unseen_high")

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.facts import cluster_facts, probability_facts, split_sql
-from catalog.registry import T, bucket_sql, check, nearest_sql, rounded
+from catalog.registry import T, bucket_sql, check, clusters_sql, nearest_sql, rounded
 from catalog.segmentation import RFM_INPUT
 from tidemark.functions.hashing import hash_bucket
 from tidemark.operators import evaluation, features, ltv, quantiles, sampling, segments
@@ -103,12 +102,11 @@ def l05(spark, sf_dir):
 
 @check(
     "l05_ltv_clusters_fitted",
-    f"""WITH {T}, {LTV} SELECT CustomerID, m6_Revenue AS "m6_Revenue", TRUE AS own_mean_is_nearest,
-      least(3, (SELECT count(DISTINCT m6_Revenue) FROM trimmed)) AS groups FROM trimmed""",
+    f"""WITH {T}, {LTV}, {clusters_sql('x', 'trimmed', 'm6_Revenue', 3)}
+    SELECT CustomerID, m6_Revenue AS "m6_Revenue", c AS LTVCluster FROM trimmed JOIN x_label ON v = m6_Revenue""",
 )
 def l05_fitted(spark, sf_dir):
-    fitted = ltv.ltv_clusters(stored_table(spark, sf_dir), seed=7).select("CustomerID", "m6_Revenue", "LTVCluster")
-    return cluster_facts(materialize(fitted, "ltv-fit"), "m6_Revenue", "LTVCluster").drop("LTVCluster")
+    return ltv.ltv_clusters(stored_table(spark, sf_dir)).select("CustomerID", "m6_Revenue", "LTVCluster")
 
 
 @check(
@@ -172,16 +170,12 @@ def l08(spark, sf_dir):
     return sampling.train_test_split(customers, "c_custkey", 0.1, 42)
 
 
-@check(
-    "l09_train_multiclass",
-    f"""WITH {T}, {LTV}, split AS ({split_sql('trimmed', 'CustomerID', 0.1, 42)})
-    SELECT CustomerID, is_train, TRUE AS probabilities_add_up, TRUE AS likeliest_is_predicted FROM split""",
-)
+@check("l09_train_multiclass")
 def l09(spark, sf_dir):
-    """The whole way: RFM and LTV clusters are fitted, a forest is trained on 90 % of the customers and scores all."""
-    table = value.ltv_table(transactions(spark, sf_dir, RFM_INPUT), FEATURE_WINDOW, OUTCOME_WINDOW, seed=7)
-    scored = value.predict_ltv_cluster(ltv.ltv_clusters(materialize(table, "ltv-table"), seed=7)).customers
-    return scored.select("CustomerID", "is_train", *probability_facts(["proba_0", "proba_1", "proba_2"]))
+    """The whole way: RFM and LTV clusters are fitted, boosted trees learn from 90 % of the customers and score all."""
+    table = value.ltv_table(transactions(spark, sf_dir, RFM_INPUT), FEATURE_WINDOW, OUTCOME_WINDOW)
+    scored = value.predict_ltv_cluster(ltv.ltv_clusters(materialize(table, "ltv-table"))).customers
+    return scored.select("CustomerID", "is_train", "LTVCluster", "prediction", "proba_0", "proba_1", "proba_2")
 
 
 @check(

@@ -188,3 +188,36 @@ def nearest_sql(col: str, centers: list[float]) -> str:
 
 def unit_sql(key: str, salt: str) -> str:
     return f"(CAST({bucket_sql(key, salt, 1_000_000)} AS DOUBLE) / 1000000.0::DOUBLE)"
+
+
+def clusters_sql(name: str, source: str, col: str, k: int) -> str:
+    """The best k clusters of a column of ``source``, by comparing all starts of the last cluster.
+
+    Tables: ``{name}_label (v, c)``, the cluster of each value, and ``{name}_cost (k, c)``, the
+    squared error of 1 … k clusters.
+    """
+    tables = [
+        f"""{name}_v AS (SELECT CAST({col} AS DOUBLE) AS v, count(*) AS w FROM {source} WHERE {col} IS NOT NULL GROUP BY 1)""",
+        f"""{name}_p AS MATERIALIZED (
+  SELECT v, row_number() OVER o AS i, sum(w) OVER o AS sw, sum(w * (v - m)) OVER o AS s1, sum(w * (v - m) * (v - m)) OVER o AS s2
+  FROM {name}_v, (SELECT sum(v * w) / sum(w) AS m FROM {name}_v) WINDOW o AS (ORDER BY v ROWS UNBOUNDED PRECEDING))""",
+        f"{name}_l1 AS MATERIALIZED (SELECT i, s2 - s1 * s1 / sw AS c, 0 AS cut FROM {name}_p)",
+        f"{name}_e{k} AS (SELECT max(i) AS e FROM {name}_p)",
+    ]
+    for j in range(2, k + 1):
+        cost = "l.c + greatest(0, b.s2 - a.s2 - (b.s1 - a.s1) * (b.s1 - a.s1) / (b.sw - a.sw))"
+        tables.append(
+            f"""{name}_l{j} AS MATERIALIZED (
+  SELECT b.i, min({cost}) AS c, arg_min(l.i, {{'c': {cost}, 'i': l.i}}) AS cut
+  FROM {name}_p b JOIN {name}_l{j - 1} l ON l.i < b.i JOIN {name}_p a ON a.i = l.i GROUP BY b.i)"""
+        )
+    for j in range(k, 1, -1):
+        end = f"(SELECT e FROM {name}_e{j})"
+        tables.append(f"{name}_e{j - 1} AS (SELECT coalesce((SELECT cut FROM {name}_l{j} WHERE i = {end}), {end}) AS e)")
+    ends = " UNION ".join(f"SELECT e FROM {name}_e{j}" for j in range(1, k))
+    tables.append(f"{name}_label AS (SELECT v, CAST((SELECT count(*) FROM ({ends}) WHERE e < p.i) AS INTEGER) AS c FROM {name}_p p)")
+    costs = " UNION ALL ".join(
+        f"SELECT {j} AS k, coalesce((SELECT c FROM {name}_l{j} WHERE i = (SELECT max(i) FROM {name}_p)), 0) AS c" for j in range(1, k + 1)
+    )
+    tables.append(f"{name}_cost AS ({costs})")
+    return ",\n".join(tables)

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from catalog.facts import cluster_facts
-from catalog.registry import T, check, nearest_sql, rounded
-from tidemark.functions.frames import with_one_row
+from catalog.registry import T, check, clusters_sql, nearest_sql, rounded
 from tidemark.operators import quantiles, segments
 from tidemark.session import materialize
 from tidemark.sources.star import table, transactions
@@ -92,14 +90,13 @@ def s03(spark, sf_dir):
 
 @check(
     "s04_kmeans_1d",
-    f"""WITH {T}, {MEASURES} SELECT CustomerID, Frequency, TRUE AS own_mean_is_nearest,
-      least(4, (SELECT count(DISTINCT Frequency) FROM rfm)) AS groups FROM rfm""",
+    f"""WITH {T}, {MEASURES}, {clusters_sql('f', 'rfm', 'Frequency', 4)}
+    SELECT CustomerID, Frequency, c AS FrequencyCluster FROM rfm JOIN f_label ON v = Frequency""",
 )
 def s04(spark, sf_dir):
-    """Fitted centres: every customer is nearest to the mean of the own cluster."""
+    """Fitted: the four clusters with the least squared error."""
     measured = stored_measures(spark, sf_dir).select("CustomerID", "Frequency")
-    clustered = segments.kmeans_1d(measured, "Frequency", 4, "FrequencyCluster", seed=7)
-    return cluster_facts(materialize(clustered, "clusters"), "Frequency", "FrequencyCluster").drop("FrequencyCluster")
+    return segments.kmeans_1d(measured, "Frequency", 4, "FrequencyCluster")
 
 
 @check(
@@ -133,60 +130,36 @@ def s06(spark, sf_dir):
     return fixed_scores(spark, sf_dir)
 
 
-FITTED_FACTS = ", ".join(
-    f"TRUE AS {c}_own_mean_is_nearest, TRUE AS {c}_in_order, least(4, (SELECT count(DISTINCT {c}) FROM {{source}})) AS {c}_groups"
-    for c in segments.RFM_MEASURES
-)
-
-
-def score_facts(scores):
-    """Of fitted RFM scores: clusters are right and in order, the score is their sum, the segment follows."""
-    scores = materialize(scores, "rfm-scores")
-    facts = scores
-    for c in segments.RFM_MEASURES:
-        facts = cluster_facts(facts, c, f"{c}Cluster", f"{c}_")
-        # Customers of a lower cluster all have the lower values; of recency the higher ones.
-        bounds = scores.groupBy(f"{c}Cluster").agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.first(f"{c}Cluster").alias("n"))
-        ranked = bounds.agg(F.sort_array(F.collect_list(F.struct("n", "lo", "hi"))).alias("r"))
-        before, after = ("lo", "hi") if c in segments.RFM_DESCENDING else ("hi", "lo")
-        sign = -1 if c in segments.RFM_DESCENDING else 1
-        in_order = F.forall(
-            F.sequence(F.lit(1), F.size("r") - 1),
-            lambda i: (F.get("r", i)[after] - F.get("r", i - 1)[before]) * sign >= 0,
-        )
-        ordered = ranked.select(F.when(F.size("r") > 1, in_order).otherwise(True).alias(f"{c}_in_order"))
-        facts = with_one_row(facts, ordered)
-    total = F.col("RecencyCluster") + F.col("FrequencyCluster") + F.col("RevenueCluster")
-    named = segments.value_segment("OverallScore")
-    return facts.withColumn("score_and_segment", (F.col("OverallScore") == total) & (F.col("Segment") == named)).drop(
-        *[f"{c}Cluster" for c in segments.RFM_MEASURES], "OverallScore", "Segment"
-    )
+FITTED = f"""{MEASURES},
+{", ".join(clusters_sql(f"x{c}", "rfm", c, 4) for c in segments.RFM_MEASURES)},
+n AS (SELECT {", ".join(f"(SELECT count(DISTINCT c) FROM x{c}_label) AS {c}_n" for c in segments.RFM_MEASURES)}),
+fitted AS (
+  SELECT rfm.*, CAST(Recency_n - 1 - xRecency_label.c AS INTEGER) AS RecencyCluster, xFrequency_label.c AS FrequencyCluster,
+    xRevenue_label.c AS RevenueCluster
+  FROM rfm, n JOIN xRecency_label ON xRecency_label.v = Recency JOIN xFrequency_label ON xFrequency_label.v = Frequency
+  JOIN xRevenue_label ON xRevenue_label.v = Revenue)"""
 
 
 @check(
     "s06_rfm_scores_fitted",
-    f"""WITH {T}, {MEASURES} SELECT CustomerID, Recency, Frequency, Revenue, {FITTED_FACTS.format(source="rfm")},
-      TRUE AS score_and_segment FROM rfm""",
+    f"""WITH {T}, {FITTED}
+    SELECT *, RecencyCluster + FrequencyCluster + RevenueCluster AS OverallScore,
+      CASE WHEN RecencyCluster + FrequencyCluster + RevenueCluster > 4 THEN 'High-Value'
+           WHEN RecencyCluster + FrequencyCluster + RevenueCluster > 2 THEN 'Mid-Value' ELSE 'Low-Value' END AS Segment
+    FROM fitted""",
 )
 def s06_fitted(spark, sf_dir):
-    return score_facts(segments.rfm_scores(rfm_input(spark, sf_dir), seed=7))
+    return segments.rfm_scores(rfm_input(spark, sf_dir))
 
 
 @check(
     "s07_elbow",
-    f"""WITH {T}, {MEASURES} SELECT CAST(k AS INTEGER) AS k, TRUE AS falls,
-      CASE WHEN k = 1 THEN (SELECT round(var_pop(Frequency) * count(*), 2) FROM rfm) END AS total_error
-    FROM range(1, 10) AS g(k)""",
+    f"""WITH {T}, {MEASURES}, {clusters_sql('f', 'rfm', 'Frequency', 9)}
+    SELECT k, round(c, 4) AS inertia FROM f_cost""",
 )
 def s07(spark, sf_dir):
-    """The error of one cluster is the whole spread; it falls with every further cluster."""
-    errors = segments.elbow(segments.frequency(rfm_input(spark, sf_dir)), ["Frequency"], seed=7)
-    before = F.lag("inertia", 1).over(Window.partitionBy(F.lit(1)).orderBy("k"))
-    return errors.select(
-        "k",
-        F.coalesce(F.col("inertia").between(0.0, before), F.lit(True)).alias("falls"),
-        F.when(F.col("k") == 1, F.round("inertia", 2)).alias("total_error"),
-    )
+    """The least squared error of one to nine clusters."""
+    return rounded(segments.elbow(segments.frequency(rfm_input(spark, sf_dir)), ["Frequency"]), 4, "inertia")
 
 
 @check(

@@ -39,3 +39,18 @@ def table():
         return sorted((tuple(r) for r in chosen.collect()), key=str)
 
     return collect
+
+
+@pytest.fixture(scope="session")
+def collected(spark, sf_dir):
+    """Rows of a registered query, run once for all tests."""
+    from catalog import QUERIES
+
+    kept = {}
+
+    def rows(name):
+        if name not in kept:
+            kept[name] = [r.asDict() for r in QUERIES[name](spark, sf_dir).collect()]
+        return kept[name]
+
+    return rows

@@ -30,18 +30,17 @@ def test_boosted_trees_beat_the_majority(planted):
     # Ranked by splits, of which noise gets many; the gain tells the signal.
     assert [r.splits for r in ranked] == sorted((r.splits for r in ranked), reverse=True)
     assert max(ranked, key=lambda r: r.gain).feature == "signal"
-    trees = model.stages[-1]
-    assert sum(r.splits for r in ranked) == (trees.totalNumNodes - trees.getNumTrees) // 2
+    assert sum(r.splits for r in ranked) == sum(int((t.feature >= 0).sum()) for trees in model.rounds for t in trees)
     assert models.score(planted, model).count() == planted.count()
 
 
-def test_forest_probabilities_add_up(planted):
-    model = models.train_multiclass(planted.where("is_train"), "three", ["signal", "noise"], trees=10, seed=2)
+def test_class_probabilities_add_up(planted):
+    model = models.train_multiclass(planted.where("is_train"), "three", ["signal", "noise"], rounds=10)
     names = ["a", "b", "c"]
     scored = models.score_classes(planted, model, names)
     assert scored.where(F.abs(F.col("a") + F.col("b") + F.col("c") - 1) > 1e-9).count() == 0
     assert evaluation.accuracy(scored.where("not is_train"), "three").first()["accuracy"] > 0.9
-    again = models.train_multiclass(planted.where("is_train"), "three", ["signal", "noise"], trees=10, seed=2)
+    again = models.train_multiclass(planted.where("is_train"), "three", ["signal", "noise"], rounds=10)
     same = scored.join(models.score_classes(planted, again, names).select("id", F.col("a").alias("a2")), "id")
     assert same.where(F.abs(F.col("a") - F.col("a2")) > 1e-9).count() == 0
 
@@ -70,7 +69,7 @@ def test_uplift_is_found_where_it_was_planted(spark):
     chance = F.when((F.col("in_a") == 1) & (F.col("offer") == "Discount"), 0.9).otherwise(0.1)
     frame = frame.withColumn("conversion", (F.col("u") < chance).cast("int"))
     labelled = campaign.target_class(campaign.campaign_group(frame))
-    model = models.train_multiclass(labelled, "target_class", ["in_a"], trees=5)
+    model = models.train_multiclass(labelled, "target_class", ["in_a"], rounds=20)
     scored = campaign.uplift_score(models.score_classes(labelled, model, campaign.CLASS_PROBABILITIES))
     by_segment = {r.in_a: r.s for r in scored.groupBy("in_a").agg(F.avg("uplift_score").alias("s")).collect()}
     assert by_segment[1] > by_segment[0] + 0.5

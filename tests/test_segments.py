@@ -25,17 +25,17 @@ def test_recency_counts_full_days_to_the_latest_purchase_of_anybody(rows, table)
 def test_kmeans_finds_planted_groups(rows, table):
     values = [1, 2, 3, 101, 102, 103, 1001, 1002, 1003]
     data = rows([(i, float(v)) for i, v in enumerate(values)], "id long, x double")
-    assert segments.kmeans_centers(data, "x", 3, seed=1) == [2.0, 102.0, 1002.0]
-    labelled = segments.ordered_kmeans(data, "x", 3, "c", ascending=False, seed=1)
+    assert segments.kmeans_centers(data, "x", 3) == [2.0, 102.0, 1002.0]
+    labelled = segments.ordered_kmeans(data, "x", 3, "c", ascending=False)
     assert table(labelled, "x", "c") == table(rows([(float(v), 2 - i // 3) for i, v in enumerate(values)], "x double, c int"))
 
 
-def test_same_seed_same_centres_however_partitioned(spark):
+def test_same_centres_however_partitioned(spark):
     rng = np.random.default_rng(3)
     values = [(float(round(v, 3)),) for v in np.concatenate([rng.normal(m, 1.0, 60) for m in (0, 50, 100)])]
     data = spark.createDataFrame(values, "x double")
-    one = segments.kmeans_centers(data.repartition(1), "x", 3, seed=5)
-    many = segments.kmeans_centers(data.repartition(7), "x", 3, seed=5)
+    one = segments.kmeans_centers(data.repartition(1), "x", 3)
+    many = segments.kmeans_centers(data.repartition(7), "x", 3)
     assert one == pytest.approx(many, abs=1e-6)
 
 
@@ -47,7 +47,7 @@ def test_fit_does_not_depend_on_the_number_of_partitions(spark):
     try:
         for n in (1, 4, 64):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            frame = segments.ordered_kmeans(data.repartition(n), "x", 4, "c", seed=7)
+            frame = segments.ordered_kmeans(data.repartition(n), "x", 4, "c")
             labels.append(sorted((r.id, r.c) for r in frame.collect()))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -75,7 +75,7 @@ def test_fitted_rfm_scores_rank_good_customers_high(spark):
     for c in range(40):
         for i in range(1 + c):
             data.append((c, dt.datetime(2011, 1, 1) + dt.timedelta(days=c * 5), 1.0, 10.0 + c))
-    scored = segments.rfm_scores(spark.createDataFrame(data, TX), seed=1).collect()
+    scored = segments.rfm_scores(spark.createDataFrame(data, TX)).collect()
     by_id = {r.CustomerID: r for r in scored}
     assert by_id[39].OverallScore == 9 and by_id[39].Segment == "High-Value"
     assert by_id[0].OverallScore == 0 and by_id[0].Segment == "Low-Value"

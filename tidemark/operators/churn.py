@@ -78,7 +78,6 @@ def numeric_groups(
     columns: Mapping[str, str] = GROUPED_COLUMNS,
     k: int = 3,
     order_by: str | None = "tenure",
-    seed: int = 0,
     centers: Mapping[str, Sequence[float]] | None = None,
 ) -> DataFrame:
     """A Low/Mid/High group per numeric column.
@@ -88,5 +87,5 @@ def numeric_groups(
     """
     for col, name in columns.items():
         fixed = centers.get(col) if centers else None
-        df = label_clusters(ordered_kmeans(df, col, k, name, order_by, True, seed, fixed), name)
+        df = label_clusters(ordered_kmeans(df, col, k, name, order_by, True, fixed), name)
     return df

@@ -45,7 +45,6 @@ def ltv_clusters(
     table: DataFrame,
     col: str = "m6_Revenue",
     k: int = LTV_K,
-    seed: int = 0,
     centers: Sequence[float] | None = None,
     q: float = OUTLIER_QUANTILE,
 ) -> DataFrame:
@@ -54,4 +53,4 @@ def ltv_clusters(
     if centers is not None:
         # Known centres in ascending order need no ranking pass.
         return kmeans_1d(trimmed, col, k, "LTVCluster", centers=sorted(centers))
-    return ordered_kmeans(trimmed, col, k, "LTVCluster", seed=seed)
+    return ordered_kmeans(trimmed, col, k, "LTVCluster")

@@ -1,44 +1,28 @@
-"""MLlib models: training, scoring and what they say about the features."""
+"""Models: training, scoring and what they say about the features."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from tidemark.session import scratch_path, shared_folder
+from tidemark.operators.boosting import BoostedTrees, boost
 
-# Tree depth, and the learning rates of the churn and response models.
+# Tree depth and learning rates of the value, churn and response models.
 TREE_DEPTH = 5
+VALUE_STEP = 0.1
 CHURN_STEP = 0.08
+RESPONSE_DEPTH = 6
 RESPONSE_STEP = 0.3
 SIGNIFICANCE = 0.05
 Z_95 = 1.959963984540054
 
 
-def _fit(estimator, train: DataFrame, label: str, features: Sequence[str]) -> PipelineModel:
-    """Fits on exactly the columns needed, cached because boosting passes over them many times."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
-    rows = assembler.transform(
-        train.select(F.col(label).cast("double").alias(label), *[F.col(f"`{c}`") for c in features])
-    ).select(label, "_features")
-    # Boosting cuts its lineage every ten rounds where a checkpoint folder is known.
-    context = train.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(train.sparkSession))
-    with _cached(rows) as ready:
-        model = estimator.setFeaturesCol("_features").setLabelCol(label).fit(ready)
-    return PipelineModel([assembler, model])
-
-
 @contextmanager
 def _cached(rows: DataFrame) -> Iterator[DataFrame]:
     """Rows cached while a fit passes over them."""
@@ -50,56 +34,52 @@ def _cached(rows: DataFrame) -> Iterator[DataFrame]:
 
 
 def train_multiclass(
-    train: DataFrame, label: str, features: Sequence[str], seed: int = 0, trees: int = 50, depth: int = TREE_DEPTH
-) -> PipelineModel:
-    """A forest for any number of classes, with class probabilities."""
-    return _fit(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed), train, label, features)
+    train: DataFrame,
+    label: str,
+    features: Sequence[str],
+    rounds: int = 100,
+    depth: int = TREE_DEPTH,
+    step: float = VALUE_STEP,
+) -> BoostedTrees:
+    """Boosted trees with softmax loss for a label 0, 1, …, with class probabilities."""
+    return boost(train, label, features, rounds=rounds, depth=depth, step=step)
 
 
 def train_binary(
     train: DataFrame,
     label: str,
     features: Sequence[str],
-    seed: int = 0,
     rounds: int = 100,
     depth: int = TREE_DEPTH,
     step: float = CHURN_STEP,
-) -> PipelineModel:
+) -> BoostedTrees:
     """Boosted trees with logistic loss for a 0/1 label."""
-    boosting = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
-    return _fit(boosting, train, label, features)
+    return boost(train, label, features, 2, rounds, depth, step)
 
 
-def score_classes(df: DataFrame, model: PipelineModel, names: Sequence[str]) -> DataFrame:
+def score_classes(df: DataFrame, model: BoostedTrees, names: Sequence[str]) -> DataFrame:
     """Adds ``prediction`` and one probability column per class, in class order, to every row.
 
-    A class the training rows did not contain has probability 0.
+    A class above those of the training rows has probability 0; the first of equally likely
+    classes is predicted.
     """
-    scored = model.transform(df).withColumn("_p", vector_to_array("probability"))
+    scored = df.withColumn("_p", model.probabilities())
+    likeliest = (F.array_position("_p", F.array_max("_p")) - 1).cast("double").alias("prediction")
     probabilities = [F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)).alias(n) for i, n in enumerate(names)]
-    return scored.select(*[F.col(f"`{c}`") for c in df.columns], "prediction", *probabilities)
+    return scored.select(*[F.col(f"`{c}`") for c in df.columns], likeliest, *probabilities)
 
 
-def score(df: DataFrame, model: PipelineModel, output: str = "proba") -> DataFrame:
+def score(df: DataFrame, model: BoostedTrees, output: str = "proba") -> DataFrame:
     """Adds ``prediction`` and the probability of class 1 to every row, training rows included."""
     return score_classes(df, model, ["_p0", output]).drop("_p0")
 
 
-def feature_importance(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Features ranked by how many splits of the trees use them; ``gain`` is their share of the impurity gained.
-
-    The splits are counted in the node table of the saved model.
-    """
-    assembler, trees = model.stages
-    spark = df.sparkSession
-    path = scratch_path(spark, "trees")
-    trees.save(path)
-    used = F.col("nodeData.split.featureIndex")
-    splits = spark.read.parquet(f"{path}/data").where(used >= 0).groupBy(used.alias("i")).agg(F.count("*").alias("splits"))
-    shares = trees.featureImportances.toArray()
-    rows = [(i, name, float(s)) for i, (name, s) in enumerate(zip(assembler.getInputCols(), shares))]
-    named = spark.createDataFrame(rows, "i int, feature string, gain double").join(splits, "i", "left")
-    ranked = named.select("feature", F.coalesce("splits", F.lit(0)).alias("splits"), "gain")
+def feature_importance(df: DataFrame, model: BoostedTrees) -> DataFrame:
+    """Features ranked by how many splits of the trees use them; ``gain`` is their share of the gain of all splits."""
+    used = model.used()
+    total = sum(gain for _, gain in used.values()) or 1.0
+    rows = [(name, splits, gain / total) for name, (splits, gain) in used.items()]
+    ranked = df.sparkSession.createDataFrame(rows, "feature string, splits long, gain double")
     return ranked.orderBy(F.desc("splits"), F.desc("gain"), "feature")
 
 

@@ -14,6 +14,7 @@ from pyspark.storagelevel import StorageLevel
 
 from tidemark.functions.frames import with_one_row
 from tidemark.functions.money import money_sum
+from tidemark.operators.intervals import best_centers, best_errors
 from tidemark.operators.revenue import known_customers
 from tidemark.session import materialize
 
@@ -114,15 +115,15 @@ def _best_fit(points: DataFrame, k: int, seed: int, max_iter: int, variance: flo
     return min(fits, key=lambda fit: fit.summary.trainingCost)
 
 
-def kmeans_centers(df: DataFrame, col: str, k: int, seed: int = 0, max_iter: int = 100) -> list[float]:
-    """Fits k-means on one column and returns the centres in ascending order."""
-    with _weighted_points(df, [col]) as (points, variance):
-        model = _best_fit(points, k, seed, max_iter, variance)
-    return sorted(float(c[0]) for c in model.clusterCenters())
+def kmeans_centers(df: DataFrame, col: str, k: int) -> list[float]:
+    """The centres of the best k clusters of one column, in ascending order; exact, so there is no seed."""
+    return best_centers(df, col, k)
 
 
 def assign_to_centers(df: DataFrame, col: str, centers: Sequence[float], label: str) -> DataFrame:
     """Labels each row with the position of the nearest centre; the first one wins a tie."""
+    if not centers:
+        return df.withColumn(label, F.lit(None).cast("int"))
     distance = [F.abs(F.col(col).cast("double") - F.lit(float(c))) for c in centers]
     nearest = F.least(*distance) if len(distance) > 1 else distance[0]
     choice = reduce(
@@ -133,18 +134,10 @@ def assign_to_centers(df: DataFrame, col: str, centers: Sequence[float], label:
     return df.withColumn(label, choice)
 
 
-def kmeans_1d(
-    df: DataFrame,
-    col: str,
-    k: int,
-    label: str,
-    seed: int = 0,
-    centers: Sequence[float] | None = None,
-    max_iter: int = 100,
-) -> DataFrame:
+def kmeans_1d(df: DataFrame, col: str, k: int, label: str, centers: Sequence[float] | None = None) -> DataFrame:
     """One-column k-means; with ``centers`` given nothing is fitted."""
     if centers is None:
-        centers = kmeans_centers(df, col, k, seed, max_iter)
+        centers = kmeans_centers(df, col, k)
     return assign_to_centers(df, col, centers, label)
 
 
@@ -177,7 +170,6 @@ def ordered_kmeans(
     label: str,
     order_by: str | None = None,
     ascending: bool = True,
-    seed: int = 0,
     centers: Sequence[float] | None = None,
 ) -> DataFrame:
     """k-means on ``col`` with labels ranked by the mean of ``order_by`` (default: ``col`` itself).
@@ -186,20 +178,18 @@ def ordered_kmeans(
     """
     if centers is None and order_by in (None, col):
         # In one dimension clusters are intervals: ranking the centres ranks the means.
-        centers = kmeans_centers(df, col, k, seed)
+        centers = kmeans_centers(df, col, k)
         return assign_to_centers(df, col, centers if ascending else centers[::-1], label)
-    return order_cluster(kmeans_1d(df, col, k, label, seed, centers), label, order_by or col, ascending)
+    return order_cluster(kmeans_1d(df, col, k, label, centers), label, order_by or col, ascending)
 
 
-def rfm_scores(
-    tx: DataFrame, seed: int = 0, centers: Mapping[str, Sequence[float]] | None = None
-) -> DataFrame:
+def rfm_scores(tx: DataFrame, centers: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
     """RFM measures, their ordered clusters, the overall score (0–9) and the value segment."""
     scored = rfm_measures(tx)
     if centers is None:
         # Three fits and the scoring read the measures, the lines are read once.
         scored = materialize(scored, "rfm-measures")
-        centers = {c: kmeans_centers(scored, c, RFM_K, seed) for c in RFM_MEASURES}
+        centers = {c: kmeans_centers(scored, c, RFM_K) for c in RFM_MEASURES}
     for col in RFM_MEASURES:
         # In one dimension clusters are intervals: ranking the centres ranks the means.
         ranked = sorted(centers[col], reverse=col in RFM_DESCENDING)
@@ -220,14 +210,21 @@ def value_segment(score: str) -> Column:
 
 
 def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(1, 10), seed: int = 0) -> DataFrame:
-    """Within-cluster squared error for each k, fitted on the named columns only."""
+    """Within-cluster squared error for each k, fitted on the named columns only.
+
+    One column gives the least error there is, for all k from one table; ``seed`` counts for
+    several columns, whose clusters are searched for.
+    """
     spark = df.sparkSession
-    rows = []
+    if len(cols) == 1:
+        errors = best_errors(df, cols[0], max(ks))
+        return spark.createDataFrame([(int(k), errors[k - 1]) for k in ks], "k int, inertia double")
     with _weighted_points(df, cols) as (points, variance):
         # One centre is the mean: its error needs a single aggregate, no fit.
         w = F.col("_weight")
         mean_of = {c: F.sum(F.col(c) * w) / F.sum(w) for c in cols}
         centre = points.agg(*[m.alias(c) for c, m in mean_of.items()]).first()
+        rows = []
         for k in ks:
             if k == 1:
                 square = reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.lit(float(centre[c])), 2) for c in cols])

@@ -22,12 +22,11 @@ def clean_subscribers(subscribers: DataFrame) -> DataFrame:
 
 def model_table(
     cleaned: DataFrame,
-    seed: int = 0,
     centers: Mapping[str, Sequence[float]] | None = None,
     drop_first: bool = False,
 ) -> DataFrame:
     """Grouped and encoded subscribers with model-safe column names; ``cleaned`` should be stored."""
-    grouped = materialize(churn.numeric_groups(cleaned, seed=seed, centers=centers), "grouped")
+    grouped = materialize(churn.numeric_groups(cleaned, centers=centers), "grouped")
     return features.sanitize_columns(features.encode_categoricals(grouped, ID, drop_first=drop_first))
 
 
@@ -43,5 +42,5 @@ def explain_churn(table: DataFrame) -> DataFrame:
 def predict_churn(table: DataFrame, test_share: float = 0.05, seed: int = 56, rounds: int = 100) -> Scored:
     """Churn probability of every subscriber."""
     split = materialize(sampling.train_test_split(table, ID, test_share, seed), "churn-split")
-    model = models.train_binary(split.where("is_train"), LABEL, feature_columns(split), seed=seed, rounds=rounds)
+    model = models.train_binary(split.where("is_train"), LABEL, feature_columns(split), rounds)
     return Scored(model, models.score(split, model), LABEL)

@@ -24,7 +24,7 @@ def predict_response(
     encoded = features.one_hot(split, features.fit_categories(split))
     used = [c for c in encoded.columns if c not in (id_col, "conversion", "is_train")]
     model = models.train_binary(
-        encoded.where("is_train"), "conversion", used, seed=seed, rounds=rounds, step=models.RESPONSE_STEP
+        encoded.where("is_train"), "conversion", used, rounds, models.RESPONSE_DEPTH, models.RESPONSE_STEP
     )
     return Scored(model, models.score(encoded, model), "conversion")
 
@@ -39,12 +39,14 @@ def predict_uplift(
     """Class probabilities and uplift score of every customer.  Pass stored responses."""
     labelled = campaign.target_class(campaign.campaign_group(responses))
     clustered = segments.ordered_kmeans(
-        labelled, "history", HISTORY_K, "history_cluster", seed=seed, centers=centers
+        labelled, "history", HISTORY_K, "history_cluster", centers=centers
     ).drop(*TELLS_CLASS)
     split = materialize(sampling.train_test_split(clustered, id_col, test_share, seed), "uplift-split")
     encoded = features.one_hot(split, features.fit_categories(split))
     used = [c for c in encoded.columns if c not in (id_col, "target_class", "is_train")]
-    model = models.train_multiclass(encoded.where("is_train"), "target_class", used, seed=seed)
+    model = models.train_multiclass(
+        encoded.where("is_train"), "target_class", used, depth=models.RESPONSE_DEPTH, step=models.RESPONSE_STEP
+    )
     scored = campaign.uplift_score(models.score_classes(encoded, model, CLASS_PROBABILITIES))
     return Scored(model, scored, "target_class")
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from tidemark.operators import evaluation, features, ltv, models, sampling, segments
+from tidemark.operators.boosting import BoostedTrees
 from tidemark.session import materialize
 
 # What must not become a feature, because it is the id or tells the outcome.
@@ -19,7 +19,7 @@ NOT_FEATURES = ("CustomerID", "LTVCluster", "m6_Revenue", "is_train")
 class Scored:
     """A model together with the scored customers (``is_train`` says whom it has seen)."""
 
-    model: PipelineModel
+    model: BoostedTrees
     customers: DataFrame
     label: str
 
@@ -38,12 +38,11 @@ def ltv_table(
     tx: DataFrame,
     features_window: tuple[str, str],
     outcome_window: tuple[str, str],
-    seed: int = 0,
     centers: Mapping[str, Sequence[float]] | None = None,
 ) -> DataFrame:
     """RFM scores of the first window next to the revenue of the second."""
     observed, outcome = ltv.observation_windows(tx, features_window, outcome_window)
-    return ltv.ltv_table(segments.rfm_scores(observed, seed, centers), ltv.future_revenue(outcome))
+    return ltv.ltv_table(segments.rfm_scores(observed, centers), ltv.future_revenue(outcome))
 
 
 def predict_ltv_cluster(clustered: DataFrame, test_share: float = 0.1, seed: int = 42) -> Scored:
@@ -52,6 +51,6 @@ def predict_ltv_cluster(clustered: DataFrame, test_share: float = 0.1, seed: int
     split = sampling.train_test_split(features.one_hot(table), "CustomerID", test_share, seed)
     split = materialize(split, "ltv-split")
     used = [c for c in split.columns if c not in NOT_FEATURES]
-    model = models.train_multiclass(split.where("is_train"), "LTVCluster", used, seed=seed)
+    model = models.train_multiclass(split.where("is_train"), "LTVCluster", used)
     names = [f"proba_{i}" for i in range(ltv.LTV_K)]
     return Scored(model, models.score_classes(split, model, names), "LTVCluster")

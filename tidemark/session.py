@@ -32,6 +32,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         # Every column expression would otherwise record where it was written.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory)
+        # Small jobs otherwise wait for delayed acknowledgements between the JVM and Python.
+        .config("spark.python.unix.domain.socket.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in SQL_SETTINGS.items():
@@ -59,7 +61,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
     # A running session refuses to change this setting, so the folder is kept here.
-    return _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tidemark-"))
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL[context.applicationId]
 
 
 @contextmanager
