@@ -7,18 +7,26 @@ from tidemark.llm import lines
 BLANK = " \t\x0b\x0c\r"
 
 
+def line_set(text):
+    return frozenset(x.strip(BLANK) for x in (text or "").split("\n") if words(x))
+
+
 def brute(rows, min_sites, max_share):
     sites = {}
     for _, text, source in rows:
         for line in (text or "").split("\n"):
-            if len(words(line)) > 1:
+            if words(line):
                 sites.setdefault(line.strip(BLANK), set()).add(source)
+    held = {}
+    for i, text, source in rows:
+        held.setdefault(line_set(text), set()).add((i, text, source))
     found = []
     for i, text, _ in rows:
         own = (text or "").split("\n")
         bad = [n for n, line in enumerate(own) if len(sites.get(line.strip(BLANK), ())) >= min_sites]
         size = sum(len(x.strip(BLANK)) for x in own)
-        strip = sum(len(own[n].strip(BLANK)) for n in bad) <= max_share * size
+        # Only a text mostly of boilerplate, whose lines another document has too, stays whole.
+        strip = sum(len(own[n].strip(BLANK)) for n in bad) <= max_share * size or len(held[line_set(text)]) < 2
         kept = "\n".join(x for n, x in enumerate(own) if n not in bad) if strip else text or ""
         found.append((i, sum(bool(words(x)) for x in own), len(bad), bad if strip else [], kept))
     return sorted(found, key=str)

@@ -30,3 +30,12 @@ def test_lines_without_a_blank_count(spark):
     found = after(spark, rare + rows[9:])
     for i, text, source in rare + rows[9:]:
         assert found[i, source] == "\n".join(x for x in text.split("\n") if x not in common)
+
+
+def test_columns_of_any_kind_and_name_come_along(spark):
+    schema = "doc_id long, text string, source string, _had_text string, _empty string, found int, whole string, `a b` struct<`c d`: int, e: array<struct<`f.g`: string>>>"
+    rows = [(1, None, "a", "mine", "mine", 3, "mine", (1, [("x",)])), (2, "x y\nz", "b", "mine", None, None, "w", (None, None))]
+    docs = spark.createDataFrame(rows, schema)
+    found = pipeline.strip_boilerplate(spark, docs, "")
+    assert found.schema.names == docs.schema.names
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, docs.collect()))

@@ -6,16 +6,11 @@ Lines whose estimate is clearly over or under ``min_sites`` are settled by it; t
 it get an exact distinct count, and so does every count that is reported.
 
 A line is compared without ASCII spaces around it, by a hash of 128 bits; a line without a
-word is no line.  With ``every_line`` all lines count, whatever their length and script.
-Without it only those with an ASCII blank inside do, as the SQL of the registered
-``op7_line_dedup`` has it: boilerplate of one word, in scripts without blanks, or of URLs stays.
+word is no line.  All others count, whatever their length and script.
 
-A text with more than ``max_share`` of its characters in boilerplate may be left whole, so
-that near-duplicate removal gets a group of copies untorn.  ``protect="copies"`` does so only
-where another document (another id, text or site) has the same set of lines; every other
-text loses its boilerplate, up to all of it.  ``protect="share"`` leaves every such text
-whole, also a short page of its own between a common header and footer: the registered
-``op7_line_dedup`` is tied to that by its SQL, the pipeline is not.
+A text with more than ``max_share`` of its characters in boilerplate is left whole where
+another document (another id, text or site) has the same set of lines, so that near-duplicate
+removal gets a group of copies untorn.  Every other text loses its boilerplate, up to all of it.
 
 Defined cases: a null text has no lines; a missing site is a site of its own; a line that a
 document repeats counts once per site and is removed everywhere in it; repeated rows count
@@ -29,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm.frames import ID, ROW, materialize, plain_id, rows_of, site
 
@@ -41,14 +37,11 @@ _BLANK = " \t\x0b\x0c\r"
 LINE = ["h1", "h2"]
 
 
-def text_lines(
-    docs: DataFrame, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text", every_line: bool = False
-) -> DataFrame:
-    """``_row, _id, site, line`` (from 0), its hash ``h1, h2`` and ``size`` for every line that counts."""
+def text_lines(docs: DataFrame, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``_row, _id, site, line`` (from 0), its hash ``h1, h2`` and ``size`` for every line."""
     rows = rows_of(docs, site(f"`{site_col}`").alias("site"), id_col=id_col, text_col=text_col)
     split = rows.select(ROW, ID, "site", F.posexplode(F.split("_text", "\n", -1)).alias("line", "_text"))
-    counts = F.col("_text") != "" if every_line else F.rlike("_text", F.lit(f"[{_BLANK}]"))
-    trimmed = split.withColumn("_text", F.btrim("_text", F.lit(_BLANK))).where(counts)
+    trimmed = split.withColumn("_text", F.btrim("_text", F.lit(_BLANK))).where("_text <> ''")
     return trimmed.select(
         ROW, ID, "site", "line", F.xxhash64("_text").alias("h1"), F.xxhash64(F.lit(1), "_text").alias("h2"),
         F.length("_text").alias("size"),
@@ -92,6 +85,7 @@ def _rebuild(max_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, hits, removed, kept = [], [], [], []
+            along = [c for c in batch.schema.names if c not in (ROW, ID, "_text", "found", "whole")]
             for text, found, whole in zip(batch.column("_text"), batch.column("found"), batch.column("whole")):
                 own = text.as_py().split("\n")
                 sizes = [len(line.strip(_BLANK)) for line in own]
@@ -113,10 +107,9 @@ def _rebuild(max_share: float):
                     pa.array(hits, pa.int64()),
                     pa.array(removed, pa.list_(pa.int32())),
                     pa.array(kept, pa.string()),
-                    *(batch.column(c) for c in batch.schema.names if c.startswith("_c")),
+                    *(batch.column(c) for c in along),
                 ],
-                names=[ROW, ID, "n_lines", "n_boilerplate", "removed", "kept_text"]
-                + [c for c in batch.schema.names if c.startswith("_c")],
+                names=[ROW, ID, "n_lines", "n_boilerplate", "removed", "kept_text", *along],
             )
 
     return run
@@ -130,34 +123,29 @@ def strip_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: tuple[str, ...] = (),
-    protect: str = "share",
-    every_line: bool = False,
 ) -> DataFrame:
     """``_row, _id, n_lines, n_boilerplate, removed`` (line numbers) and ``kept_text`` of every text.
 
-    ``protect`` says which texts over ``max_share`` stay whole: ``"copies"`` or all (``"share"``);
-    ``every_line`` counts lines without a blank too.
     Stores the line hashes in the shared folder.  Columns named in ``carry`` come along
-    as ``_c0, _c1, …``.
+    as ``_c0, _c1, …``, and ``_had_text`` says whether the text was no null.
     """
-    if protect not in ("share", "copies"):
-        raise ValueError(f"protect: {protect}")
-    lines = materialize(text_lines(docs, site_col, id_col, text_col, every_line), "lines")
+    lines = materialize(text_lines(docs, site_col, id_col, text_col), "lines")
     found = (
         lines.join(widespread(lines, min_sites), LINE)
         .groupBy(ROW, ID)
         .agg(F.collect_set("line").alias("found"))
     )
-    if protect == "copies":
-        copies = copied(docs, site_col, id_col, text_col).withColumn("whole", F.lit(True))
-        found = found.join(copies, [ROW, ID], "left")
-    else:
-        found = found.withColumn("whole", F.lit(True))
+    copies = copied(docs, site_col, id_col, text_col).withColumn("whole", F.lit(True))
+    found = found.join(copies, [ROW, ID], "left")
     carried = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]
-    rows = rows_of(docs, *carried, id_col=id_col, text_col=text_col)
-    types = [f"_c{i} {docs.select(F.col(f'`{c}`')).schema[0].dataType.simpleString()}" for i, c in enumerate(carry)]
-    schema = [f"{ROW} long, {ID} long, n_lines long, n_boilerplate long, removed array<int>, kept_text string", *types]
-    return rows.join(found, [ROW, ID], "left").mapInArrow(_rebuild(max_share), ", ".join(schema))
+    known = F.col(f"`{text_col}`").isNotNull().alias("_had_text")
+    rows = rows_of(docs, known, *carried, id_col=id_col, text_col=text_col)
+    made = "n_lines long, n_boilerplate long, removed array<int>, kept_text string"
+    schema = StructType([
+        *(rows.schema[c] for c in (ROW, ID)), *StructType.fromDDL(made).fields,
+        *(rows.schema[c] for c in rows.columns if c not in (ROW, ID, "_text")),
+    ])
+    return rows.join(found, [ROW, ID], "left").mapInArrow(_rebuild(max_share), schema)
 
 
 def stripped(docs: DataFrame, **options) -> DataFrame:

@@ -220,18 +220,21 @@ def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM documents),
     t AS (SELECT *, trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
     b AS (
-      SELECT line FROM t WHERE regexp_matches(line, '[\x20\x09\x0B-\x0D]') GROUP BY line
+      SELECT line FROM t WHERE line <> '' GROUP BY line
       HAVING count(DISTINCT coalesce('s' || source, '-')) >= 10),
     m AS (SELECT t.*, b.line IS NOT NULL AS bad FROM t LEFT JOIN b USING (line)),
     g AS (
       SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (bad) AS n_boilerplate,
-             coalesce(sum(length(line)) FILTER (bad), 0) <= 0.5 * sum(length(line)) AS strip,
+             coalesce(sum(length(line)) FILTER (bad), 0) <= 0.5 * sum(length(line)) AS little,
              coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT bad), '') AS rest,
-             string_agg(raw, chr(10) ORDER BY i) AS whole
-      FROM m GROUP BY doc_id)
+             string_agg(raw, chr(10) ORDER BY i) AS whole,
+             list_sort(list_distinct(list(line) FILTER (line <> ''))) AS own
+      FROM m GROUP BY doc_id),
+    n AS (
+      SELECT *, little OR own IS NULL OR count(*) OVER (PARTITION BY own) = 1 AS strip FROM g)
     SELECT doc_id, n_lines, n_boilerplate, CASE WHEN strip THEN n_boilerplate ELSE 0 END AS n_removed,
            sha256(CASE WHEN strip THEN rest ELSE whole END) AS kept_sha256
-    FROM g""",
+    FROM n""",
 )
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that stand on ten sources or more are cut out of the pages that hold them."""
