@@ -26,13 +26,12 @@ def strip_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Only copies of another document that are mostly such lines stay whole, for the next stage.
     """
-    known = docs.withColumn("_empty", F.col("text").isNull())
-    carry = tuple(c for c in known.columns if c != "text")
-    found = lines.strip_lines(known, carry=carry, protect="copies", every_line=True)
+    carry = tuple(c for c in docs.columns if c != "text")
+    found = lines.strip_lines(docs, carry=carry)
     place = {c: f"_c{i}" for i, c in enumerate(carry)}
     changed = F.size("removed") > 0
     values = {c: F.col(n) for c, n in place.items()}
-    values["text"] = F.when(~values["_empty"], F.col("kept_text"))
+    values["text"] = F.when(F.col("_had_text"), F.col("kept_text"))
     if "n_chars" in values:
         length = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
         values["n_chars"] = F.when(changed, length).otherwise(values["n_chars"])
