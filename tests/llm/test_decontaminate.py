@@ -14,7 +14,8 @@ def split(text):
 
 
 def bag(w):
-    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    """5-word shingles; fewer words are one shingle."""
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
 def similarity(a, b):
@@ -28,7 +29,7 @@ def brute(docs, items, percent=80):
         w = split(text)
         for i, item in items:
             own = split(item)
-            if len(own) < 5 or len(w) < 5 or not bag(own).keys() & bag(w).keys():
+            if not own or not w or (len(own) >= 5 and not bag(own).keys() & bag(w).keys()):
                 continue
             windows = [w[s : s + len(own)] for s in range(max(1, len(w) - len(own) + 1))]
             scores = [similarity(bag(own), bag(x)) for x in windows]
@@ -99,3 +100,40 @@ def test_odd_rows(spark, odd, no_rows):
     none = bench.limit(0)
     assert decontaminate.contaminated(odd, none).collect() == [] == decontaminate.contaminated(no_rows, bench).collect()
     assert decontaminate.drop_contaminated(odd, none).count() == odd.count()
+
+
+def test_short_items_match_where_their_words_stand(spark):
+    docs = [(1, "so A b, c d e"), (2, "a b x c d"), (3, "a b c"), (4, ""), (5, "one ONE"), (6, "a b c d"), (7, "b c d a b c d")]
+    items = [(1, "a b c d"), (2, "one"), (3, "one"), (4, "a b c d"), (5, "x c")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = got(decontaminate.contaminated(df, bench))
+    assert found == brute(docs, items)
+    assert (1, 4, 1.0, 1, 4) in found and (5, 3, 1.0, 0, 1) in found
+    assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {3, 4}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench, block_words=4).collect()} == {3, 4}
+
+
+def test_a_text_that_repeats_itself_costs_little():
+    """A megabyte of one word, or of one item, against items of the same words: time by the length, memory flat."""
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    item = " ".join(f"w{i % 37}" for i in range(100))
+    for word, rows in (("a", [(1, " ".join(["a"] * 100))]), (item, [(1, item), (2, " ".join(f"w{i % 37}" for i in range(9, 80)))])):
+        items = decontaminate.Items.of(rows, 5)
+        took, held = [], []
+        for size in (250_000, 500_000, 1_000_000):
+            text = (word + " ") * (size // (len(word) + 1))
+            batch = pa.RecordBatch.from_arrays([pa.array([text])], ["_text"])
+            tracemalloc.start()
+            list(decontaminate._found(batch, items, 5, 80))
+            held.append(tracemalloc.get_traced_memory()[1] / size)
+            tracemalloc.stop()
+            start = time.process_time()
+            assert [x[1] for x in decontaminate._found(batch, items, 5, 80)][0] == 0
+            took.append(time.process_time() - start)
+        assert took[-1] < 20 and took[-1] < 8 * took[0] + 1
+        # The words of the text, their hashes and sums: a fixed number of bytes a byte.
+        assert max(held) < 400

@@ -21,10 +21,15 @@ the exact weighted similarity: the sum of the lesser weights over the sum of the
 ones, repeated shingles counted.
 
 The benchmark is broadcast in blocks of at most ``block_words`` words; more blocks mean
-more passes over the texts, never a part left out.  Texts are not shuffled.
+more passes over the texts, one after the other, never a part left out.  Texts are not shuffled.
 
-Defined cases: null and wordless texts match nothing; an item under five words cannot be
-told from ordinary prose and matches nothing; in a text shorter than the item the whole
+An item under five words is one shingle of its own length: it matches where its words stand
+consecutively, with similarity 1.
+
+Windows are made and searched region by region, equal windows of neighbouring regions once, so
+memory does not grow with the text and a text that repeats itself costs little.
+
+Defined cases: null and wordless texts match nothing; in a text shorter than the item the whole
 text is the window; ties between windows go to the first; a repeated row of ``docs`` gives
 its matches again, a repeated row of the benchmark does not.
 """
@@ -40,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.frames import ID, ROW, plain_id, rows_of, without_rows
+from tidemark.llm.frames import ID, ROW, materialize, plain_id, rows_of
 
 SHINGLE, PERCENT = 5, 80
 LANES = 4
@@ -98,10 +103,12 @@ class Items:
     seen: np.ndarray
     weights: np.ndarray
     repeats: np.ndarray
+    # By number of words: hashes of the items that are shorter than a shingle, in order, and their places in ``ids``.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, rows: list[tuple], k: int) -> Items:
-        ids, counted, sizes, prints, shingles = [], [], [], [], []
+        ids, counted, sizes, prints, shingles, few = [], [], [], [], [], []
         for part in words.cut(pa.array([t for _, t in rows], pa.string()), words.LOWER_ALNUM):
             grams, weights = part.grams(k), _weights(part, k)
             for d, (low, high) in enumerate(zip(*part.gram_ranges(k))):
@@ -112,7 +119,16 @@ class Items:
                     sizes.append(high - low)
                     prints.append(_prints(_votes(own, w), np.array([0]), np.array([high - low]))[0])
                     shingles.append(np.unique(own))
+                elif part.counts[d]:
+                    first, last = part.first[d : d + 2]
+                    few.append((int(last - first), part.sequences(np.array([first]), np.array([last]))[0], rows[part.row + d][0]))
         n = len(ids)
+        few.sort(key=lambda x: x[:2])
+        short = {
+            size: (np.array([h for s, h, _ in few if s == size], np.uint64), n + np.array([i for i, x in enumerate(few) if x[0] == size]))
+            for size in {x[0] for x in few}
+        }
+        ids += [i for _, _, i in few]
         prints = np.array(prints, np.uint8).reshape(n, BLOCKS)
         filed = []
         for block in range(BLOCKS):
@@ -128,7 +144,7 @@ class Items:
         seen[(every & np.uint64((1 << _SEEN_BITS) - 1)).astype(np.int64)] = True
         total = np.array([sum(c * w for c, w in own.values()) for own in counted], np.int64)
         repeats = np.array([any(c > 1 for c, _ in own.values()) for own in counted], bool)
-        return cls(ids, counted, np.array(sizes, np.int64), prints, every[order], holder[order], filed, seen, total, repeats)
+        return cls(ids, counted, np.array(sizes, np.int64), prints, every[order], holder[order], filed, seen, total, repeats, short)
 
     def within_radius(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item) pairs at most ``RADIUS`` bits apart."""
@@ -170,69 +186,135 @@ class Items:
             both = total[e] - total[s] + self.weights[i]
             yield from ((x, i) for x in fits[100 * shared >= percent * (both - shared)].tolist())
 
-    def windows(self, grams: np.ndarray, hits: np.ndarray) -> np.ndarray:
-        """(start, end) in shingles of the item-sized windows around shared shingles."""
-        n, found = len(grams), []
-        low = np.searchsorted(self.shingles, grams[hits], "left")
-        high = np.searchsorted(self.shingles, grams[hits], "right")
-        for hit, a, b in zip(hits.tolist(), low, high):
-            for size in np.unique(self.sizes[self.holders[a:b]]).tolist():
-                first, last = max(0, hit - size + 1), max(0, min(hit, n - size))
-                start = np.arange(min(first, last), last + 1)
-                found.append(np.stack([start, np.minimum(start + size, n)], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
+    def windows(self, n: int, grams: np.ndarray, hits: np.ndarray, span: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Starts and ends, in shingles, of the item-sized windows around shared shingles, by region of ``span`` starts.
+
+        ``grams`` are the shingles at ``hits``, of ``n`` in the text.
+        """
+        low = np.searchsorted(self.shingles, grams, "left")
+        count = np.searchsorted(self.shingles, grams, "right") - low
+        runs = []
+        for size in np.unique(self.sizes).tolist():
+            # How many holders of each shingle have this size.
+            of_size = np.concatenate([[0], np.cumsum(self.sizes[self.holders] == size)])
+            own = hits[of_size[low + count] > of_size[low]]
+            if len(own):
+                last = np.maximum(0, np.minimum(own, n - size))
+                first = np.minimum(np.maximum(0, own - size + 1), last)
+                # Ranges of starts that touch are one.
+                fresh = np.concatenate([[True], first[1:] > np.maximum.accumulate(last)[:-1] + 1])
+                at = np.flatnonzero(fresh)
+                runs.append((size, first[at], np.maximum.reduceat(last, at)))
+        regions = np.unique(np.concatenate([np.concatenate([f // span, e // span, _between(f // span, e // span)]) for _, f, e in runs]))
+        for region in regions.tolist():
+            starts, ends = [], []
+            for size, first, last in runs:
+                a, b = np.searchsorted(last, region * span), np.searchsorted(first, (region + 1) * span)
+                for f, e in zip(first[a:b].tolist(), last[a:b].tolist()):
+                    start = np.arange(max(f, region * span), min(e, region * span + span - 1) + 1)
+                    starts.append(start)
+                    ends.append(np.minimum(start + size, n))
+            if starts:
+                found = np.unique(np.stack([np.concatenate(starts), np.concatenate(ends)], axis=1), axis=0)
+                yield found[:, 0], found[:, 1]
+
+
+def _between(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whole numbers strictly between ``first`` and ``last``, for all pairs."""
+    n = np.maximum(last - first - 1, 0)
+    return np.repeat(first + 1 - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _found(batch: pa.RecordBatch, items: Items, k: int, percent: int) -> Iterator[tuple[int, int, float, int, int]]:
+    """Row, item, similarity, first word and number of words of each match."""
+    low_bits = np.uint64((1 << _SEEN_BITS) - 1)
+    for part in words.cut(batch.column("_text"), words.LOWER_ALNUM):
+        best: dict[int, dict[int, tuple]] = {}
+        for size, (known, place) in items.short.items():
+            grams, (low, high) = part.grams(size), part.gram_ranges(size)
+            hits = np.flatnonzero(np.isin(grams, known))
+            row = np.searchsorted(low, hits, "right") - 1
+            for hit, d in zip(hits.tolist(), row.tolist()):
+                if hit < high[d]:
+                    a, b = np.searchsorted(known, grams[hit], "left"), np.searchsorted(known, grams[hit], "right")
+                    for i in place[a:b].tolist():
+                        best.setdefault(d, {}).setdefault(i, (1.0, hit - int(low[d]), size))
+        grams = part.grams(k)
+        maybe = np.flatnonzero(items.seen[(grams & low_bits).astype(np.int64)])
+        hits = maybe[np.isin(grams[maybe], items.shingles)]
+        low, high = part.gram_ranges(k)
+        weights = _weights(part, k)
+        of = np.searchsorted(hits, np.stack([low, high]))
+        for d in np.flatnonzero(of[1] > of[0]).tolist():
+            own = hits[of[0, d] : of[1, d]] - low[d]
+            g, w = grams[low[d] : high[d]], weights[low[d] : high[d]]
+            mine = best.setdefault(d, {})
+            before = np.empty(0, np.uint64)
+            for start, end in items.windows(len(g), g[own], own):
+                # Equal windows say the same; the first one counts.
+                said = part.sequences(start + part.first[d], end + part.first[d] + k - 1)
+                said, first = np.unique(said, return_index=True)
+                first.sort()
+                first = first[~np.isin(part.sequences(start[first] + part.first[d], end[first] + part.first[d] + k - 1), before)]
+                before = said
+                start, end = start[first], end[first]
+                if not len(start):
+                    continue
+                base, top = start.min(), end.max()
+                near_g, near_w, start, end = g[base:top], w[base:top], start - base, end - base
+                window, item = items.within_radius(_prints(_votes(near_g, near_w), start, end))
+                near = own[np.searchsorted(own, base) : np.searchsorted(own, top)] - base
+                pairs = {*zip(window.tolist(), item.tolist()), *items.sharing(near_g, near_w, near, start, end, percent)}
+                counted: dict[int, dict] = {}
+                for x, i in sorted(pairs):
+                    s, e = int(start[x]), int(end[x])
+                    if x not in counted:
+                        counted[x] = _counted(near_g[s:e], near_w[s:e])
+                    same = _similarity(counted[x], items.counted[i])
+                    if same * 100 >= percent and (i not in mine or same > mine[i][0]):
+                        mine[i] = (same, int(base) + s, e - s + k - 1)
+        for d in sorted(best):
+            for i in sorted(best[d]):
+                yield part.row + d, i, *best[d][i]
 
 
 def _search(shared, k: int, percent: int):
     names = [ROW, ID, "item_id", "similarity", "first_word", "n_words"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
-        low_bits = np.uint64((1 << _SEEN_BITS) - 1)
         for batch in batches:
             row, id_ = (np.asarray(batch.column(c)) for c in (ROW, ID))
-            found = []
-            for part in words.cut(batch.column("_text"), words.LOWER_ALNUM):
-                grams = part.grams(k)
-                maybe = np.flatnonzero(items.seen[(grams & low_bits).astype(np.int64)])
-                hits = maybe[np.isin(grams[maybe], items.shingles)]
-                if not len(hits):
-                    continue
-                low, high = part.gram_ranges(k)
-                weights = _weights(part, k)
-                of = np.searchsorted(hits, np.stack([low, high]))
-                for d in np.flatnonzero(of[1] > of[0]):
-                    own = hits[of[0, d] : of[1, d]] - low[d]
-                    g, w = grams[low[d] : high[d]], weights[low[d] : high[d]]
-                    best: dict[int, tuple] = {}
-                    for start, end in _regions(items.windows(g, own)):
-                        base, top = start.min(), end.max()
-                        near_g, near_w, start, end = g[base:top], w[base:top], start - base, end - base
-                        window, item = items.within_radius(_prints(_votes(near_g, near_w), start, end))
-                        near = own[np.searchsorted(own, base) : np.searchsorted(own, top)] - base
-                        pairs = {*zip(window.tolist(), item.tolist()), *items.sharing(near_g, near_w, near, start, end, percent)}
-                        counted: dict[int, dict] = {}
-                        for x, i in sorted(pairs):
-                            s, e = int(start[x]), int(end[x])
-                            if x not in counted:
-                                counted[x] = _counted(near_g[s:e], near_w[s:e])
-                            same = _similarity(counted[x], items.counted[i])
-                            if same * 100 >= percent and (i not in best or same > best[i][0]):
-                                best[i] = (same, int(base) + s, e - s + k - 1)
-                    at = part.row + d
-                    found += [(int(row[at]), int(id_[at]), items.ids[i], *best[i]) for i in sorted(best)]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            found = [(int(row[at]), int(id_[at]), items.ids[i], *rest) for at, i, *rest in _found(batch, items, k, percent)]
             columns = list(zip(*found)) if found else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     return run
 
 
-def _regions(windows: np.ndarray, span: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The windows by where they start, so that memory does not grow with the text."""
-    region = windows[:, 0] // span
-    for part in np.split(windows, np.flatnonzero(np.diff(region)) + 1):
-        yield part[:, 0], part[:, 1]
+def _keep(shared, k: int, percent: int, names: list[str]):
+    """The rows without a match; the text searched stands last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = np.ones(len(batch), bool)
+            for at, *_ in _found(batch, shared.value, k, percent):
+                stays[at] = False
+            yield batch.select(names).filter(pa.array(stays))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, shingle: int, block_words: int) -> Iterator[tuple]:
+    """Each block of the benchmark as a broadcast, and whether it is the only one."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text IS NOT NULL").distinct()
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    # A word has a letter and a separator at least.
+    n_blocks = max(1, -(-total // (2 * block_words)))
+    for block in range(n_blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
+        yield benchmark.sparkSession.sparkContext.broadcast(Items.of([tuple(r) for r in part.collect()], shingle)), n_blocks == 1
 
 
 def matches(
@@ -248,20 +330,15 @@ def matches(
 
     One row per row of ``docs`` and item.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text IS NOT NULL").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    # A word has a letter and a separator at least.
-    n_blocks = max(1, -(-total // (2 * block_words)))
     rows = rows_of(docs, id_col=id_col, text_col=text_col)
+    made = f"{ROW} long, {ID} long, item_id long, similarity double, first_word long, n_words long"
     found = None
-    for block in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        shared = spark.sparkContext.broadcast(Items.of([tuple(r) for r in part.collect()], shingle))
-        here = rows.mapInArrow(
-            _search(shared, shingle, percent),
-            f"{ROW} long, {ID} long, item_id long, similarity double, first_word long, n_words long",
-        )
+    for shared, alone in _blocks(benchmark, shingle, block_words):
+        here = rows.mapInArrow(_search(shared, shingle, percent), made)
+        if not alone:
+            # Stored, so that one block at a time is held.
+            here = materialize(here, "matches")
+            shared.unpersist()
         found = here if found is None else found.union(here)
     return found
 
@@ -272,7 +349,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return found.select(plain_id().alias("doc_id"), "item_id", "similarity", "first_word", "n_words")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without any item, with all their columns."""
-    gone = matches(docs, benchmark, **options).select(ROW, ID).distinct()
-    return without_rows(docs, gone, **{k: v for k, v in options.items() if k in ("id_col", "text_col")})
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    percent: int = PERCENT,
+    shingle: int = SHINGLE,
+    block_words: int = BLOCK_WORDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` without any item, with all their columns; nothing is shuffled or joined."""
+    names = docs.columns
+    for shared, alone in _blocks(benchmark, shingle, block_words):
+        places = [f"c{i}" for i in range(len(names))]
+        wide = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, places)])
+        schema = wide.schema
+        text = wide.select("*", F.coalesce(F.col(places[names.index(text_col)]), F.lit("")).alias("_text"))
+        stay = text.mapInArrow(_keep(shared, shingle, percent, places), schema)
+        if not alone:
+            stay = materialize(stay, "without-leaks")
+            shared.unpersist()
+        docs = stay.toDF(*names)
+    return docs
