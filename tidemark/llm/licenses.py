@@ -15,6 +15,7 @@ point to are reported once; texts are scanned whole and rows are judged one by o
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,6 +45,24 @@ NOTICES = (
     ("{gnu affero} general public license", "agpl"),
     ("{mozilla} public license", "mpl-2"),
     ("redistribution and use in source and binary forms", "bsd"),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc"),
+    ("this software is provided as is without any express or implied warranty", "zlib"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("creative commons {zero}", "cc0"),
+    ("creative commons attribution {sharealike}", "cc-by-sa"),
+    ("{eclipse} public license", "epl"),
+    ("spdx license {identifier mit}", "mit"),
+    ("spdx license {identifier apache 2}", "apache-2"),
+    ("spdx license {identifier gpl}", "gpl"),
+    ("spdx license {identifier lgpl}", "lgpl"),
+    ("spdx license {identifier agpl}", "agpl"),
+    ("spdx license {identifier mpl 2}", "mpl-2"),
+    ("spdx license {identifier bsd}", "bsd"),
+    ("spdx license {identifier isc}", "isc"),
+    ("spdx license {identifier zlib}", "zlib"),
+    ("spdx license {identifier unlicense}", "unlicense"),
+    ("spdx license {identifier cc0}", "cc0"),
+    ("spdx license {identifier epl}", "epl"),
 )
 # One edit for so many characters.
 PER_EDIT = 10
@@ -98,6 +117,11 @@ def notices(text: str) -> list[tuple[str, int, int, int]]:
             tried.add((number, start))
             # The notice starts within `edits` characters of where the piece puts it.
             low, high = max(0, start - edits), min(len(text), start + len(plain) + edits)
+            # Only words that lie wholly within take part, so that word ends are those of the text.
+            if low and text[low - 1] != " ":
+                low = text.find(" ", low, high) + 1 or high
+            if high < len(text) and text[high] != " ":
+                high = max(low, text.rfind(" ", low, high))
             match = pattern.search(text, low, high)
             if match and sum(match.fuzzy_counts) <= edits:
                 key = (label, *match.span())
@@ -126,9 +150,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             limits = np.concatenate([part.starts, [len(data)]])[part.first]
             for d in range(n):
                 text = b" ".join(data[limits[d] : part.ends[part.first[d + 1] - 1]].split()).decode() if part.counts[d] else ""
+                found = notices(text)
+                # Blanks before a place: a search in their places, not a count from the start.
+                blanks = [m.start() for m in regex.finditer(" ", text)] if found else []
                 fuzzy = [
-                    {"label": label, "first_word": text.count(" ", 0, a), "end_word": text.count(" ", 0, b) + 1, "edits": e, "size": b - a}
-                    for label, a, b, e in notices(text)
+                    {"label": label, "first_word": bisect_left(blanks, a), "end_word": bisect_left(blanks, b) + 1, "edits": e, "size": b - a}
+                    for label, a, b, e in found
                 ]
                 base = places[d]
                 best = max((1 - f["edits"] / max(f["size"], 1) for f in fuzzy), default=0.0)
