@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-__all__ = ["ID", "ROW", "materialize", "plain_id", "rows_of", "site", "without_rows"]
+__all__ = ["ID", "ROW", "materialize", "plain_id", "rows_of", "site"]
 
 # A row is known by its id and its whole text, so repeated ids with other texts stay apart
 # and a repeated row gets the same answer twice.  Neither column is ever null.
@@ -33,10 +33,3 @@ def plain_id() -> Column:
 def site(col: str) -> Column:
     """A site as a text that is never null; a missing site is a site of its own."""
     return F.coalesce(F.concat(F.lit("s"), F.col(col)), F.lit("-"))
-
-
-def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows named by ``gone (_row, _id)``, whatever else its columns are called."""
-    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    stay = rows_of(docs, *named, id_col=id_col, text_col=text_col).join(gone, [ROW, ID], "left_anti")
-    return stay.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -30,6 +30,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.llm import words
 from tidemark.llm.compression import repeated_words
@@ -37,6 +38,7 @@ from tidemark.llm.frames import ID, ROW, materialize, rows_of
 
 MAX_ROWS = 20_000
 LEAST_OF_CLASS = 1_000
+LEAF_ROWS = 2
 STATISTICS = [
     "bytes_log", "word_count_log", "word_length", "upper", "digits", "symbols", "marks", "bars", "spaces", "high_bytes",
     "capital_words", "distinct_words", "repeated_words", "line_length", "repeated_lines", "ratio",
@@ -56,10 +58,12 @@ _HIGH = np.arange(256) >= 128
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The statistics of a text column that stands last, behind the columns that come along."""
     packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        raw, offsets = words.text_buffers(batch.column("_text"))
-        for part in words.cut(batch.column("_text"), words.AS_IS):
+        *along, texts = batch.columns
+        raw, offsets = words.text_buffers(texts)
+        for part in words.cut(texts, words.AS_IS):
             bounds = offsets[part.row : part.row + len(part) + 1]
             data, local = raw[bounds[0] : bounds[-1]], bounds - bounds[0]
             size, n = np.diff(local), part.counts
@@ -91,15 +95,22 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 repeated_lines,
                 ratio,
             ]
-            keys = [batch.column(c).slice(part.row, len(part)) for c in (ROW, ID)]
-            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, pa.float64()) for c in columns)], [ROW, ID, *STATISTICS])
+            kept = [c.slice(part.row, len(part)) for c in along]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, *(pa.array(c, pa.float64()) for c in columns)], [*batch.schema.names[:-1], *STATISTICS]
+            )
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_row, _id`` and the statistics of every row; stored in the shared folder."""
-    rows = rows_of(docs, id_col=id_col, text_col=text_col)
-    types = ", ".join(f"{s} double" for s in STATISTICS)
-    return materialize(rows.mapInArrow(_statistics, f"{ROW} long, {ID} long, {types}"), "statistics")
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", along: bool = False) -> DataFrame:
+    """``_row, _id`` and the statistics of every row; stored in the shared folder.
+
+    With ``along`` the columns of ``docs`` come too, as ``c0, c1, …``.
+    """
+    places = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] if along else []
+    rows = rows_of(docs, *places, id_col=id_col, text_col=text_col)
+    rows = rows.select(ROW, ID, *[c for c in rows.columns if c not in (ROW, ID, "_text")], "_text")
+    schema = StructType(rows.schema.fields[:-1] + [StructField(s, DoubleType()) for s in STATISTICS])
+    return materialize(rows.mapInArrow(_statistics, schema), "statistics")
 
 
 @dataclass(frozen=True)
@@ -144,8 +155,13 @@ def _paths(node, bounds: dict[str, tuple[float, float]], found: set[Rule]) -> No
     _paths(node.rightChild(), bounds | {name: (max(low, at), high)}, found)
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, trees: int = 30, depth: int = 3, penalty: float = 0.002) -> RuleEnsemble:
-    """Fits the ensemble on ``label`` (0 or 1) and the statistics; ``labelled`` is read twice."""
+def fit(
+    labelled: DataFrame, max_rows: int = MAX_ROWS, trees: int = 30, depth: int = 3, penalty: float = 0.002, leaf_rows: int = LEAF_ROWS
+) -> RuleEnsemble:
+    """Fits the ensemble on ``label`` (0 or 1) and the statistics; ``labelled`` is read twice.
+
+    Both sides of a split of a tree have ``leaf_rows`` rows of the sample at least.
+    """
     count, ones = labelled.agg(F.count("label"), F.sum("label")).first()
     ones = ones or 0
     if ones in (0, count):
@@ -164,7 +180,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, trees: int = 30, depth: i
         .select(F.col("label").cast("double").alias("label"), *STATISTICS), "sample",
     )
     forest = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", subsamplingRate=0.7, seed=11, minInstancesPerNode=max(1, min(count, max_rows) // 2000)
+        numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", subsamplingRate=0.7, seed=11, minInstancesPerNode=leaf_rows
     ).fit(sample.select("label", array_to_vector(features).alias("features")))
     found: set[Rule] = set()
     for tree in forest.trees:
@@ -191,13 +207,35 @@ def scored(
 ) -> DataFrame:
     """``_row, _id, score`` of every row, learnt from ``labels (id_col, label_col)``."""
     stats = statistics(docs, id_col, text_col)
+    model = _learn(stats, labels, label_col, max_rows, id_col)
+    return stats.select(ROW, ID, model.score().alias("score"))
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    label_col: str = "quality",
+    least: float = 0.5,
+    max_rows: int = MAX_ROWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with all their columns.
+
+    Rows are stored next to their statistics, so no text is shuffled.
+    """
+    stats = statistics(docs, id_col, text_col, along=True)
+    model = _learn(stats, labels, label_col, max_rows, id_col)
+    return stats.where(model.score() >= least).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _learn(stats: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str) -> RuleEnsemble:
     known = labels.where(F.col(label_col).isin(0, 1)).select(
         F.col(id_col).cast("bigint").alias(ID), F.col(label_col).cast("int").alias("label")
     )
-    model = fit(stats.join(known, ID), max_rows)
-    return stats.select(ROW, ID, model.score().alias("score"))
+    return fit(stats.select(ROW, ID, *STATISTICS).join(known, ID), max_rows)
 
 
 def held_out(id_col: Column) -> Column:
-    """A third of the ids, kept out of training to measure the score."""
-    return F.crc32(id_col.cast("string").cast("binary")) % 3 == 1
+    """A third of the ids, kept out of training to measure the score; a missing id is not."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
