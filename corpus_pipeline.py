@@ -11,14 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, lines, minhash, mixing, quality
-from tidemark.llm.frames import ID, ROW, materialize, without_rows
+from tidemark.llm.frames import materialize
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, learnt from the labels outside the held-out third, scores under 0.5 go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out(F.col("doc_id")))
-    scores = quality.scored(docs, labels, "quality")
-    return without_rows(docs, scores.where("score < 0.5").select(ROW, ID).distinct())
+    return quality.keep_good(docs, labels, "quality")
 
 
 def strip_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
