@@ -67,6 +67,25 @@ def test_churn_importance(collected):
     assert max(rows, key=lambda r: r["gain"])["feature"].startswith("tenure")
 
 
+def test_churn_regression(spark, sf_dir, collected):
+    """Residuals add up to nothing over every column, all levels of all categories included."""
+    from catalog.churn import encoded
+
+    fitted = {r["feature"]: r for r in collected("c11_logistic_summary")}
+    rows = [r.asDict() for r in encoded(spark, sf_dir).collect()]
+    names = [n for n in fitted if n != "Intercept"]
+    assert {"gender", "TenureCluster_Low"} <= set(names)
+    x = np.array([[float(r[n]) for n in names] + [1.0] for r in rows])
+    y = np.array([float(r["Churn"]) for r in rows])
+    beta = np.array([fitted[n]["coefficient"] for n in [*names, "Intercept"]])
+    residual = y - 1 / (1 + np.exp(-x @ beta))
+    scale = np.abs(x).sum(0)
+    assert (np.abs(residual @ x) <= 1e-4 * (scale + 1)).all() and np.abs(beta).max() > 0.1
+    assert all(math.isfinite(r["std_error"]) and 0 <= r["p_value"] <= 1 for r in fitted.values())
+    ratios = {r["feature"]: r["odds_ratio"] for r in collected("c12_odds_ratios")}
+    assert ratios == pytest.approx({n: math.exp(r["coefficient"]) for n, r in fitted.items()})
+
+
 def responses(collected):
     return collected("u07_train_response")
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+import math
+from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tidemark.operators.boosting import BoostedTrees, boost
+from tidemark.operators.regression import fit_logistic
 
 # Tree depth and learning rates of the value, churn and response models.
 TREE_DEPTH = 5
@@ -23,16 +21,6 @@ SIGNIFICANCE = 0.05
 Z_95 = 1.959963984540054
 
 
-@contextmanager
-def _cached(rows: DataFrame) -> Iterator[DataFrame]:
-    """Rows cached while a fit passes over them."""
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield rows
-    finally:
-        rows.unpersist()
-
-
 def train_multiclass(
     train: DataFrame,
     label: str,
@@ -86,34 +74,18 @@ def feature_importance(df: DataFrame, model: BoostedTrees) -> DataFrame:
 def logistic_summary(df: DataFrame, label: str, features: Sequence[str], alpha: float = SIGNIFICANCE) -> DataFrame:
     """Binomial regression with intercept: coefficient, standard error, z, p and 95 % interval.
 
-    Leave one level out per dummy-coded variable (``drop_first``); with all levels kept the
-    columns add up to the intercept and no standard errors exist.
+    Every level of every category may be a column: of the solutions that fit equally well the
+    shortest is taken.  Rows with a null are left out.
     """
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
-    rows = assembler.transform(
-        df.select(F.col(label).cast("double").alias(label), *[F.col(f"`{c}`") for c in features])
-    ).select(label, "_features")
-    with _cached(rows) as ready:
-        regression = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_features", labelCol=label)
-        model = regression.fit(ready)
-        summary = model.summary
-        # The summary lists the intercept last.
-        names = [*features, "Intercept"]
-        coefficients = [*model.coefficients.toArray().tolist(), float(model.intercept)]
-        table = list(
-            zip(names, coefficients, summary.coefficientStandardErrors, summary.tValues, summary.pValues)
-        )
-    fitted = df.sparkSession.createDataFrame(
-        [(n, float(c), float(e), float(z), float(p)) for n, c, e, z, p in table],
-        "feature string, coefficient double, std_error double, z double, p_value double",
-    )
-    margin = F.lit(Z_95) * F.col("std_error")
-    return fitted.withColumns(
-        {
-            "ci_low": F.col("coefficient") - margin,
-            "ci_high": F.col("coefficient") + margin,
-            "significant": F.col("p_value") < alpha,
-        }
+    fit = fit_logistic(df, label, features)
+    rows = []
+    for i, name in enumerate([*features, "Intercept"]):
+        c, e = float(fit.coefficients[i]), math.sqrt(max(float(fit.covariance[i, i]), 0.0))
+        z = c / e if e else 0.0
+        p = math.erfc(abs(z) / math.sqrt(2)) if e else 1.0
+        rows.append((name, c, e, z, p, c - Z_95 * e, c + Z_95 * e, p < alpha))
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, coefficient double, std_error double, z double, p_value double, ci_low double, ci_high double, significant boolean"
     )
 
 

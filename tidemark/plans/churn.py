@@ -35,7 +35,7 @@ def feature_columns(table: DataFrame) -> list[str]:
 
 
 def explain_churn(table: DataFrame) -> DataFrame:
-    """Logistic regression summary; build the table with ``drop_first=True``."""
+    """Logistic regression summary, with all levels of the categories as the original analysis has them."""
     return models.logistic_summary(table, LABEL, feature_columns(table))
 
 
