@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import words
 from tidemark.llm.frames import ID, ROW, materialize, rows_of
 
-SLICE = 8 << 20
+SLICE = 4 << 20
 HEADS, CLASSES = 4096, 32
 ROUNDS = 8
 # Pseudo-occurrences of the class frequencies in each context.
