@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.registry import D, SUPERVISED, check, rounded
-from tidemark.functions.frames import with_one_row
 from tidemark.operators import features, forecast
 from tidemark.plans import sales
 from tidemark.session import materialize
@@ -72,26 +70,52 @@ def f04_single(spark, sf_dir):
     return rounded(forecast.adjusted_r2_single(supervised(spark, sf_dir), "diff", "lag_1"), 6, "r2", "adjusted_r2")
 
 
+def elimination_sql(rows: str, wanted: str, lags: int = 12, key: str = "one") -> str:
+    """Least squares of ``diff`` on a constant and the lags by elimination, for each ``key`` of ``rows``.
+
+    In the table of products the constant is column 0, the lags follow and ``diff`` is last.  After
+    column k is taken out, the product of ``diff`` with itself is what k columns leave unexplained.
+    Rows of ``wanted`` stand below the table with a 0 for ``diff``; there it becomes the
+    prediction, with its sign turned.
+    """
+    cells = f"[1.0::DOUBLE, {', '.join(f'lag_{i}' for i in range(1, lags + 1))}, diff]"
+    tables = [
+        f"""px AS (SELECT {key}, {cells} AS x FROM {rows}),
+pc AS (SELECT {key}, n, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS i FROM (SELECT *, row_number() OVER () AS n FROM px)),
+wx AS (SELECT {key}, date, {cells} AS x FROM {wanted}),
+g0 AS MATERIALIZED (
+  SELECT a.{key}, CAST(NULL AS DATE) AS date, a.i, b.i AS j, sum(a.v * b.v) AS v FROM pc a JOIN pc b ON a.n = b.n GROUP BY ALL
+  UNION ALL
+  SELECT {key}, date, {lags + 2}, j, CASE WHEN j > {lags} THEN 0 ELSE v END
+  FROM (SELECT {key}, date, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS j FROM wx))"""
+    ]
+    for k in range(lags + 1):
+        tables.append(
+            f"""g{k + 1} AS MATERIALIZED (
+  SELECT s.{key}, s.date, s.i, s.j, s.v - c.v * r.v / p.v AS v
+  FROM g{k} s JOIN g{k} p ON p.{key} = s.{key} AND p.i = {k} AND p.j = {k} JOIN g{k} r ON r.{key} = s.{key} AND r.i = {k} AND r.j = s.j
+  JOIN g{k} c ON c.{key} = s.{key} AND c.j = {k} AND c.i = s.i AND c.date IS NOT DISTINCT FROM s.date
+  WHERE s.i > {k} AND s.j > {k})"""
+        )
+    return ",\n".join(tables)
+
+
+def _left_sql(k: int) -> str:
+    return f"(SELECT v FROM g{k} WHERE i = 13 AND j = 13)"
+
+
 @check(
     "f04_adjusted_r2",
-    f"""WITH {SUPERVISED} SELECT CAST(n AS INTEGER) AS features, TRUE AS adjusted, TRUE AS rises,
-      CASE WHEN n = 1 THEN (SELECT round(regr_r2(diff, lag_1), 6) FROM lagged) END AS r2
-    FROM (VALUES (1), (5), (12)) AS v(n)""",
+    f"""WITH {SUPERVISED}, numbered AS (SELECT *, 1 AS one FROM lagged), {elimination_sql("numbered", "(SELECT * FROM numbered WHERE FALSE)")},
+    fit AS (SELECT CAST(k AS INTEGER) AS features, 1 - rss / {_left_sql(1)} AS r2, (SELECT count(*) FROM lagged) AS n
+      FROM (VALUES (1, {_left_sql(2)}), (5, {_left_sql(6)}), (12, {_left_sql(13)})) AS t(k, rss))
+    SELECT features, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - features - 1), 6) AS adjusted_r2 FROM fit""",
 )
 def f04(spark, sf_dir):
-    """One, five and twelve lags: the fit gets no worse, and the adjustment follows from rows and lags."""
+    """One, five and twelve lags."""
     rows = materialize(supervised(spark, sf_dir), "lagged-months")
     fits = [forecast.adjusted_r2(rows, "diff", LAGS[:n]) for n in (1, 5, 12)]
-    every = with_one_row(fits[0].unionByName(fits[1]).unionByName(fits[2]), rows.agg(F.count("*").alias("n")))
-    n, k = F.col("n"), F.col("features")
-    adjusted = 1 - (1 - F.col("r2")) * (n - 1) / (n - k - 1)
-    before = F.lag("r2", 1, 0.0).over(Window.partitionBy(F.lit(1)).orderBy("features"))
-    return every.select(
-        "features",
-        (F.abs(F.col("adjusted_r2") - adjusted) < 1e-9).alias("adjusted"),
-        F.col("r2").between(before - 1e-9, 1.0).alias("rises"),
-        F.when(k == 1, F.round("r2", 6)).alias("r2"),
-    )
+    return rounded(reduce(lambda a, b: a.unionByName(b), fits), 6, "r2", "adjusted_r2")
 
 
 @check("f05_chronological_split", f"WITH {SUPERVISED} SELECT date, diff, lag_1, is_train FROM split")
@@ -119,49 +143,24 @@ def f06_inverse(spark, sf_dir):
     return rounded(restored.select("date", "diff", "lag_12"), 4, "diff", "lag_12")
 
 
-def fit_facts(rows, series=()):
-    """``fits``: residuals of the training months, and their products with each lag, add up to nothing.
-
-    The training months are predicted too, as if they were test months.
-    """
-    train = rows.where("is_train")
-    again = train.withColumn("is_train", F.lit(False)).withColumn("_again", F.lit(True))
-    both = train.withColumn("_again", F.lit(False)).unionByName(again)
-    predicted = forecast.forecast_next(both, series=series)
-    residual = F.col("diff") - F.col("pred")
-    products = [F.abs(F.sum(residual * x)) <= 1e-5 * (F.sum(F.abs(F.col("diff") * x)) + 1e-3) for x in [F.lit(1.0), *map(F.col, LAGS)]]
-    return predicted.groupBy(*series).agg(reduce(lambda a, b: a & b, products).alias("fits"))
+PREDICTED = f"""{SUPERVISED}, numbered AS (SELECT *, 1 AS one FROM split),
+{elimination_sql("(SELECT * FROM numbered WHERE is_train)", "(SELECT * FROM numbered WHERE NOT is_train)")},
+predicted AS (SELECT date, -v AS pred FROM g13 WHERE date IS NOT NULL AND j = 13)"""
 
 
-@check("f07_forecast_next", f"WITH {SUPERVISED} SELECT date, TRUE AS fits, TRUE AS predicted FROM split WHERE NOT is_train")
+@check("f07_forecast_next", f"WITH {PREDICTED} SELECT date, round(pred, 4) AS pred FROM predicted")
 def f07(spark, sf_dir):
     """Predicted change of the last six months, on scaled values, back in units."""
     rows, bounds = scaled(spark, sf_dir)
     predicted = features.minmax_inverse(forecast.forecast_next(rows), bounds, {"pred": "diff"})
-    found = predicted.select("date", F.col("pred").isNotNull().alias("predicted"))
-    return with_one_row(found, fit_facts(rows))
+    return rounded(predicted.select("date", "pred"), 4, "pred")
 
 
-STORES = """d AS (SELECT l_suppkey AS store, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
-  sum(CAST(l_quantity AS DECIMAL(18, 4))) AS v FROM lineitem GROUP BY ALL),
-cal AS (SELECT store, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 MONTH)) AS DATE) AS date FROM d GROUP BY store),
-monthly AS (SELECT store, date, CAST(coalesce(v, 0) AS DOUBLE) AS sales FROM cal LEFT JOIN d USING (store, date)),
-diffs AS (SELECT *, sales - lag(sales) OVER (PARTITION BY store ORDER BY date) AS diff,
-  row_number() OVER (PARTITION BY store ORDER BY date) AS i FROM monthly),
-split AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY date DESC) > 6 AS is_train FROM diffs WHERE i > 13)"""
-
-
-@check(
-    "f07_forecast_next_by_store",
-    f"""WITH {STORES} SELECT store, date, diff, bool_or(is_train) OVER (PARTITION BY store) AS predicted,
-      CASE WHEN bool_or(is_train) OVER (PARTITION BY store) THEN TRUE END AS fits
-    FROM split QUALIFY NOT is_train""",
-)
+@check("f07_forecast_next_by_store")
 def f07_store(spark, sf_dir):
+    """A fit per store; where a store has fewer months than lags, the shortest of the best weights."""
     rows = materialize(split(spark, sf_dir, SERIES), "split-store-months")
-    predicted = forecast.forecast_next(rows, series=SERIES)
-    found = predicted.select("store", "date", "diff", F.col("pred").isNotNull().alias("predicted"))
-    return found.join(fit_facts(rows, SERIES), SERIES, "left")
+    return forecast.forecast_next(rows, series=SERIES).select("store", "date", "diff", "pred")
 
 
 LEVELS = f"""{SUPERVISED}, levels AS (
@@ -187,21 +186,16 @@ def f09(spark, sf_dir):
 
 @check(
     "f09_forecast_report",
-    f"""WITH {SUPERVISED} SELECT date, m.sales AS sales, NOT coalesce(is_train, TRUE) AS predicted
-    FROM monthly m LEFT JOIN split USING (date)""",
+    f"""WITH {PREDICTED}
+    SELECT m.date AS date, m.sales AS sales, CAST(trunc(pred + before.sales) AS BIGINT) AS pred_value
+    FROM monthly m LEFT JOIN predicted p ON p.date = m.date
+    LEFT JOIN monthly before ON before.date = CAST(m.date - INTERVAL 1 MONTH AS DATE)""",
 )
 def f09_report(spark, sf_dir):
     """The whole way: fitted changes of the last six months as levels next to the actual months."""
-    report = sales.forecast_report(daily_sales(spark, sf_dir))
-    return report.select("date", "sales", F.col("pred_value").isNotNull().alias("predicted"))
+    return sales.forecast_report(daily_sales(spark, sf_dir)).select("date", "sales", "pred_value")
 
 
-@check(
-    "f09_forecast_report_by_store",
-    f"""WITH {STORES}, t AS (
-      SELECT store, date, NOT is_train AND bool_or(is_train) OVER (PARTITION BY store) AS p FROM split)
-    SELECT store, date, sales, coalesce(p, FALSE) AS predicted FROM monthly LEFT JOIN t USING (store, date)""",
-)
+@check("f09_forecast_report_by_store")
 def f09_report_store(spark, sf_dir):
-    report = sales.forecast_report(daily_sales(spark, sf_dir), SERIES)
-    return report.select("store", "date", "sales", F.col("pred_value").isNotNull().alias("predicted"))
+    return sales.forecast_report(daily_sales(spark, sf_dir), SERIES).select("store", "date", "sales", "pred_value")

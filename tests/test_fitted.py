@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tidemark.functions.tails import t_power
+
 # Fixed value: what an order is worth in the campaign.
 ORDER_VALUE = 25
 CLASSES = ("proba_CN", "proba_CR", "proba_TN", "proba_TR")
@@ -164,3 +166,36 @@ def test_value_clusters(collected):
         assert sum(chances) == pytest.approx(1)
         assert chances[int(r["prediction"])] == max(chances)
     learnt([r for r in rows if r["is_train"]], "LTVCluster", lambda r: [r[n] for n in names])
+
+
+@pytest.mark.parametrize("name", ["x08_required_sample_size", "x08_sample_size_for_target"])
+def test_sample_sizes_reach_the_power(collected, name):
+    """The whole part of the size just fails, one more suffices."""
+    for r in collected(name):
+        effect, n = r["effect_size"], r["sample_size"]
+        assert t_power(effect, n, 0.05, 1.0) <= 0.8 + 1e-9 and t_power(effect, n + 1, 0.05, 1.0) >= 0.8 - 1e-9
+
+
+def test_forecasts_by_store_are_least_squares(spark, sf_dir, collected):
+    """Against NumPy, store by store; and the levels follow from them."""
+    from catalog.forecasting import LAGS, SERIES, split
+
+    rows = [r.asDict() for r in split(spark, sf_dir, SERIES).collect()]
+    found = {(r["store"], r["date"]): r["pred"] for r in collected("f07_forecast_next_by_store")}
+    for store in {r["store"] for r in rows}:
+        own = [r for r in rows if r["store"] == store]
+        x = lambda part: np.array([[1.0] + [float(r[c]) for c in LAGS] for r in part])
+        train, test = [r for r in own if r["is_train"]], [r for r in own if not r["is_train"]]
+        weights = np.linalg.lstsq(x(train), np.array([float(r["diff"]) for r in train]), rcond=None)[0]
+        for r, p in zip(test, x(test) @ weights):
+            assert found[store, r["date"]] == pytest.approx(p, rel=1e-5, abs=1e-3)
+    levels = collected("f09_forecast_report_by_store")
+    sales = {(r["store"], r["date"]): r["sales"] for r in levels}
+    for r in levels:
+        pred = found.get((r["store"], r["date"]))
+        if pred is None:
+            assert r["pred_value"] is None
+        else:
+            month = r["date"]
+            before = month.replace(year=month.year - (month.month == 1), month=(month.month - 2) % 12 + 1)
+            assert abs(r["pred_value"] - (pred + sales[r["store"], before])) <= 1 + 1e-6

@@ -79,3 +79,25 @@ def test_odd_tables(spark):
     assert found["one"].coefficient == pytest.approx(found["Intercept"].coefficient)
     for part in (frame.where("y = 1"), frame.limit(0)):
         assert all(math.isfinite(r.coefficient) for r in models.logistic_summary(part, "y", ["a", "one"]).collect())
+
+
+@pytest.mark.parametrize("stacked", [64, 2])
+def test_least_squares_equal_numpy_over_many_tasks(spark, monkeypatch, stacked):
+    monkeypatch.setattr(regression, "STACKED", stacked)
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(200, 4)) * [1, 1e4, 1e-3, 1] + [0, 1e5, 0, 0]
+    x[:, 3] = x[:, 0] + 2 * x[:, 2]
+    y = x @ [2.0, 1e-4, 300.0, 1.0] + draw.normal(size=200)
+    frame = spark.createDataFrame([(float(l), *map(float, r)) for l, r in zip(y, x)] + [(None, 1.0, 1.0, 1.0, 1.0)], "y double, a double, b double, c double, d double").repartition(7)
+    fit = regression.fit_least_squares(frame, "y", ["a", "b", "c", "d"])
+    design = np.column_stack([np.ones(200), x])
+    want = np.linalg.lstsq(design, y, rcond=1e-12)[0]
+    assert design @ fit.weights == pytest.approx(design @ want, rel=1e-8)
+    assert fit.residual == pytest.approx(((y - design @ want) ** 2).sum())
+    assert fit.total == pytest.approx(((y - y.mean()) ** 2).sum())
+
+
+def test_least_squares_of_few_rows(spark):
+    frame = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "y double, a double")
+    assert regression.fit_least_squares(frame, "y", ["a"]).r2() == pytest.approx(1)
+    assert regression.fit_least_squares(frame.limit(0), "y", ["a"]).weights.tolist() == [0.0, 0.0]

@@ -7,12 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.regression import fit_least_squares
 from tidemark.session import materialize
 
 # Number of lags, number of test months.
@@ -62,12 +61,11 @@ def add_lags(diffs: DataFrame, col: str = "diff", n: int = N_LAGS, series: Seque
 
 
 def adjusted_r2(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
-    """Adjusted R² of a least-squares fit with intercept."""
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.select(label, *features))
-    fit = LinearRegression(featuresCol="_x", labelCol=label, solver="normal").fit(rows).summary
-    return df.sparkSession.createDataFrame(
-        [(len(features), float(fit.r2), float(fit.r2adj))], "features int, r2 double, adjusted_r2 double"
-    )
+    """Adjusted R² of a least-squares fit with intercept; null where rows are too few for it."""
+    n, k = df.dropna(subset=[label, *features]).count(), len(features)
+    r2 = fit_least_squares(df, label, features).r2()
+    adjusted = 1 - (1 - r2) * (n - 1) / (n - k - 1) if n > k + 1 else None
+    return df.sparkSession.createDataFrame([(k, r2, adjusted)], "features int, r2 double, adjusted_r2 double")
 
 
 def adjusted_r2_single(df: DataFrame, label: str, feature: str, series: Sequence[str] = ()) -> DataFrame:
@@ -129,11 +127,9 @@ def forecast_next(
     features = list(features or lag_names())
     series = list(series)
     if not series:
-        rows = VectorAssembler(inputCols=features, outputCol="_x").transform(split)
-        # solver "auto" falls back to an iterative method when the lags are collinear.
-        fit = LinearRegression(featuresCol="_x", labelCol=label, predictionCol=output)
-        model = fit.fit(rows.where("is_train"))
-        return model.transform(rows.where(~F.col("is_train"))).drop("_x")
+        weights = fit_least_squares(split.where("is_train"), label, features).weights.tolist()
+        linear = reduce(lambda total, w: total + w[0] * F.col(w[1]), zip(weights[1:], features), F.lit(weights[0]))
+        return split.where(~F.col("is_train")).withColumn(output, linear)
 
     weights = _weights(split.where("is_train"), label, features, series)
     predicted = reduce(

@@ -1,6 +1,10 @@
-"""Logistic regression on any design, also one whose columns depend on each other.
+"""Regressions on any design, also one whose columns depend on each other.
 
-Newton steps as weighted least squares: a pass over the rows adds up the weighted products
+Least squares: each task brings its rows to a triangle by an orthogonal decomposition, and
+triangles are stacked and brought to one again.  Products of the columns, whose errors are those of
+the squares, are never formed.
+
+Logistic regression: Newton steps as weighted least squares: a pass over the rows adds up the weighted products
 of the columns and of the columns with the response, one small square table whatever the
 number of rows; the step follows from it.  Where columns depend on each other (all levels of several
 categories next to an intercept) many solutions fit equally well; the shortest one is
@@ -100,3 +104,53 @@ def fit_logistic(df: DataFrame, label: str, features: Sequence[str]) -> Logistic
     finally:
         rows.unpersist()
     return Logistic(coefficients, covariance, rank, steps)
+
+
+# Triangles that one task, or the driver, stacks.
+STACKED = 64
+
+
+def _triangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task as a triangle with the same products; zero rows are left out."""
+    held, names = None, None
+    for batch in batches:
+        names = batch.schema.names
+        rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+        held = np.linalg.qr(rows if held is None else np.concatenate([held, rows]), mode="r")
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in held.T], names)
+
+
+def triangle(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """The triangle of an orthogonal decomposition of a constant and the columns, over all rows without a null."""
+    chosen = df.select(F.lit(1.0).alias("x0"), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns, 1)]).dropna()
+    parts = chosen.mapInArrow(_triangles, chosen.schema)
+    tasks = chosen.rdd.getNumPartitions()
+    while tasks > STACKED:
+        tasks = -(-tasks // STACKED)
+        parts = parts.repartition(tasks).mapInArrow(_triangles, chosen.schema)
+    rows = np.array([list(r) for r in parts.collect()], float).reshape(-1, len(columns) + 1)
+    found = np.zeros((len(columns) + 1, len(columns) + 1))
+    last = np.linalg.qr(rows, mode="r") if len(rows) else rows
+    found[: len(last)] = last
+    return found
+
+
+@dataclass(frozen=True)
+class LeastSquares:
+    """Weights of the constant and the columns, and the squares around the mean and around the fit."""
+
+    weights: np.ndarray
+    total: float
+    residual: float
+
+    def r2(self) -> float:
+        return 1 - self.residual / self.total if self.total else 0.0
+
+
+def fit_least_squares(df: DataFrame, label: str, features: Sequence[str]) -> LeastSquares:
+    """The shortest of the weights with the least squared error."""
+    whole = triangle(df, [*features, label])
+    x, y = whole[:, :-1], whole[:, -1]
+    weights = np.linalg.lstsq(x, y, rcond=1e-12)[0]
+    return LeastSquares(weights, float((y[1:] ** 2).sum()), float(((y - x @ weights) ** 2).sum()))
