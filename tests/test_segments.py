@@ -147,6 +147,29 @@ def test_exact_quantiles_per_group(spark):
         assert (got[g].q, got[g].m) == pytest.approx((brute(values, 0.9), brute(values, 0.5)), rel=1e-12)
 
 
+@pytest.mark.parametrize("most", [1, 20])
+def test_narrowed_groups_give_the_same_quantiles(spark, monkeypatch, most):
+    """No band that is ordered holds more than the bound, the hot group's neither."""
+    monkeypatch.setattr(quantiles, "MOST_ORDERED", most)
+    seen = []
+    narrowed = quantiles._narrowed
+
+    def watched(counted, by, probs):
+        found = narrowed(counted, by, probs)
+        seen.append(found.groupBy(*by, "_band").count().agg({"count": "max"}).first()[0])
+        return found
+
+    monkeypatch.setattr(quantiles, "_narrowed", watched)
+    test_exact_quantiles_per_group(spark)
+    hot = spark.range(60_000).selectExpr("if(id % 3 = 0, 'hot', concat('g', id % 7)) AS g", "double((id * 7919) % 50021) / 3 AS x")
+    got = {r.g: r.q for r in quantiles.exact_quantiles(hot, "x", {"q": 0.37}, ["g"]).collect()}
+    values = {}
+    for r in hot.collect():
+        values.setdefault(r.g, []).append(r.x)
+    assert got == pytest.approx({g: brute(v, 0.37) for g, v in values.items()}, rel=1e-12)
+    assert max(seen) <= most
+
+
 def test_describe(rows):
     got = quantiles.describe(rows([(1.0,), (2.0,), (3.0,), (10.0,), (None,)], "x double"), "x").first()
     assert got.asDict() == pytest.approx(

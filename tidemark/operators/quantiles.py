@@ -3,9 +3,9 @@
 Spark's ``percentile`` keeps every distinct value of a group in one task, and
 ``percentile_approx`` returns an approximate data point.  Here a sketch only *brackets*
 each wanted rank between two values; counting says exactly how many rows lie below the
-bracket, and only the narrow band of values inside it is ordered.  Without groups the
-bracket is narrowed again until it holds few rows, so no task orders more than
-``MOST_ORDERED`` values however long the column is.  The sketch decides how much is ordered,
+bracket, and only the narrow band of values inside it is ordered.  The brackets, of all groups at
+once, are narrowed again until they hold few values, so no task orders more than
+``MOST_ORDERED`` values however long the column or a group is.  The sketch decides how much is ordered,
 never the answer.
 """
 
@@ -28,6 +28,8 @@ QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 HALF_WIDTH = 0.001
 ACCURACY = 10_000
 MOST_ORDERED = 1_000_000
+# Parts that a band of a group is cut into at each step.
+PARTS = 64
 
 
 def exact_quantiles(
@@ -62,24 +64,14 @@ def exact_quantiles(
         {"_before": up_to_here - F.col("_n"), "_total": F.sum("_n").over(over_groups(by))}
     )
 
-    def position(p: float):
-        return (F.col("_total") - 1) * F.lit(float(p))
-
-    def holds_rank(p: float, start, stop):
-        low, high = F.floor(position(p)), F.ceil(position(p))
-        return (start <= high) & (stop > low)
-
-    wanted = reduce(
-        lambda a, b: a | b,
-        [holds_rank(p, F.col("_before"), F.col("_before") + F.col("_n")) for p in probs.values()],
-    )
-    wanted_bands = sizes.where(wanted).drop("_n")
+    wanted_bands = sizes.where(_holds_a_rank(probs)).drop("_n")
 
     counted = (
         banded.join(wanted_bands, [*by, "_band"])
         .groupBy(*by, "_band", "_before", "_total", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    counted = _narrowed(materialize(counted, "bands"), by, probs)
     in_band = Window.partitionBy(*by, "_band").orderBy("_v")
     stop = F.col("_before") + F.sum("_c").over(in_band)
     ranked = counted.withColumn("_stop", stop).withColumn("_start", F.col("_stop") - F.col("_c"))
@@ -90,8 +82,8 @@ def exact_quantiles(
     picked = []
     for i, p in enumerate(probs.values()):
         picked += [
-            value_at(F.floor(position(p))).alias(f"_lo{i}"),
-            value_at(F.ceil(position(p))).alias(f"_hi{i}"),
+            value_at(F.floor(_position(p))).alias(f"_lo{i}"),
+            value_at(F.ceil(_position(p))).alias(f"_hi{i}"),
         ]
     result = ranked.groupBy(*by).agg(F.max("_total").alias("_total"), *picked)
     return result.select(
@@ -99,13 +91,51 @@ def exact_quantiles(
         *[
             (
                 F.col(f"_lo{i}")
-                + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (position(p) - F.floor(position(p)))
+                + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (_position(p) - F.floor(_position(p)))
             ).alias(name)
             for i, (name, p) in enumerate(probs.items())
         ],
     )
 
 
+def _position(p: float) -> Column:
+    """The place of a quantile among the ``_total`` values of its group."""
+    return (F.col("_total") - 1) * F.lit(float(p))
+
+
+def _holds_a_rank(probs: Mapping[str, float]) -> Column:
+    """Whether one of the wanted places lies among the ``_n`` rows behind ``_before`` others."""
+    start, stop = F.col("_before"), F.col("_before") + F.col("_n")
+    places = [(F.floor(_position(p)), F.ceil(_position(p))) for p in probs.values()]
+    return reduce(lambda a, b: a | b, [(start <= high) & (stop > low) for low, high in places])
+
+
+def _narrowed(counted: DataFrame, by: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Distinct values ``_v`` with their rows ``_c`` by group and band, until no band has more than ``MOST_ORDERED``.
+
+    Each step cuts every band into ``PARTS`` parts, counts them, and keeps the parts that hold a
+    wanted place; all groups in the same few passes.
+    """
+    keys = [*by, "_band"]
+    shares = [i / PARTS for i in range(1, PARTS)]
+    before = None
+    while True:
+        most = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= MOST_ORDERED or most == before:
+            return counted
+        before = most
+        cuts = counted.groupBy(*keys).agg(F.percentile_approx("_v", shares, ACCURACY).alias("_edges"), F.count(F.lit(1)).alias("_rows"))
+        wide = join_per_key(counted, materialize(cuts, "cuts"), keys, "_rows")
+        part = F.aggregate("_edges", F.lit(0), lambda n, edge: n + (edge < F.col("_v")).cast("int"))
+        parts = wide.select(*keys, "_before", "_total", "_v", "_c", part.alias("_part"))
+        sizes = parts.groupBy(*keys, "_before", "_total", "_part").agg(F.sum("_c").alias("_n"))
+        up_to_here = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")
+        sizes = sizes.withColumn("_before", F.col("_before") + up_to_here).where(_holds_a_rank(probs)).drop("_n", "_total")
+        kept = parts.drop("_before").join(sizes, [*keys, "_part"])
+        finer = (F.col("_band") * PARTS + F.col("_part")).cast("bigint").alias("_band")
+        counted = materialize(kept.select(*by, finer, "_before", "_total", "_v", "_c"), "bands")
+
+
 def _within(value: Column, low: float | None, high: float | None) -> Column:
     """``low < value <= high``, where None is an open end."""
     above = F.lit(True) if low is None else value > F.lit(low)
