@@ -44,6 +44,7 @@ from tidemark.llm.frames import materialize
 BLOCK = 4096
 CENTRES, SAMPLE = 256, 8192
 CHUNK = 50_000
+MOST_TASKS = 10_000
 LEAF = 64
 SHRINK = 0.7
 LIMIT = 1 << 25
@@ -116,6 +117,11 @@ class CoverTree:
         self._grow(everything, 0)
         self._centre_rows = self.scored[np.array(self.centres)]
         self._radii = np.array(self.radii)
+        # Rows in the order of their leaves: a leaf is a slice, scored without a copy.
+        self._order = np.concatenate(self.members)
+        ends = np.cumsum([len(m) for m in self.members])
+        self._slices = list(zip((ends - [len(m) for m in self.members]).tolist(), ends.tolist()))
+        self._rows, self._own_labels = self.scored[self._order], self.labels[self._order]
 
     def _grow(self, rows: np.ndarray, centre: int) -> None:
         """Adds a node and, level by level with smaller radii, the nodes under it."""
@@ -149,6 +155,7 @@ class CoverTree:
         """The best rows in each window ``[least, most, wanted]``, as (-score, id, row), best first."""
         found: list[list] = [[] for _ in windows]
         least = [w[0] if w[0] <= w[1] else NO_ID for w in windows]
+        highest = max((w[1] for w in windows), default=-NO_ID)
 
         def wanted(low: float, high: float) -> bool:
             return any(high >= lo and low <= w[1] for lo, w in zip(least, windows))
@@ -163,11 +170,18 @@ class CoverTree:
                 continue
             for child in self.children[node]:
                 heapq.heappush(queue, (-high[child], child))
-            rows = self.members[node]
-            if not len(rows):
+            start, end = self._slices[node]
+            if start == end:
                 continue
-            rows = rows[(self.labels[rows] == label) == same]
-            scores = (self.scored[rows] @ query).astype(np.int64)
+            scores = self._rows[start:end] @ query
+            # What no window takes any more, or has another label than wanted, is not looked at again.
+            may = (self._own_labels[start:end] == label) == same
+            may &= scores >= min(least)
+            may &= scores <= highest
+            may = np.flatnonzero(may)
+            if not len(may):
+                continue
+            scores, rows = scores[may].astype(np.int64), self._order[start + may]
             for i, (floor, ceiling, k) in enumerate(windows):
                 fits = np.flatnonzero((scores >= least[i]) & (scores <= ceiling) & (keys[rows] != own))
                 if len(fits) > k:
@@ -325,7 +339,9 @@ def _search(index: Index, anchors: DataFrame, same: bool, wanted: int) -> DataFr
         ).select("block", F.lit(1).alias("kind"), "key", "id", "label", "vec", "windows")
         # Blocks nobody asks are not sent.
         needed = rows.join(sent.select("block").distinct(), "block", "left_semi").select(sent.columns)
-        together = needed.unionByName(sent).repartition("block").sortWithinPartitions("block", "kind", "key")
+        # A task for each block, however few bytes it has: the work is in the search.
+        tasks = min(MOST_TASKS, max(1, sum(index.splits) * index.chunks))
+        together = needed.unionByName(sent).repartition(tasks, "block").sortWithinPartitions("block", "kind", "key")
         return together.mapInArrow(_answer(index.dim, index.top, same), _ANSWER)
 
     def best(found: DataFrame) -> DataFrame:
