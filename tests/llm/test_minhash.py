@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from llm_cases import ascii_lower, words
 
@@ -74,6 +75,23 @@ def test_small_blocks_and_odd_rows(spark, odd, no_rows, monkeypatch):
     test_groups_of_edited_copies(spark, 3, 85)
 
 
+def test_sets_that_share_half_a_hash_stay_apart(spark, monkeypatch):
+    sketch = minhash._sketch
+
+    def halved(shingle, hashes):
+        run = sketch(shingle, hashes)
+
+        def coarse(batches):
+            for batch in run(batches):
+                few = pa.array([None if n is None else n % 3 for n in batch.column("node").to_pylist()], pa.int64())
+                yield batch.set_column(batch.schema.get_field_index("node"), "node", few)
+
+        return coarse
+
+    monkeypatch.setattr(minhash, "_sketch", halved)
+    test_groups_of_edited_copies(spark, 3, 85)
+
+
 def test_bounds_miss_no_more_than_promised():
     import math
 

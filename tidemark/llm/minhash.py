@@ -256,6 +256,17 @@ def near_duplicates(
     return _classed(docs, shingle, percent, miss, id_col, text_col).drop("label")
 
 
+def _apart(nodes: DataFrame) -> DataFrame:
+    """Sets are known by both halves of their hash; a ``node`` that two sets share is renamed by both.
+
+    The first half stays as ``half``.  Of 10^10 sets a handful share a half; that a new name is
+    taken as well has a chance of 10^-8.
+    """
+    shared = materialize(nodes.groupBy("node").agg(F.count("*").alias("_sets")).where("_sets > 1"), "shared-halves")
+    name = F.when(F.col("_sets").isNull(), F.col("node")).otherwise(F.xxhash64("node", "check"))
+    return nodes.join(shared, "node", "left").withColumns({"half": F.col("node"), "node": name}).drop("_sets")
+
+
 def _classed(docs: DataFrame, shingle: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
     """``near_duplicates`` with the ``label`` of each row's class, null without words."""
     bands, rows_each = bands_for(percent)
@@ -270,11 +281,15 @@ def _classed(docs: DataFrame, shingle: int, percent: int, miss: float, id_col: s
         "sets",
     )
     filled = sets.where("n_shingles > 0")
-    nodes = materialize(
-        filled.groupBy("node", "check").agg(
-            F.min(plain_id()).alias("least_id"), F.min_by("signature", ROW).alias("signature"), F.min(ROW).alias(ROW)
-        ),
-        "nodes",
+    nodes = _apart(
+        materialize(
+            filled.groupBy("node", "check").agg(
+                F.min(plain_id()).alias("least_id"),
+                F.min_by("signature", ROW).alias("signature"),
+                F.min(F.struct(ROW, ID)).alias("at"),
+            ),
+            "nodes",
+        )
     )
     signatures = nodes.select("node", "signature")
 
@@ -289,9 +304,10 @@ def _classed(docs: DataFrame, shingle: int, percent: int, miss: float, id_col: s
         "candidates",
     )
     involved = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    where = nodes.join(involved, "node").select("node", ROW)
+    where = nodes.join(involved, "node").select("node", "at.*")
     # Equal sets may have different texts; any one of them has the set.
-    texts = materialize(rows.select(ROW, "_text").join(where, ROW).select("node", "_text").dropDuplicates(["node"]), "texts")
+    named_texts = rows.select(ROW, ID, "_text").join(where, [ROW, ID]).select("node", "_text")
+    texts = materialize(named_texts.dropDuplicates(["node"]), "texts")
 
     def with_both(found: DataFrame, of: DataFrame, column: str, name: str) -> DataFrame:
         for side in "ba":
@@ -333,10 +349,10 @@ def _classed(docs: DataFrame, shingle: int, percent: int, miss: float, id_col: s
     if not late_links.isEmpty():
         labels = components(links.union(late_links))
 
-    named = nodes.join(labels, "node", "left").select("node", "check", F.coalesce("label", "node").alias("label"), "least_id")
+    named = nodes.join(labels, "node", "left").select("half", "check", F.coalesce("label", "node").alias("label"), "least_id")
     named = materialize(named, "classes")
     class_id = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of_node = named.join(class_id, "label").select("node", "check", "label", "component_id")
+    of_node = named.join(class_id, "label").select(F.col("half").alias("node"), "check", "label", "component_id")
     return (
         sets.drop("signature")
         .join(of_node, ["node", "check"], "left")
