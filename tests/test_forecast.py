@@ -106,3 +106,27 @@ def test_levels_are_cut_and_joined_by_month(rows, sales, table):
     assert table(levels) == [(day("2010-12-01"), 11), (day("2011-01-01"), -30)]
     compared = forecast.actual_vs_predicted(monthly, levels)
     assert table(compared, "sales", "pred_value") == [(10.0, None), (20.0, 11), (30.0, -30)]
+
+
+def test_store_forecasts_come_with_their_facts(spark, monkeypatch):
+    """Learnt from all training months, predicted where there are some, and checked against all of them."""
+    from catalog import ORACLES, QUERIES, forecasting
+
+    draw = np.random.default_rng(3)
+    rows = [("a", day("2010-01-01") + dt.timedelta(31 * i), i < 40) for i in range(46)]
+    rows += [("b", day("2010-01-01") + dt.timedelta(31 * i), False) for i in range(6)]
+    rows = [(s, d, *draw.normal(size=13).tolist(), t) for s, d, t in rows]
+    lags = ", ".join(f"{c} double" for c in forecast.lag_names())
+    months = spark.createDataFrame(rows, f"store string, date date, diff double, {lags}, is_train boolean")
+    monkeypatch.setattr(forecasting, "split", lambda *_: months)
+    name = "f07_forecast_next_by_store"
+    assert name in ORACLES
+    found = QUERIES[name](spark, "").collect()
+    assert len(found) == 12
+    for r in found:
+        assert (r["predicted"], r["fits"]) == ((True, True) if r["store"] == "a" else (False, None))
+        assert (r["pred"] is None) == (r["store"] == "b")
+
+    weights = forecast._weights
+    monkeypatch.setattr(forecast, "_weights", lambda *a: weights(*a).selectExpr("store", "transform(_w, x -> x + 0.1) AS _w"))
+    assert {r["fits"] for r in QUERIES[name](spark, "").collect() if r["store"] == "a"} == {False}
