@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from tidemark.operators import boosting, models
@@ -135,3 +136,46 @@ def test_many_values_are_cut_at_quantiles():
     assert len(cuts) == 254 and (np.diff(cuts) > 0).all()
     codes = boosting.bin_codes(column[:, None], [cuts])
     assert codes.max() == 255 and np.bincount(codes[0, :-5]).max() < 45
+
+
+def test_the_driver_gets_large_sums_once(spark, monkeypatch):
+    """Whatever the number of tasks; one task alone has no more than that."""
+    got = []
+    collect = RDD.collect
+
+    def counted(rdd):
+        found = collect(rdd)
+        got.append(sum((x[1] if isinstance(x, tuple) else x).nbytes for x in found))
+        return found
+
+    parts = [np.arange(60_000).reshape(10, 3_000, 2) * i for i in range(12)]
+    monkeypatch.setattr(RDD, "collect", counted)
+    found = boosting._summed(spark.sparkContext.parallelize(parts, 12), parts[0].shape)
+    assert (found == parts[0] + 66 * parts[1]).all() and found.shape == (10, 3_000, 2)
+    assert sum(got) == parts[0].nbytes
+
+
+@pytest.mark.parametrize("sizes", [[3, 257, 3, 3, 90, 3, 3, 4, 2], [2], [256, 256], [3, 3]])
+def test_features_of_few_bins_share_codes(sizes):
+    draw = np.random.default_rng(len(sizes))
+    cuts = [np.arange(1.0, s - 1) for s in sizes]
+    values = np.column_stack([draw.integers(0, s - 1, 500) for s in sizes]).astype(float)
+    values[draw.random(values.shape) < 0.1] = NAN
+    layout = boosting.Layout.of(np.array(sizes))
+    codes, bins = layout.codes(values, cuts), boosting.bin_codes(values, cuts)
+    assert len(codes) < len(sizes) or max(sizes) ** 2 > boosting.SHARED or len(sizes) == 1
+    for f, size in enumerate(sizes):
+        assert (codes[layout.code[f]] // layout.unit[f] % size == bins[f]).all()
+    sums = [np.stack([np.bincount(c, minlength=w)] * 2)[:, None] for c, w in zip(codes, layout.widths)]
+    plain = np.concatenate([np.bincount(b, minlength=s) for b, s in zip(bins, sizes)])
+    assert (layout.by_feature(sums) == np.stack([plain, plain], 1)).all()
+
+
+def test_rows_of_one_partition_are_dealt_over_the_cores(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK", 100)
+    data = frame(spark, rows_of(2_000, 11, 2), 1)
+    layout = boosting.Layout.of(np.array([2, 2, 2]))
+    blocks = boosting._blocks(data, "y", ["a", "b", "c"], (np.empty(0),) * 3, layout, 2_000, 1)
+    rows = blocks.mapPartitions(lambda part: [sum(len(label) for _, label, _ in part)]).collect()
+    assert len(rows) == spark.sparkContext.defaultParallelism and sum(rows) == 2_000
+    assert max(rows) <= 2 * min(rows)
