@@ -179,3 +179,13 @@ def test_rows_of_one_partition_are_dealt_over_the_cores(spark, monkeypatch):
     rows = blocks.mapPartitions(lambda part: [sum(len(label) for _, label, _ in part)]).collect()
     assert len(rows) == spark.sparkContext.defaultParallelism and sum(rows) == 2_000
     assert max(rows) <= 2 * min(rows)
+
+
+def test_trees_that_end_early(spark):
+    """Nobody is of class 3, so its trees stay roots while the others grow."""
+    rows = rows_of(300, 12, 3)
+    model = boosting.boost(frame(spark, rows), "y", ["a", "b", "c"], n_classes=4, rounds=3, depth=3, least_weight=30.0)
+    sizes = [[len(t.feature) for t in trees] for trees in model.rounds]
+    assert max(map(max, sizes)) > min(map(min, sizes))
+    layout = boosting.Layout.of(np.array([3, 3, 257]))
+    assert layout.by_feature([np.zeros((2, 0, w), np.int64) for w in layout.widths]).shape == (0, 263, 2)
