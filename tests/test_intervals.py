@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import intervals, segments
 
@@ -81,3 +82,45 @@ def test_equal_work_for_a_hot_value(spark):
     """A value that a third of all rows share is one point."""
     data = spark.range(30_000).selectExpr("double(if(id % 3 = 0, 5, id % 100)) AS x")
     assert len(intervals.points_of(data, "x")) == 100
+
+
+# Three clusters of 33,333 whole numbers each: no cut lies at a round number.
+THIRD = 33_333
+
+
+def thirds(spark):
+    return spark.range(3 * THIRD).withColumn("x", (F.col("id") * 7919) % (3 * THIRD))
+
+
+def test_cuts_of_more_values_than_points_are_exact(spark):
+    assert 3 * THIRD > intervals.MOST_POINTS
+    assert segments.kmeans_centers(thirds(spark), "x", 3) == [16666.0, 49999.0, 83332.0]
+    errors = intervals.best_errors(thirds(spark), "x", 3)
+    # Of n neighbouring whole numbers: n (n² - 1) / 12.
+    spread = [sum(n * (n * n - 1) / 12 for n in sizes) for sizes in ([3 * THIRD], [49_999, 50_000], [THIRD] * 3)]
+    assert errors == pytest.approx(spread, rel=1e-12)
+
+
+VALUES = {
+    "heavy tail": lambda draw: draw.lognormal(3, 1.5, 3000),
+    "both signs": lambda draw: np.concatenate([draw.standard_cauchy(2000), np.zeros(500)]),
+    "far from zero": lambda draw: 1e9 + draw.random(2000),
+    "money": lambda draw: np.round(draw.gamma(2.0, 1e6, 2500), 2),
+    "groups": lambda draw: np.concatenate([draw.normal(m, s, 700) for m, s in ((0, 1), (9, 4), (40, 2), (1e4, 1))]),
+    "huge": lambda draw: draw.gamma(2.0, 1e290, 1500),
+    "mirrored": lambda draw: np.concatenate([x := np.round(draw.lognormal(3, 1, 1000), 2), -x]),
+}
+
+
+@pytest.mark.parametrize("name", VALUES)
+def test_the_number_of_points_does_not_count(spark, name):
+    data = frame(spark, VALUES[name](np.random.default_rng(11)).tolist()).persist()
+    for ks in ([2], [4], range(1, 8)):
+        few, all_ = intervals.best_partition(data, "x", ks, 40), intervals.best_partition(data, "x", ks)
+        assert len(few.points) < len(all_.points)
+        for k in ks:
+            assert few.errors()[k - 1] == pytest.approx(all_.errors()[k - 1], rel=1e-9)
+            # Mirrored cuts are as good.
+            if name != "mirrored":
+                assert few.centers(k) == pytest.approx(all_.centers(k), rel=1e-12, abs=1e-9)
+    data.unpersist()
