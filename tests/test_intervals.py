@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import intervals, segments
+from tidemark.operators import churn, intervals, segments
 
 
 def brute(values, k):
@@ -101,6 +101,15 @@ def test_cuts_of_more_values_than_points_are_exact(spark):
     assert errors == pytest.approx(spread, rel=1e-12)
 
 
+def test_groups_of_many_subscribers_are_exact(spark):
+    """The clusters that the churn model is fitted on."""
+    many = thirds(spark).select(F.col("x").alias("tenure"), (F.col("x") / 4 - 100).alias("MonthlyCharges"), (-F.col("x")).cast("double").alias("TotalCharges"))
+    grouped = churn.numeric_groups(many)
+    for name in churn.GROUPED_COLUMNS.values():
+        found = grouped.groupBy(name).agg(F.count("*").alias("n"), F.min("tenure").alias("low")).collect()
+        assert {(r[name], r.n, r.low) for r in found} == {("Low", THIRD, 0), ("Mid", THIRD, THIRD), ("High", THIRD, 2 * THIRD)}
+
+
 VALUES = {
     "heavy tail": lambda draw: draw.lognormal(3, 1.5, 3000),
     "both signs": lambda draw: np.concatenate([draw.standard_cauchy(2000), np.zeros(500)]),
