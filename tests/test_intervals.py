@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import churn, intervals, segments
+from tidemark.operators import churn, intervals, ltv, segments
 
 
 def brute(values, k):
@@ -88,8 +88,8 @@ def test_equal_work_for_a_hot_value(spark):
 THIRD = 33_333
 
 
-def thirds(spark):
-    return spark.range(3 * THIRD).withColumn("x", (F.col("id") * 7919) % (3 * THIRD))
+def thirds(spark, more=0):
+    return spark.range(3 * THIRD + more).withColumn("x", (F.col("id") * 7919) % (3 * THIRD + more))
 
 
 def test_cuts_of_more_values_than_points_are_exact(spark):
@@ -110,6 +110,13 @@ def test_groups_of_many_subscribers_are_exact(spark):
         assert {(r[name], r.n, r.low) for r in found} == {("Low", THIRD, 0), ("Mid", THIRD, THIRD), ("High", THIRD, 2 * THIRD)}
 
 
+def test_value_clusters_of_many_customers_are_exact(spark):
+    """The clusters that the value model predicts; a hundredth is trimmed first."""
+    many = thirds(spark, 1011).select("id", F.col("x").cast("double").alias("m6_Revenue"))
+    found = ltv.ltv_clusters(many).groupBy("LTVCluster").agg(F.count("*").alias("n"), F.min("m6_Revenue").alias("low")).collect()
+    assert {tuple(r) for r in found} == {(0, THIRD, 0.0), (1, THIRD, THIRD), (2, THIRD, 2 * THIRD)}
+
+
 VALUES = {
     "heavy tail": lambda draw: draw.lognormal(3, 1.5, 3000),
     "both signs": lambda draw: np.concatenate([draw.standard_cauchy(2000), np.zeros(500)]),
